@@ -90,7 +90,7 @@ def describe_length(df: DataFrame, text: str) -> DataFrame:
     squares = F.sum((length * length * n).cast("decimal(38,0)"))
     plain = F.sum((length * n).cast("decimal(38,0)"))
     spread = (squares.cast("double") - plain.cast("double") * mean)
-    quart = F.percentile("length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), N)
+    quart = F.percentile("length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n)
     return length_counts(df, text).agg(
         total.alias("count"),
         mean.alias("mean"),
@@ -108,7 +108,7 @@ def describe_length(df: DataFrame, text: str) -> DataFrame:
 
 
 def median_length(df: DataFrame, text: str) -> DataFrame:
-    return length_counts(df, text).agg(F.percentile("length", F.lit(0.5), N).alias("median_length"))
+    return length_counts(df, text).agg(F.percentile("length", F.lit(0.5), F.col(N)).alias("median_length"))
 
 
 def avg_length(df: DataFrame, text: str) -> DataFrame:
@@ -173,9 +173,14 @@ def expected_manifest(
     per_year: DataFrame, present: DataFrame, year: str = "annee", n: str = "n", name: str = "name"
 ) -> DataFrame:
     """Expected archive names of each year, 1..n, minus those already present."""
-    expected = per_year.where(F.col(n) >= 1).select(
-        year, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("numero")
-    ).select(
+    # numbers are unrolled a thousand at a time, so no row holds a long array
+    thousands = per_year.where(F.col(n) >= 1).select(
+        year, F.col(n).alias("_n"),
+        F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / 1000).cast("int"))).alias("_t"),
+    )
+    first = F.col("_t") * 1000 + 1
+    last = F.least(F.col("_t") * 1000 + 1000, F.col("_n").cast("int"))
+    expected = thousands.select(year, F.explode(F.sequence(first, last)).alias("numero")).select(
         year, "numero",
         F.format_string("AN_%d%03d.taz", F.col(year).cast("int"), F.col("numero")).alias(name),
     )

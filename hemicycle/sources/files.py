@@ -52,16 +52,26 @@ def write_csv_sentiments(df: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def transformed(df: DataFrame) -> DataFrame:
-    """The seven transformed fields. A field absent from the schema takes its default; in the
-    fixed schema of a table a missing element is NULL, which becomes the default too."""
-    return filters.project_defaults(df, TRANSFORMED_DEFAULTS, fill_null=True)
+# Fields whose NULL in the fixed schema stands for an element the source lacked. The speaker
+# fields are always set by the paragraph job, so their NULL is a value and stays NULL.
+ABSENT_WHEN_NULL = ("section_titre", "sous_section_titre", "section_id")
+
+
+def transformed(df: DataFrame, *extra: str) -> DataFrame:
+    """The seven transformed fields (plus ``extra`` columns) with defaults for absent ones."""
+    filled = [
+        F.coalesce(F.col(n), F.lit(TRANSFORMED_DEFAULTS[n][1])).alias(n)
+        if n in ABSENT_WHEN_NULL else F.col(n)
+        for n in TRANSFORMED_DEFAULTS
+    ]
+    keep = {c: (c, "") for c in extra}
+    return filters.project_defaults(df, {**TRANSFORMED_DEFAULTS, **keep}).select(*filled, *extra)
 
 
 def write_transformed(df: DataFrame, path: str, year: str = "annee", merge: bool = False) -> None:
     """Seven fields as JSON lines in one folder per year; with ``merge`` only documents whose
     ``para_id`` is not there yet are added."""
-    out = transformed(df).select("*", df[year].alias(year))
+    out = transformed(df, year)
     spark = df.sparkSession
     if merge and _exists(spark, path):
         out = merge_transformed(out, read_transformed(spark, path))
@@ -70,7 +80,8 @@ def write_transformed(df: DataFrame, path: str, year: str = "annee", merge: bool
 
 def read_transformed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Transformed documents: our JSON lines, or JSON arrays with ``multi_line``."""
-    return spark.read.option("multiLine", str(multi_line).lower()).schema(TRANSFORMED).json(path)
+    documents = spark.read.option("multiLine", str(multi_line).lower()).schema(TRANSFORMED).json(path)
+    return documents.select(*TRANSFORMED.fieldNames())
 
 
 def new_documents(batch: DataFrame, existing: DataFrame, key: str = "para_id") -> DataFrame:
