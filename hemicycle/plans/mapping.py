@@ -189,7 +189,7 @@ SQL_EMBEDDINGS = """
 
 def sql_centroids(group: str) -> str:
     return f"""
-    dims AS (SELECT {group}, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM vecs),
+    dims AS (SELECT {group}, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, unnest(v) AS x FROM vecs),
     means AS (SELECT {group}, dim, avg(x) AS value FROM dims GROUP BY ALL),
     centroids AS (SELECT {group}, list(value ORDER BY dim) AS c FROM means GROUP BY {group})"""
 
@@ -243,7 +243,7 @@ def archive_files(t: Tables) -> DataFrame:
     )
     docs = t.documents.select(
         block.alias("block"), "lang", "doc_id",
-        F.when(F.col("lang") == "en", F.col("source")).otherwise(F.lit("")).alias("sub"),
+        F.when(F.col("lang").isin("en", "de"), F.col("source")).otherwise(F.lit("")).alias("sub"),
         F.array_join(lines, "").alias("xml"),
     )
 
@@ -258,12 +258,15 @@ def archive_files(t: Tables) -> DataFrame:
         )
 
     empty = F.lit("")
+    title = F.concat(F.lit("Source  "), "sub")
     subs = docs.groupBy("block", "lang", "sub").agg(
         joined("doc_id").alias("xml"), F.count("*").alias("n")
-    ).withColumn("xml", F.when(
-        F.col("sub") != "",
-        titled("SousSection1", F.col("sub"), F.concat(F.lit("Source  "), "sub"), empty),
-    ).otherwise(F.col("xml")))
+    ).withColumn(
+        "xml",
+        F.when(F.col("sub") == "", F.col("xml"))
+        .when(F.col("lang") == "en", titled("SousSection1", F.col("sub"), title, empty))
+        .otherwise(titled("SousSection2", F.col("sub"), title, empty)),
+    )
     vote = F.when(F.col("lang") == "fr", F.concat(
         F.lit("<ResultatVote><NombreVotants><Valeur>"), F.col("n").cast("string"),
         F.lit("</Valeur></NombreVotants><Pour><Valeur>1</Valeur></Pour></ResultatVote>"),
@@ -299,6 +302,8 @@ def archive_files(t: Tables) -> DataFrame:
         F.lit("<C><CompteRendu><Contenu><Quantiemes><Journee>Jour "),
         F.col("block").cast("string"),
         F.lit("</Journee></Quantiemes><Sommaire>"), F.col("toc"),
+        F.lit("<Sommaire1><TitreStruct><Intitule>Annexe "), F.col("block").cast("string"),
+        F.lit("</Intitule></TitreStruct></Sommaire1>"),
         F.lit('</Sommaire><PresidentSeance idsyceron="p">Présidence</PresidentSeance>'),
         F.col("xml"), F.lit("</Contenu></CompteRendu></C></P>"),
     )

@@ -262,9 +262,11 @@ query("map_literal", """
 ).distinct())
 
 query("anti_join_existing", """
-    SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    SELECT c_custkey FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)
 """)(lambda t: jo.anti_join_existing(
-    t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]
+    t.customer.select("c_custkey"),
+    t.orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"],
 ))
 
 query("semi_join_common", """

@@ -298,7 +298,7 @@ def _elements(t: Tables, *kinds: str):
 _PARAS = f"""
     WITH {m.SQL_ARCHIVES}
     SELECT CAST(p.doc_id AS VARCHAR) AS para_id, n.source_file, 'sec-' || lang AS section_id,
-           'Langue ' || lang AS section_titre, CASE WHEN lang = 'en' THEN 'Source ' || source END AS sous_section_titre,
+           'Langue ' || lang AS section_titre, CASE WHEN lang IN ('en', 'de') THEN 'Source ' || source END AS sous_section_titre,
            'M. ' || source || '.' AS orateur_nom, 'Député' AS orateur_fonction, md5(texte) AS texte,
            lang = 'fr' AS vote_present, CAST(n.block AS INTEGER) AS publication_numero, n.date_seance, n.annee
     FROM paras p JOIN named n ON p.block = n.block"""
@@ -351,7 +351,7 @@ query("xml_metadata", f"""
 
 query("xml_sections", f"""
     WITH {m.SQL_ARCHIVES}
-    SELECT source_file, 'sec-' || lang AS section_id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS sub_kind,
+    SELECT source_file, 'sec-' || lang AS section_id, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 0 END AS sub_kind,
            count(*) AS n
     FROM lines JOIN named USING (block) GROUP BY ALL
 """)(lambda t: ar.xml_sections(_elements(t, "para")).groupBy("source_file", "section_id", "sub_kind").agg(
@@ -380,7 +380,7 @@ query("xml_speakers", f"""
     WITH {m.SQL_ARCHIVES}
     SELECT source_file, name FROM (
         SELECT source_file, 'M. ' || source || '.' AS name, row_number() OVER (
-            PARTITION BY source_file ORDER BY lang DESC, CASE WHEN lang = 'en' THEN source ELSE '' END DESC, doc_id DESC) AS rn
+            PARTITION BY source_file ORDER BY lang DESC, CASE WHEN lang IN ('en', 'de') THEN source ELSE '' END DESC, doc_id DESC) AS rn
         FROM paras JOIN named USING (block)) WHERE rn <= 10
 """)(lambda t: ar.xml_speakers(_elements(t, "speaker"), last=10).select("source_file", "name"))
 
@@ -409,8 +409,8 @@ query("xml_para_count", f"""
 """)(lambda t: ar.xml_para_count(_elements(t, "any_para", "para")).withColumn("ratio_pct", r6("ratio_pct")))
 
 query("xml_subsection_titles", f"""
-    WITH {m.SQL_ARCHIVES} SELECT source_file, title FROM (
-        SELECT DISTINCT source_file, source AS title FROM paras JOIN named USING (block) WHERE FALSE)
+    WITH {m.SQL_ARCHIVES} SELECT DISTINCT source_file, 'Source ' || source AS title
+    FROM paras JOIN named USING (block) WHERE lang = 'de'
 """)(lambda t: ar.xml_subsection_titles(_elements(t, "subsection")).select("source_file", "title"))
 
 query("xml_sitting_header", f"""
@@ -422,8 +422,9 @@ query("xml_toc", f"""
     WITH {m.SQL_ARCHIVES}
     SELECT DISTINCT source_file, CAST(1 AS INTEGER) AS level, 'title' AS kind, 'Langue ' || lang AS label
     FROM paras JOIN named USING (block)
+    UNION ALL SELECT source_file, 1, 'title', 'Annexe ' || block FROM named
 """)(lambda t: ar.xml_toc(_elements(t, "toc")).select("source_file", "level", "kind", "label"))
 
 query("toc_missing_sections", f"""
-    WITH {m.SQL_ARCHIVES} SELECT source_file, lang AS label FROM paras JOIN named USING (block) WHERE FALSE
+    WITH {m.SQL_ARCHIVES} SELECT source_file, 'Annexe ' || block AS label FROM named
 """)(lambda t: ar.toc_missing_sections(_elements(t, "toc", "para")))

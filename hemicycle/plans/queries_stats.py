@@ -52,13 +52,13 @@ query("stats_by_year_approx")(lambda t: ag.stats_by_year(
 
 query("word_count_by_date", f"""
     WITH {m.SQL_INTERVENTIONS}
-    SELECT date_seance, sum(len(string_split(texte, ' '))) AS words FROM interventions GROUP BY 1
+    SELECT date_seance, CAST(sum(len(string_split(texte, ' '))) AS BIGINT) AS words FROM interventions GROUP BY 1
 """)(lambda t: ag.word_count_by_date(m.interventions(t), "texte", "date_seance"))
 
 query("corpus_word_stats", f"""
     SELECT total_words, total_docs, docs_without_text,
            round(total_words / (total_docs - docs_without_text), 6) AS mean_words
-    FROM (SELECT sum({m.sql_words("coalesce(x, '')")}) AS total_words, count(*) AS total_docs,
+    FROM (SELECT CAST(sum({m.sql_words("coalesce(x, '')")}) AS BIGINT) AS total_words, count(*) AS total_docs,
                  count(*) FILTER (WHERE x IS NULL OR x = '') AS docs_without_text
           FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE text END AS x FROM documents))
 """)(lambda t: rounded(ag.corpus_word_stats(

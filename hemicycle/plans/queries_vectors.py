@@ -47,7 +47,7 @@ query("cosine", """
 ), "cosine", "drift"))
 
 query("l2_normalise", """
-    SELECT vec_id, generate_subscripts(u, 1) - 1 AS dim, round(unnest(u), 6) AS value FROM (
+    SELECT vec_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS dim, round(unnest(u), 6) AS value FROM (
         SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3
             / (3 * sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))))) AS u
         FROM embeddings)
@@ -56,7 +56,7 @@ query("l2_normalise", """
 ).alias("u")), "vec_id", "u"), "value"))
 
 query("softmax", """
-    SELECT vec_id, generate_subscripts(p, 1) - 1 AS dim, round(unnest(p), 6) AS value FROM (
+    SELECT vec_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS dim, round(unnest(p), 6) AS value FROM (
         SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (
             SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: exp(x)) AS e FROM embeddings))
 """)(lambda t: rounded(vo.to_long(t.embeddings.select(
