@@ -78,12 +78,12 @@ def _stem_arrays(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def french_words(text: Column) -> Column:
     """Words after elision and stop words, before stemming. Native."""
-    split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}'’]+")
-    elision = "^(?:" + "|".join(ELIDED) + ")['’](?=.)"
-    bare = F.transform(
-        split, lambda w: F.regexp_replace(F.regexp_replace(w, elision, ""), "['’]", "")
-    )
-    return F.filter(bare, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    # elisions and apostrophes go from the whole text at once: two passes, none per word
+    inside = r"[\p{L}\p{N}'’]"
+    elision = f"(?<!{inside})(?:" + "|".join(ELIDED) + f")['’](?={inside})"
+    joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), elision, "")
+    words = F.split(F.regexp_replace(joined, "['’]", ""), r"[^\p{L}\p{N}]+")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
 
 
 def french_terms(text: Column, stem: bool = True) -> Column:

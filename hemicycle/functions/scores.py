@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hemicycle.functions.vectors import let
 from hemicycle.schemas import CLASSES
 
 # Weight of each class on the -2..+2 scale and on the 0..4 scale.
@@ -29,9 +31,14 @@ def sentiment_index_0_4(columns: tuple[str, ...] = CLASSES) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Probabilities from an array of logits (shifted by the maximum)."""
-    exps = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+    top = F.array_max(logits).cast("double")
+    exps = let(top, lambda m: F.transform(logits, lambda x: F.exp(x.cast("double") - m)))
+
+    def share(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return let(exps, share)
 
 
 def softmax_columns(logits: list[Column]) -> list[Column]:
@@ -47,4 +54,23 @@ def percent_ratio(part: Column, total: Column) -> Column:
 
 
 def format_prob(probability: Column) -> Column:
-    return F.format_string("%.4f", probability)
+    """Four decimals of a probability, correctly rounded: exact ties go to the even digit.
+
+    Spark's own number formatting rounds the shortest decimal form of the double half up.
+    The two differ only next to a tie, so only there the exact binary value is compared.
+    """
+    scaled = probability * F.lit(1e4)
+    low = F.floor(scaled)
+    # a double below 1 is an exact multiple of 2^-63 (but for the tiniest, far from any tie)
+    units = (probability * F.lit(2.0**63)).cast("bigint").cast("decimal(19,0)")
+    twice = units * F.lit(Decimal(20_000))
+    middle = (low.cast("decimal(5,0)") * F.lit(Decimal(2)) + F.lit(Decimal(1))) * F.lit(Decimal(2**63))
+    up = (twice > middle) | ((twice == middle) & (low % 2 == 1))
+    exact = F.when(up, low + 1).otherwise(low)
+    near_tie = F.abs(scaled - low - F.lit(0.5)) < F.lit(1e-6)
+    n = F.when(near_tie, exact).otherwise(F.floor(scaled + F.lit(0.5)))
+    text = F.concat(
+        F.floor(n / 10_000).cast("string"), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0")
+    )
+    inside = (probability >= 0) & (probability < 1)
+    return F.when(inside, text).otherwise(F.format_string("%.4f", probability))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,17 @@ def drift(a: Column, b: Column) -> Column:
     return F.lit(1.0) - cosine(a, b)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Written out directly, a value used inside a lambda is computed again for every element;
+    bound as the variable of an outer lambda it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalise(a: Column) -> Column:
     """Unit vector; a zero vector is kept as it is."""
     length = norm(a)
     divisor = F.when(length > 0, length).otherwise(F.lit(1.0))
-    return F.transform(a, lambda x: x.cast("double") / divisor)
+    return let(divisor, lambda d: F.transform(a, lambda x: x.cast("double") / d))

@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "_chunk"
 _BLOCK = "_block"
 
 
@@ -57,25 +56,34 @@ def lag_in_key(
     )
 
 
-def last_start_in_key(
-    df: DataFrame, keys: list[str], order: list[str], start: Column, chunk: Column, name: str
+def _runs(
+    df: DataFrame, keys: list[str], order: list[str], run_key: str, chunk: Column
 ) -> DataFrame:
-    """Carry forward, within ``keys``, the order value of the latest row where ``start`` holds."""
-    base = df.withColumn(_BLOCK, _block(keys, chunk)).withColumn(
-        "_mark", F.when(start, F.struct(*order))
-    )
-    inside = (
-        Window.partitionBy(_BLOCK).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """``df`` with ``_block`` and ``run_start``. Rows are shuffled once, by block; the rest
+    works on one summary row per block."""
+    kept = df.where(F.col(run_key).isNotNull()).withColumn(_BLOCK, _block(keys, chunk))
+    at, key = F.struct(*order), F.col(run_key)
+    inside = Window.partitionBy(_BLOCK).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # starts seen inside the block; its first row is settled by the summary below
+    local = kept.withColumn(
+        "_mark", F.when(F.lag(key).over(inside) != key, at)
+    ).withColumn("_here", F.last("_mark", ignorenulls=True).over(upto))
+
+    summary = local.groupBy(_BLOCK).agg(
+        F.min_by(key, at).alias("_first"), F.max_by(key, at).alias("_last"),
+        F.min(at).alias("_at"), F.max("_mark").alias("_inner"),
     )
-    local = base.withColumn("_here", F.last("_mark", ignorenulls=True).over(inside))
-    marks = base.groupBy(_BLOCK).agg(F.max("_mark").alias("_end"))
-    along = (
-        Window.partitionBy(f"{_BLOCK}.k").orderBy(f"{_BLOCK}.c")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(f"{_BLOCK}.k").orderBy(f"{_BLOCK}.c")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("_before") != F.col("_first"), F.lit(True))
+    entry = (
+        summary.withColumn("_before", F.lag("_last").over(along))
+        .withColumn("_opens", F.when(opens, F.col("_at")))
+        .withColumn("_carry", F.max(F.coalesce("_inner", "_opens")).over(before))
+        .select(_BLOCK, F.coalesce("_opens", "_carry").alias("_entry"))
     )
-    joined = local.join(_carry(marks, F.max("_end").over(along)), _BLOCK, "left")
-    return joined.withColumn(name, F.coalesce("_here", "_carry")).select(*df.columns, name)
+    return local.join(entry, _BLOCK).withColumn("run_start", F.coalesce("_here", "_entry"))
 
 
 def para_runs(
@@ -86,13 +94,7 @@ def para_runs(
     Rows without a run key are dropped first, so they do not break a run.
     Adds ``run_start`` (a struct of the order columns).
     """
-    kept = df.where(F.col(run_key).isNotNull())
-    lagged = lag_in_key(kept, keys, order, [run_key], chunk)
-    new_run = ~F.col("has_prev") | (F.col(f"prev_{run_key}") != F.col(run_key))
-    flagged = lagged.withColumn("_new", new_run)
-    return last_start_in_key(flagged, keys, order, F.col("_new"), chunk, "run_start").drop(
-        "_new", "has_prev", f"prev_{run_key}"
-    )
+    return _runs(df, keys, order, run_key, chunk).select(*df.columns, "run_start")
 
 
 def merge_same_para(
@@ -101,24 +103,27 @@ def merge_same_para(
 ) -> DataFrame:
     """One row per run: texts joined in order, ``firsts`` taken from its first row.
 
-    Texts are joined per chunk first, then across the chunks of a run.
+    Texts are joined per block first, where the rows already are, then across blocks.
     """
-    runs = para_runs(df, keys, order, run_key, chunk).withColumn(_CHUNK, chunk)
+    runs = _runs(df, keys, order, run_key, chunk)
     at = F.struct(*order)
     by_run = [*keys, run_key, "run_start"]
-    parts = runs.groupBy(*by_run, _CHUNK).agg(
+    parts = runs.groupBy(_BLOCK, *by_run).agg(
         F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(text).alias("t")))).alias("_p"),
         F.min_by(F.struct(F.lit(1).alias("_one"), *firsts), at).alias("_f"),
         F.count("*").alias("_n"),
-    ).withColumn("_t", F.concat_ws(separator, F.transform("_p", lambda p: F.coalesce(p["t"], F.lit("")))))
+    ).select(
+        *by_run, F.col(f"{_BLOCK}.c").alias("_c"), "_f", "_n",
+        F.array_join(F.transform("_p", lambda p: F.coalesce(p["t"], F.lit(""))), separator).alias("_t"),
+    )
     merged = parts.groupBy(*by_run).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(_CHUNK).alias("c"), F.col("_t").alias("t")))).alias("_p"),
-        F.min_by("_f", _CHUNK).alias("_f"),
+        F.array_sort(F.collect_list(F.struct("_c", "_t"))).alias("_p"),
+        F.min_by("_f", "_c").alias("_f"),
         F.sum("_n").alias("merged_rows"),
     )
     return merged.select(
         *by_run,
         *[F.col(f"_f.{c}").alias(c) for c in firsts],
-        F.concat_ws(separator, F.transform("_p", lambda p: p["t"])).alias(text),
+        F.array_join(F.transform("_p", lambda p: p["_t"]), separator).alias(text),
         "merged_rows",
     )

@@ -72,12 +72,13 @@ def is_new(path: Column, known: list[int]) -> Column:
 
 
 def unread(archive_files: DataFrame, known: list[int]) -> DataFrame:
-    """Archives of new issues. On a file scan the test is on the file's metadata, which Spark
-    applies while it lists the files, so a skipped archive is never opened."""
+    """Archives of new issues. On a file scan the test is also put on the file's metadata,
+    which Spark applies while it lists the files, so a skipped archive is never opened."""
     try:
-        return archive_files.where(is_new(F.col("_metadata.file_path"), known))
+        scan = archive_files.where(is_new(F.col("_metadata.file_path"), known))
     except AnalysisException:  # not a file scan
-        return archive_files.where(is_new(F.col("path"), known))
+        scan = archive_files
+    return scan.where(is_new(F.col("path"), known))
 
 
 def file_results(listed: DataFrame, new: Column, counts: DataFrame, errors: DataFrame,

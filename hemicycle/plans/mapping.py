@@ -36,7 +36,7 @@ def sql_words(column: str) -> str:
 
 def interventions(t: Tables, dated: bool = True) -> DataFrame:
     """documents with the date of the order of the same number."""
-    docs = t.documents.select(
+    docs = t.texts.select(
         F.col("doc_id").alias("para_id"), F.col("text").alias("texte"),
         F.col("source").alias("orateur_nom"), F.col("lang").alias("section_id"),
     )
@@ -241,7 +241,7 @@ def archive_files(t: Tables) -> DataFrame:
             line, F.lit("</Para>\n"),
         ),
     )
-    docs = t.documents.select(
+    docs = t.texts.select(
         block.alias("block"), "lang", "doc_id",
         F.when(F.col("lang").isin("en", "de"), F.col("source")).otherwise(F.lit("")).alias("sub"),
         F.array_join(lines, "").alias("xml"),

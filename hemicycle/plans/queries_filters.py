@@ -139,11 +139,11 @@ query("project_defaults", """
 
 query("match_word", f"""
     SELECT doc_id FROM documents WHERE list_contains({m.sql_tokens()}, '{m.MAIN_WORD}')
-""")(lambda t: search.match_word(t.documents, "text", m.MAIN_WORD).select("doc_id"))
+""")(lambda t: search.match_word(t.texts, "text", m.MAIN_WORD).select("doc_id"))
 
 query("match_word_any", f"""
     SELECT doc_id FROM documents WHERE list_has_any({m.sql_tokens()}, ['von', 'que'])
-""")(lambda t: search.match_word(t.documents, "text", "von, QUE").select("doc_id"))
+""")(lambda t: search.match_word(t.texts, "text", "von, QUE").select("doc_id"))
 
 _PROXIMITY = f"""
     words AS (
@@ -157,13 +157,13 @@ _PROXIMITY = f"""
 query("match_proximity", f"""
     WITH {_PROXIMITY} SELECT doc_id FROM near WHERE w = '{m.NEAR_WORD}'
 """)(lambda t: search.match_proximity(
-    t.documents.select("doc_id", "text"), "text", m.MAIN_WORD, m.NEAR_WORD, 5
+    t.texts.select("doc_id", "text"), "text", m.MAIN_WORD, m.NEAR_WORD, 5
 ).select("doc_id"))
 
 query("filter_topic", f"""
     SELECT lang, count(*) AS n FROM documents
     WHERE list_contains({m.sql_tokens()}, 'that') GROUP BY lang
-""")(lambda t: search.filter_topic(t.documents, "text", "that").groupBy("lang").agg(
+""")(lambda t: search.filter_topic(t.texts, "text", "that").groupBy("lang").agg(
     F.count("*").alias("n")
 ))
 
@@ -182,7 +182,7 @@ query("similar_words_paragraphs", f"""
     SELECT s.word, CAST(s.score AS DOUBLE) AS score, count(n.doc_id) AS paragraphs
     FROM similar_words s LEFT JOIN near n ON n.w = s.word GROUP BY s.word, s.score
 """)(lambda t: search.similar_words_paragraphs(
-    t.documents, _similar(t), "doc_id", "text", m.MAIN_WORD, 5
+    t.texts, _similar(t), "doc_id", "text", m.MAIN_WORD, 5
 ))
 
 

@@ -12,13 +12,13 @@ from hemicycle.plans.registry import Tables, query, rounded
 
 query("duplicates_by_key", """
     SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1
-""")(lambda t: qo.duplicates_by_key(t.documents, ["text"], "doc_id"))
+""")(lambda t: qo.duplicates_by_key(t.texts, ["text"], "doc_id"))
 
 query("duplicate_totals", """
     SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS unique_keys, count(*) FILTER (WHERE n > 1) AS duplicated_keys,
            CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS entries_in_duplicates
     FROM (SELECT text, count(*) AS n FROM documents GROUP BY text)
-""")(lambda t: qo.duplicate_totals(t.documents, ["text"]))
+""")(lambda t: qo.duplicate_totals(t.texts, ["text"]))
 
 query("duplicates_kind", """
     SELECT count(*) FILTER (WHERE k = 1) AS identical, count(*) FILTER (WHERE k > 1) AS different FROM (
@@ -155,7 +155,7 @@ _CHECKS = {
         _sql_check("text_equal", f"count(*) FILTER (WHERE {m.sql_clean('text')} <> {m.sql_clean('b')})", "0", "v <= 0",
                    "(SELECT text, CASE WHEN lang = 'fr' THEN replace(text, ' ', '') "
                    "ELSE replace(text, ' ', chr(9) || ' ') END AS b FROM documents)"),
-        lambda t: qo.dq_text_equal(t.documents, t.documents.withColumn("text", F.when(
+        lambda t: qo.dq_text_equal(t.texts, t.documents.withColumn("text", F.when(
             F.col("lang") == "fr", F.replace("text", F.lit(" "), F.lit(""))
         ).otherwise(F.replace("text", F.lit(" "), F.lit("\t ")))), "doc_id", "text"),
     ),
@@ -171,7 +171,7 @@ query("quality_report", " UNION ALL ".join(_CHECKS[n][0] for n in _REPORTED))(
 
 def _phrases(t: Tables):
     """Pairs of one document of the corpus without and with a favourable opening."""
-    docs = t.documents.select(
+    docs = t.texts.select(
         "doc_id", F.col("text").alias("low"), F.concat(F.lit("Bravo, remarquable. "), F.col("text")).alias("high")
     )
     both = docs.select(F.explode(F.array("low", "high")).alias("phrase")).distinct()

@@ -329,8 +329,12 @@ query("ingest_year", f"SELECT * FROM ({_PARAS}) WHERE annee = 1997")(
 
 def _incremental(t: Tables):
     path = scratch_path(t.spark, "incremental")
-    ingest.ingest_years(m.archive_files(t), path, [1996, 1997])
-    return ingest.ingest_incremental(m.archive_files(t), path)
+    # the derived archives are stored first, so that each step reads files and not their making
+    stored = scratch_path(t.spark, "archives")
+    m.archive_files(t).write.parquet(stored)
+    archive_files = t.spark.read.parquet(stored)
+    ingest.ingest_years(archive_files, path, [1996, 1997])
+    return ingest.ingest_incremental(archive_files, path)
 
 
 query("ingest_incremental", f"""

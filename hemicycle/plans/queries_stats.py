@@ -62,7 +62,7 @@ query("corpus_word_stats", f"""
                  count(*) FILTER (WHERE x IS NULL OR x = '') AS docs_without_text
           FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE text END AS x FROM documents))
 """)(lambda t: rounded(ag.corpus_word_stats(
-    t.documents.select(F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("x")), "x"
+    t.texts.select(F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("x")), "x"
 ), "mean_words"))
 
 query("value_counts", """
@@ -116,7 +116,7 @@ _STOP = ", ".join(f"'{w}'" for w in french.STOP_WORDS)
 query("word_frequencies", f"""
     SELECT word, count(*) AS n FROM (SELECT unnest({m.sql_tokens()}) AS word FROM documents)
     WHERE word NOT IN ({_STOP}) GROUP BY word ORDER BY n DESC, word LIMIT 100
-""")(lambda t: ag.word_frequencies(t.documents, "text", french.STOP_WORDS))
+""")(lambda t: ag.word_frequencies(t.texts, "text", french.STOP_WORDS))
 
 query("run_statistics", f"""
     WITH {m.SQL_FILE_STATS},
@@ -260,7 +260,7 @@ query("latest_per_key", """
 # scalar functions
 
 query("clean_text", f"SELECT doc_id, md5({m.sql_clean('text')}) AS cleaned FROM documents")(
-    lambda t: t.documents.select("doc_id", F.md5(tx.clean_text(F.col("text"))).alias("cleaned"))
+    lambda t: t.texts.select("doc_id", F.md5(tx.clean_text(F.col("text"))).alias("cleaned"))
 )
 
 # turns as transcripts that start with the speaker's name, every second one indented
@@ -306,15 +306,15 @@ query("classify_role", """
 query("tokenize", f"""
     SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({m.sql_tokens()}) AS word FROM documents)
     GROUP BY 1, 2
-""")(lambda t: t.documents.select(
+""")(lambda t: t.texts.select(
     "doc_id", F.explode(tx.tokenize(F.col("text"))).alias("word")
 ).groupBy("doc_id", "word").agg(F.count("*").alias("n")))
 
 query("word_count_ws", f"SELECT doc_id, {m.sql_words('text')} AS words FROM documents")(
-    lambda t: t.documents.select("doc_id", tx.word_count_ws(F.col("text")).alias("words"))
+    lambda t: t.texts.select("doc_id", tx.word_count_ws(F.col("text")).alias("words"))
 )
 query("word_count_space", "SELECT doc_id, len(string_split(text, ' ')) AS words FROM documents")(
-    lambda t: t.documents.select("doc_id", tx.word_count_space(F.col("text")).alias("words"))
+    lambda t: t.texts.select("doc_id", tx.word_count_space(F.col("text")).alias("words"))
 )
 query("text_length", "SELECT doc_id, length(text) AS n FROM documents")(
     lambda t: t.documents.select("doc_id", tx.text_length(F.col("text")).alias("n"))
@@ -342,7 +342,7 @@ query("default_family", """
 ).alias("famille")))
 query("normalise_for_compare", f"""
     SELECT doc_id, {m.sql_clean('text')} = replace(text, chr(10), ' ') AS same FROM documents
-""")(lambda t: t.documents.select("doc_id", tx.normalise_for_compare(
+""")(lambda t: t.texts.select("doc_id", tx.normalise_for_compare(
     F.concat(F.lit(" \t"), F.col("text"), F.lit("\n")), F.replace(F.col("text"), F.lit("\n"), F.lit("  "))
 ).alias("same")))
 query("parse_an_date", """
@@ -421,10 +421,10 @@ query("french_words", rf"""
                 '^(?:l|m|t|qu|n|s|j|d|c|jusqu|quoiqu|lorsqu|puisqu)[''’](.)', '\1'), '[''’]', '', 'g'))) AS word
         FROM documents)
     WHERE word <> '' AND word NOT IN ({_STOP}) GROUP BY 1, 2
-""")(lambda t: t.documents.select(
+""")(lambda t: t.texts.select(
     "doc_id", F.explode(french.french_words(F.col("text"))).alias("word")
 ).groupBy("doc_id", "word").agg(F.count("*").alias("n")))
 
-query("french_terms")(lambda t: t.documents.select(
+query("french_terms")(lambda t: t.texts.select(
     "doc_id", F.explode(french.french_terms(F.col("text"))).alias("term")
 ).groupBy("doc_id", "term").agg(F.count("*").alias("n")))

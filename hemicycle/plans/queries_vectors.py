@@ -147,7 +147,7 @@ query("first_seen_vector", f"""
     SELECT word, first_seen, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
     FROM firsts JOIN embeddings ON first_seen = vec_id
 """)(lambda t: wo.first_seen_vector(
-    t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding"),
+    t.texts.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding"),
     "text", "doc_id", "embedding",
 ).select("word", "first_seen", r6(F.aggregate(
     "embedding", F.lit(0.0), lambda s, x: s + x.cast("double")
@@ -179,7 +179,7 @@ query("score_sentiment", f"""
     WITH logits AS (SELECT doc_id, {_LOGITS} FROM (SELECT doc_id, {m.sql_tokens()} AS tk FROM documents))
     SELECT doc_id, {", ".join(f"round(exp(l_{c} - {_TOP}) / {_TOTAL}, 6) AS {c}" for c in CLASSES)} FROM logits
 """)(lambda t: rounded(se.score_sentiment(
-    t.documents.select("doc_id", "text"), "text", _lexicon()
+    t.texts.select("doc_id", "text"), "text", _lexicon()
 ).drop("text"), *CLASSES))
 
 
@@ -198,11 +198,11 @@ query("score_with_model", f"""
     SELECT doc_id, {", ".join(f"round({p} / ({' + '.join(_PARTS)}), 6) AS {c}" for p, c in zip(_PARTS, CLASSES))}
     FROM documents
 """)(lambda t: rounded(se.score_with_model(
-    t.documents.select("doc_id", "text"), "text", _load_length_scorer
+    t.texts.select("doc_id", "text"), "text", _load_length_scorer
 ).drop("text"), *CLASSES))
 
 query("embed_texts")(lambda t: vo.embed_texts(
-    t.documents.select("doc_id", "text"), "text", dimensions=64
+    t.texts.select("doc_id", "text"), "text", dimensions=64
 ).select("doc_id", F.posexplode("texte_embedding").alias("dim", "value")).where("value <> 0"))
 
 
@@ -216,7 +216,7 @@ query("embed_with_model", """
     SELECT doc_id, round(length(text) / sqrt(length(text)::DOUBLE * length(text)
            + (length(text) % 10) * (length(text) % 10) + 1), 4) AS x FROM documents
 """)(lambda t: vo.embed_with_model(
-    t.documents.select("doc_id", "text"), "text", _load_length_embedder
+    t.texts.select("doc_id", "text"), "text", _load_length_embedder
 ).select("doc_id", F.round(F.element_at("texte_embedding", 1).cast("double"), 4).alias("x")))
 
 # documents of the corpus that have a vector keep it, the others are computed
@@ -225,7 +225,7 @@ _HALF = """SELECT d.doc_id, d.text, e.vec_id FROM documents d LEFT JOIN embeddin
 
 def _half_embedded(t: Tables):
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("texte_embedding"))
-    return t.documents.select("doc_id", "lang", "text").join(vectors, "doc_id", "left")
+    return t.texts.select("doc_id", "lang", "text").join(vectors, "doc_id", "left")
 
 
 query("enrich_embeddings", """
@@ -249,11 +249,11 @@ query("add_vector_column", "SELECT doc_id, TRUE AS missing FROM documents")(
 
 
 def _model(t: Tables):
-    return wo.train_word2vec(t.documents, "text", vector_size=16, epochs=1, min_count=3, partitions=4)
+    return wo.train_word2vec(t.texts, "text", vector_size=16, epochs=1, min_count=3, partitions=4)
 
 
 query("train_word2vec")(lambda t: _model(t).getVectors())
 query("similar_words")(lambda t: wo.similar_words(_model(t), "und", 10))
 query("analyse_similar_words")(lambda t: wo.analyse_similar_words(
-    t.documents, _model(t), "doc_id", "text", "und", 5, 5
+    t.texts, _model(t), "doc_id", "text", "und", 5, 5
 ))

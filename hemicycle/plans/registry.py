@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemicycle.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -25,6 +27,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """documents, for work that is heavy per text."""
+        return spread(self.documents)
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[Tables], DataFrame]) -> Callable:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on; a value the user set wins.
 DEFAULTS = {
@@ -29,6 +29,16 @@ def build_session(master: str | None = None, app: str = "hemicycle", **conf: str
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before work that is heavy per row.
+
+    A scan with at least one split per core, as any large table has, is left alone; only a
+    table of a few splits is dealt out, and that moves little data.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named by ``spark.checkpoint.dir``.
 

@@ -12,9 +12,10 @@ import tarfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hemicycle.functions import dates as dt
 from hemicycle.functions import text as tx
@@ -97,12 +98,12 @@ def _title(elem: ET.Element) -> str | None:
     return None if label is None else " ".join(element_text(label).split())
 
 
-def _votes(section: ET.Element) -> dict[str, str] | None:
+def _votes(section: ET.Element) -> list[tuple[str, str]] | None:
     result = section.find(".//ResultatVote")
     if result is None:
         return None
     found = {n: result.find(f".//{tag}/Valeur") for n, tag in VOTE_FIELDS.items()}
-    return {n: e.text or "" for n, e in found.items() if e is not None}
+    return [(n, e.text or "") for n, e in found.items() if e is not None]
 
 
 def _speaker(para: ET.Element) -> str | None:
@@ -169,12 +170,9 @@ def _toc_rows(root: ET.Element) -> Iterator[dict]:
 
 def _element_rows(root: ET.Element) -> Iterator[dict]:
     block = root.find(".//Metadonnees")
-    meta = {}
-    if block is not None:
-        for field in META_FIELDS:
-            elem = block.find(field)
-            if elem is not None and elem.text is not None:
-                meta[field] = elem.text
+    found = {} if block is None else {f: block.find(f) for f in META_FIELDS}
+    # maps travel as lists of pairs
+    meta = [(f, e.text) for f, e in found.items() if e is not None and e.text is not None]
     yield {"kind": "file", "meta": meta}
 
     for elem in root.iter():
@@ -201,7 +199,7 @@ def _element_rows(root: ET.Element) -> Iterator[dict]:
                 (" ".join(element_text(e).split()) for e in root.iter("Signataire")), None
             ),
         }
-        yield {"kind": "header", "meta": {k: v for k, v in header.items() if v is not None}}
+        yield {"kind": "header", "meta": [(k, v) for k, v in header.items() if v is not None]}
     for body in root.findall(".//CompteRendu/Contenu"):
         for row in _paragraph_rows(body):
             yield {**row, "meta": meta} if row["kind"] == "para" else row
@@ -232,26 +230,21 @@ def parse_archives(files: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Data
     partitions by size. Rows leave in small batches, so a large file is not held twice.
     """
     wanted = frozenset(kinds)
-    columns = ELEMENTS.fieldNames()
+    schema = to_arrow_schema(ELEMENTS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer: list[dict] = []
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for row in _rows_of_file(path, content, wanted):
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for row in _rows_of_file(path.as_py(), content.as_py(), wanted):
                     buffer.append(row)
                     if len(buffer) >= ROWS_PER_BATCH:
-                        yield _frame(buffer, columns)
+                        yield pa.RecordBatch.from_pylist(buffer, schema=schema)
                         buffer = []
         if buffer:
-            yield _frame(buffer, columns)
+            yield pa.RecordBatch.from_pylist(buffer, schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, ELEMENTS)
-
-
-def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    # object columns keep integers and missing values apart
-    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+    return files.select("path", "content").mapInArrow(run, ELEMENTS)
 
 
 # rows -> tables, all native
