@@ -61,10 +61,13 @@ def format_prob(probability: Column) -> Column:
     """
     scaled = probability * F.lit(1e4)
     low = F.floor(scaled)
-    # a double below 1 is an exact multiple of 2^-63 (but for the tiniest, far from any tie)
-    units = (probability * F.lit(2.0**63)).cast("bigint").cast("decimal(19,0)")
+    # scaled by a power of two, the double becomes an exact whole number
+    tiny = probability < F.lit(2.0**-11)
+    factor = F.when(tiny, F.lit(2.0**70)).otherwise(F.lit(2.0**63))
+    exact_factor = F.when(tiny, F.lit(Decimal(2**70))).otherwise(F.lit(Decimal(2**63)))
+    units = (probability * factor).cast("bigint").cast("decimal(19,0)")
     twice = units * F.lit(Decimal(20_000))
-    middle = (low.cast("decimal(5,0)") * F.lit(Decimal(2)) + F.lit(Decimal(1))) * F.lit(Decimal(2**63))
+    middle = (low.cast("decimal(5,0)") * F.lit(Decimal(2)) + F.lit(Decimal(1))) * exact_factor
     up = (twice > middle) | ((twice == middle) & (low % 2 == 1))
     exact = F.when(up, low + 1).otherwise(low)
     near_tie = F.abs(scaled - low - F.lit(0.5)) < F.lit(1e-6)

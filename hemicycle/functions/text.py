@@ -75,7 +75,7 @@ def classify_role(name: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-case words; everything but letters, digits, '_' and blanks is deleted."""
     kept = F.regexp_replace(
-        F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}_\s]", ""
+        F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", ""
     )
     return F.array_remove(F.split(kept, _BLANK + "+"), "")
 
