@@ -44,14 +44,16 @@ def lookup_field(
     keys: DataFrame, table: DataFrame, key: str, field: str, table_key: str | None = None,
     clean: bool = False,
 ) -> DataFrame:
-    """Every key with the table's ``field``, NULL when unknown. Keys compare as strings."""
-    value = F.col(field)
+    """Every key with the table's ``field``, NULL when unknown. Keys of different types
+    compare as strings."""
+    value, other = F.col(field), F.col(table_key or key)
+    mine = F.col(key)
+    if keys.schema[key].dataType != table.schema[table_key or key].dataType:
+        mine, other = mine.cast("string"), other.cast("string")
     right = table.select(
-        F.col(table_key or key).cast("string").alias("_k"),
-        (tx.clean_speaker(value) if clean else value).alias(field),
+        other.alias("_k"), (tx.clean_speaker(value) if clean else value).alias(field)
     )
-    left = keys.withColumn("_k", F.col(key).cast("string"))
-    return left.join(right, "_k", "left").drop("_k")
+    return keys.withColumn("_k", mine).join(right, "_k", "left").drop("_k")
 
 
 def lookup_dates(

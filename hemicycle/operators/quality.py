@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,15 +24,20 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def duplicates_by_key(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    """Duplicated keys with their count; the key itself is read back from one row of each."""
+def duplicates_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Duplicated keys with their count."""
+    return df.groupBy(*keys).agg(F.count("*").alias(N)).where(F.col(N) > 1)
+
+
+def duplicates_by_long_key(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """The same for keys such as whole texts: the first row of each duplicated key with the
+    count. Only digests are shuffled, never the keys."""
     digest = tx.digest(*[F.col(k) for k in keys]).alias("_d")
-    groups = (
+    return (
         df.select(digest, row_id).groupBy("_d")
-        .agg(F.count("*").alias(N), F.min(row_id).alias(row_id))
+        .agg(F.min(row_id).alias(row_id), F.count("*").alias(N))
         .where(F.col(N) > 1).drop("_d")
     )
-    return df.select(row_id, *keys).join(groups, row_id).select(*keys, N)
 
 
 def duplicate_totals(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +79,10 @@ def duplicate_diff_fields(
 
 
 def top_duplicates(df: DataFrame, keys: list[str], row_id: str, n: int = 20) -> DataFrame:
-    return duplicates_by_key(df, keys, row_id).orderBy(F.desc(N), *keys).limit(n)
+    """The largest groups, ties by first appearance. Keys are looked up for the n groups only:
+    a limited side is known to be small, so the table is not shuffled for it."""
+    top = duplicates_by_long_key(df, keys, row_id).orderBy(F.desc(N), row_id).limit(n)
+    return top.join(df.select(row_id, *keys), row_id).select(row_id, *keys, N)
 
 
 def duplicate_entries(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -229,13 +238,15 @@ def dq_text_equal(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:
     return _at_most(joined, "text_equal", F.count_if(F.col("da") != F.col("db")))
 
 
-def dq_score_order(scored: DataFrame, pairs: DataFrame, least: float = 0.75) -> DataFrame:
-    """Share of (low, high) pairs, joined by ``pair``, whose scores are in order."""
-    low = scored.select(F.col("phrase").alias("low"), F.col("score").alias("s_low"))
-    high = scored.select(F.col("phrase").alias("high"), F.col("score").alias("s_high"))
-    joined = pairs.join(low, "low").join(high, "high")
-    share = F.try_divide(F.count_if(F.col("s_low") < F.col("s_high")), F.count("*"))
-    return _at_least(joined, "score_order", share, least)
+def dq_score_order(
+    pairs: DataFrame, score: Callable[[DataFrame, str], DataFrame], low: str = "low",
+    high: str = "high", least: float = 0.75,
+) -> DataFrame:
+    """Share of (low, high) text pairs whose scores are in order. ``score(df, text)`` adds a
+    ``score`` column; both texts of a pair stay in one row, so nothing is joined."""
+    scored = score(score(pairs, low).withColumnRenamed("score", "s_low"), high)
+    share = F.try_divide(F.count_if(F.col("s_low") < F.col("score")), F.count("*"))
+    return _at_least(scored, "score_order", share, least)
 
 
 def quality_report(*checks: DataFrame) -> DataFrame:

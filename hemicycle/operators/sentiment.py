@@ -68,6 +68,12 @@ def score_sentiment(
     return bound.select(*df.columns, *[p.alias(c) for p, c in zip(probabilities, CLASSES)])
 
 
+def sentiment_index(df: DataFrame, text: str) -> DataFrame:
+    """Add ``score``, the 0..4 index of the lexicon's probabilities."""
+    scored = score_sentiment(df, text)
+    return scored.select(*df.columns, sc.sentiment_index_0_4().alias("score"))
+
+
 Scorer = Callable[[list[str]], "list[list[float]]"]
 
 

@@ -41,14 +41,12 @@ def ingest_years(
     if years is not None:
         archive_files = archive_files.where(fl.file_year(F.col("path")).isin(*[str(y) for y in years]))
     rows = interventions(archive_files)
+    # parsed once: all sinks read the same written rows
+    rows = table.staged(rows)
     if transformed_path:
-        # parsed once: both sinks read the same written rows
-        staged = scratch_path(rows.sparkSession, "interventions")
-        rows.write.parquet(staged)
-        rows = rows.sparkSession.read.schema(rows.schema).parquet(staged)
         files.write_transformed(rows, transformed_path, merge=merge)
     write = table.upsert_by_key if replace else table.insert_if_absent
-    write(rows, path, KEY, ORDER)
+    write(rows, path, KEY, ORDER, stage=False)
 
 
 def ingest_year(archive_files: DataFrame, path: str, year: int, **options: object) -> None:
@@ -120,7 +118,7 @@ def ingest_incremental(
     rows_path = scratch_path(spark, "rows")
     archives.xml_paragraphs(elements).write.parquet(rows_path)
     rows = spark.read.schema(INTERVENTIONS).parquet(rows_path)
-    table.insert_if_absent(rows, path, KEY, ORDER)
+    table.insert_if_absent(rows, path, KEY, ORDER, stage=False)
 
     counts = rows.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("documents"))
     errors = archives.parse_errors(elements).select(F.col("source_file").alias("path"), "error")

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from hemicycle.operators import quality as qo
 from hemicycle.operators import sentiment as se
-from hemicycle.functions import scores as sc
 from hemicycle.plans import mapping as m
 from hemicycle.plans.registry import Tables, query, rounded
 
 query("duplicates_by_key", """
-    SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1
-""")(lambda t: qo.duplicates_by_key(t.texts, ["text"], "doc_id"))
+    SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1
+""")(lambda t: qo.duplicates_by_long_key(t.texts, ["text"], "doc_id"))
+
+query("duplicates_by_short_key", """
+    SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1
+""")(lambda t: qo.duplicates_by_key(t.conversations, ["conv_id", "role"]))
 
 query("duplicate_totals", """
     SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS unique_keys, count(*) FILTER (WHERE n > 1) AS duplicated_keys,
@@ -37,7 +40,8 @@ query("duplicate_diff_fields", """
 """)(lambda t: qo.duplicate_diff_fields(t.documents, ["text"], "doc_id", ["source", "lang", "n_chars"]))
 
 query("top_duplicates", """
-    SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, text LIMIT 20
+    SELECT min(doc_id) AS doc_id, text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1
+    ORDER BY n DESC, min(doc_id) LIMIT 20
 """)(lambda t: qo.top_duplicates(t.documents, ["text"], "doc_id"))
 
 
@@ -169,17 +173,14 @@ query("quality_report", " UNION ALL ".join(_CHECKS[n][0] for n in _REPORTED))(
 )
 
 
-def _phrases(t: Tables):
-    """Pairs of one document of the corpus without and with a favourable opening."""
-    docs = t.texts.select(
-        "doc_id", F.col("text").alias("low"), F.concat(F.lit("Bravo, remarquable. "), F.col("text")).alias("high")
+def _pairs(t: Tables):
+    """Every document without and with a favourable opening."""
+    return t.texts.select(
+        F.col("text").alias("low"), F.concat(F.lit("Bravo, remarquable. "), F.col("text")).alias("high")
     )
-    both = docs.select(F.explode(F.array("low", "high")).alias("phrase")).distinct()
-    scored = se.score_sentiment(both, "phrase").select("phrase", sc.sentiment_index_0_4().alias("score"))
-    return scored, docs.select("low", "high")
 
 
 query("dq_score_order", """
     SELECT 'score_order' AS "check", 1.0::DOUBLE AS value, 0.75::DOUBLE AS threshold, TRUE AS passed
     FROM (SELECT count(*) FROM documents)
-""")(lambda t: qo.dq_score_order(*_phrases(t)))
+""")(lambda t: qo.dq_score_order(_pairs(t), se.sentiment_index))

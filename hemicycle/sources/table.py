@@ -72,28 +72,42 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType = INTERVENTI
     return spark.read.schema(schema).parquet(path)
 
 
+def staged(df: DataFrame, schema: T.StructType = INTERVENTIONS) -> DataFrame:
+    """The rows, written once to the shared folder and read back from there.
+
+    A batch is used several times below; without this an expensive plan behind it (parsing
+    archives) would run each time.
+    """
+    path = scratch_path(df.sparkSession, "staged")
+    df.select(*schema.fieldNames()).write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def _append(df: DataFrame, path: str, year: str) -> None:
     df.write.mode("append").partitionBy(year).parquet(path)
 
 
 def insert_if_absent(
     batch: DataFrame, path: str, key: str, order: list[str],
-    schema: T.StructType = INTERVENTIONS, year: str = YEAR,
+    schema: T.StructType = INTERVENTIONS, year: str = YEAR, stage: bool = True,
 ) -> None:
-    """Append the rows whose key is absent; existing files are not touched."""
+    """Append the rows whose key is absent; existing files are not touched. A batch that is
+    read straight from files needs no ``stage``.
+
+    The files the join reads are listed before the append starts, so the rows it adds do
+    not change its own input, not even when a task is run again.
+    """
     spark = batch.sparkSession
     if not _exists(spark, path):
         create_table(spark, path, schema, year)
     target = read_table(spark, path, schema)
-    # the rows are fixed before the append, which would change what the join reads
-    staged = scratch_path(spark, "insert")
-    absent_rows(target.select(key), batch.select(*schema.fieldNames()), key, order).write.parquet(staged)
-    _append(spark.read.schema(schema).parquet(staged), path, year)
+    rows = staged(batch, schema) if stage else batch.select(*schema.fieldNames())
+    _append(absent_rows(target.select(key), rows, key, order), path, year)
 
 
 def upsert_by_key(
     batch: DataFrame, path: str, key: str, order: list[str],
-    schema: T.StructType = INTERVENTIONS, year: str = YEAR,
+    schema: T.StructType = INTERVENTIONS, year: str = YEAR, stage: bool = True,
 ) -> None:
     """Replace rows by key. Only the years with new or replaced rows are rewritten.
 
@@ -104,9 +118,8 @@ def upsert_by_key(
     spark = batch.sparkSession
     if not _exists(spark, path):
         create_table(spark, path, schema, year)
-    staged_batch = scratch_path(spark, "batch")
-    batch_last_wins(batch.select(*schema.fieldNames()), key, order).write.parquet(staged_batch)
-    fresh = spark.read.schema(schema).parquet(staged_batch)
+    rows = staged(batch, schema) if stage else batch.select(*schema.fieldNames())
+    fresh = staged(batch_last_wins(rows, key, order), schema)
     target = read_table(spark, path, schema)
 
     replaced = target.select(key, year).where(_keyed(key)).join(
@@ -122,9 +135,7 @@ def upsert_by_key(
         in_touched = in_touched | F.col(year).isNull()
     kept = new_documents(target.where(in_touched), fresh, key)
 
-    staged = scratch_path(spark, "upsert")
-    kept.unionByName(fresh).write.partitionBy(year).parquet(staged)
-    merged = spark.read.schema(schema).parquet(staged)
+    merged = staged(kept.unionByName(fresh), schema)
     left = {r[0] for r in merged.select(year).distinct().collect()}
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         year

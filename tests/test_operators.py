@@ -183,7 +183,7 @@ def test_lexicon_scores_are_ordered(spark):
     for r in scored.collect():
         assert abs(sum(r[c] for c in CLASSES) - 1) < 1e-9
     scores = scored.select("phrase", sc.sentiment_index_0_4().alias("score"))
-    check = qo.dq_score_order(scores, spark.createDataFrame(PAIRS, "low string, high string")).first()
+    check = qo.dq_score_order(spark.createDataFrame(PAIRS, "low string, high string"), se.sentiment_index).first()
     assert check.passed and check.value >= 0.75
     by_phrase = {r.phrase: r.score for r in scores.collect()}
     mean = {g: sum(by_phrase[p] for p in ps) / 2 for g, ps in GRADED.items()}
@@ -202,7 +202,9 @@ def test_a_model_is_loaded_per_task_and_scores_null_as_empty(spark):
 def test_duplicates_and_reconciliation(spark):
     rows = [(1, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, "b", None), (5, "b", "x"), (6, None, "z"), (7, None, "z")]
     df = spark.createDataFrame(rows, "o long, k string, v string")
-    assert sorted(qo.duplicates_by_key(df, ["k"], "o").collect(), key=str) == [("a", 2), ("b", 3), (None, 2)]
+    assert sorted(qo.duplicates_by_key(df, ["k"]).collect(), key=str) == [("a", 2), ("b", 3), (None, 2)]
+    assert sorted(qo.duplicates_by_long_key(df, ["k"], "o").collect()) == [(1, 2), (3, 3), (6, 2)]
+    assert qo.top_duplicates(df, ["k"], "o", 1).collect() == [(3, "b", 3)]
     assert qo.duplicates_kind(df, ["k"], ["v"]).first() == (2, 1)
     diff = {r.o: r.differences for r in qo.duplicate_diff_fields(df, ["k"], "o", ["v"]).collect()}
     assert diff == {2: "", 4: "v", 5: "v", 7: ""}
