@@ -75,11 +75,12 @@ def drop_null_date(df: DataFrame, column: str = "date_seance") -> DataFrame:
 def point_lookup(df: DataFrame, key: str, value: object) -> DataFrame:
     """The row with this key. A missing key raises when the result is read."""
     hit = df.where(F.col(key) == F.lit(value))
-    wanted = df.sparkSession.range(1).select(F.lit(value).alias("_wanted"))
-    joined = wanted.join(hit, F.col("_wanted") == F.col(key), "left")
     absent = F.raise_error(F.lit(f"no row with {key} = {value}"))
-    found = F.when(F.col(key).isNull(), absent.cast(df.schema[key].dataType)).otherwise(F.col(key))
-    return joined.select(*[found.alias(c) if c == key else F.col(c) for c in df.columns])
+    # a row that exists, and so raises, only when nothing was found
+    nothing = hit.agg(F.count("*").alias("_n")).where(F.col("_n") == 0)
+    return hit.unionByName(nothing.select(*[
+        absent.cast(f.dataType).alias(f.name) for f in df.schema.fields
+    ]))
 
 
 def project_include(df: DataFrame, *columns: str) -> DataFrame:

@@ -74,11 +74,13 @@ def _runs(
         F.min_by(key, at).alias("_first"), F.max_by(key, at).alias("_last"),
         F.min(at).alias("_at"), F.max("_mark").alias("_inner"),
     )
-    along = Window.partitionBy(f"{_BLOCK}.k").orderBy(f"{_BLOCK}.c")
+    # columns of their own, so that both windows share one exchange
+    along = Window.partitionBy("_k").orderBy("_c")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce(F.col("_before") != F.col("_first"), F.lit(True))
     entry = (
-        summary.withColumn("_before", F.lag("_last").over(along))
+        summary.select("*", F.col(f"{_BLOCK}.k").alias("_k"), F.col(f"{_BLOCK}.c").alias("_c"))
+        .withColumn("_before", F.lag("_last").over(along))
         .withColumn("_opens", F.when(opens, F.col("_at")))
         .withColumn("_carry", F.max(F.coalesce("_inner", "_opens")).over(before))
         .select(_BLOCK, F.coalesce("_opens", "_carry").alias("_entry"))

@@ -282,19 +282,18 @@ def xml_metadata(elements: DataFrame) -> DataFrame:
     )
 
 
-def xml_sections(elements: DataFrame, keep_all: bool = False) -> DataFrame:
-    """Paragraph rows with section and subsection titles.
-
-    By default a section with subsections keeps only the paragraphs of its subsections, and
-    paragraphs before the first section or nested deeper are left out; ``keep_all`` keeps them.
-    """
-    paras = _of_kind(elements, "para")
-    if keep_all:
-        return paras
-    in_sub = F.col("sub_kind").isin(1, 2)
+def kept_in_strict_mode() -> Column:
+    """A section with subsections keeps only their paragraphs; paragraphs before the first
+    section or nested deeper are left out."""
     # level holds, for a direct paragraph, how many subsections its section has
     direct = (F.col("sub_kind") == 0) & (F.col("level") == 0)
-    return paras.where(in_sub | direct)
+    return F.col("sub_kind").isin(1, 2) | direct
+
+
+def xml_sections(elements: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Paragraph rows with section and subsection titles; ``keep_all`` keeps every paragraph."""
+    paras = _of_kind(elements, "para")
+    return paras if keep_all else paras.where(kept_in_strict_mode())
 
 
 PLACE = ["source_file", "section_seq", "sub_kind", "sub_seq"]
@@ -369,11 +368,19 @@ def xml_ids(elements: DataFrame) -> DataFrame:
 
 
 def xml_para_count(elements: DataFrame) -> DataFrame:
-    """Per file: paragraph elements of the XML, extracted rows, and their ratio in percent."""
-    raw = _of_kind(elements, "any_para").groupBy("source_file").agg(F.count("*").alias("raw"))
-    extracted = xml_paragraphs(elements).groupBy("source_file").agg(F.count("*").alias("extracted"))
-    return raw.join(extracted, "source_file", "left").select(
-        "source_file", "raw", F.coalesce("extracted", F.lit(0)).alias("extracted"),
+    """Per file: paragraph elements of the XML, extracted rows, and their ratio in percent.
+
+    One pass: an extracted row is a paragraph that starts a run of its id.
+    """
+    kept = (F.col("kind") == "para") & F.col("idsyceron").isNotNull() & kept_in_strict_mode()
+    rows = elements.where(F.col("kind").isin("any_para", "para")).withColumn(
+        "_kept", F.coalesce(kept, F.lit(False))
+    )
+    along = Window.partitionBy(*PLACE, "_kept").orderBy("ordinal")
+    starts = F.coalesce(F.lag("idsyceron").over(along) != F.col("idsyceron"), F.lit(True))
+    return rows.withColumn("_start", F.col("_kept") & starts).groupBy("source_file").agg(
+        F.count_if(F.col("kind") == "any_para").alias("raw"),
+        F.count_if(F.col("_start")).alias("extracted"),
     ).withColumn("ratio_pct", F.try_divide(F.lit(100.0) * F.col("extracted"), F.col("raw")))
 
 
@@ -415,12 +422,16 @@ def xml_toc(elements: DataFrame) -> DataFrame:
 
 def toc_missing_sections(elements: DataFrame) -> DataFrame:
     """Titles of the table of contents that no section or subsection carries, per file."""
-    titles = xml_toc(elements).where((F.col("kind") == "title") & (F.col("label") != "")).select(
-        "source_file", "label"
-    ).distinct()
-    paras = _of_kind(elements, "para")
-    known = paras.select("source_file", F.explode(F.array("section_titre", "sub_titre")).alias("label"))
-    return titles.join(known.where(F.col("label").isNotNull()), ["source_file", "label"], "left_anti")
+    listed = (F.col("kind") == "toc") & (F.col("tag") == "title")
+    labels = F.when(listed, F.array(tx.clean_text(F.col("text")))).when(
+        F.col("kind") == "para", F.array("section_titre", "sub_titre")
+    )
+    # one pass: both sides are counted per label
+    rows = elements.select("source_file", "kind", F.explode(labels).alias("label"))
+    sides = rows.where(F.col("label") != "").groupBy("source_file", "label").agg(
+        F.count_if(F.col("kind") == "toc").alias("toc"), F.count_if(F.col("kind") == "para").alias("para")
+    )
+    return sides.where((F.col("toc") > 0) & (F.col("para") == 0)).select("source_file", "label")
 
 
 def parse_errors(elements: DataFrame) -> DataFrame:
