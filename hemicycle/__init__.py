@@ -10,3 +10,11 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of
+# this package on their path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 # Java's Unicode \s leaves out the four ASCII separators that Python counts as blank.
 _BLANK = r"(?U)[\s\x1c-\x1f]"
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters Python strips from both ends of a text.
+STRIPPED = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Generic speaker opening, and the title dropped from a speaker name.
 GENERIC_OPENING = r"^(M\.|Mme|Mlle)\.?\s+[^.]+\.\s*"
@@ -21,8 +25,8 @@ DEFAULT_FAMILY = "Non inscrit"
 
 
 def strip(text: Column) -> Column:
-    """Drop Unicode blanks at both ends (Spark's trim only knows the space)."""
-    return F.regexp_replace(text, _EDGES, "")
+    """Drop Unicode blanks at both ends (by default Spark's trim only knows the space)."""
+    return F.trim(text, F.lit(STRIPPED))
 
 
 def clean_text(text: Column) -> Column:
@@ -48,12 +52,13 @@ def strip_speaker_prefix(
     named = name.isNotNull() & (name != "") & (
         F.lower(F.left(body, F.length(name))) == F.lower(name)
     )
-    rest = F.regexp_replace(
-        F.substring(body, F.length(name) + 1, F.length(body)), r"(?U)^\.?\s*", ""
-    )
-    body = F.when(named, rest).otherwise(body)
+    rest = F.substring(body, F.length(name) + 1, F.length(body))
+    dotless = F.when(rest.startswith("."), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+    body = F.when(named, F.ltrim(dotless, F.lit(STRIPPED))).otherwise(body)
     if generic:
-        body = F.regexp_replace(body, "(?U)" + GENERIC_OPENING, "")
+        opened = F.regexp_replace(body, "(?U)" + GENERIC_OPENING, "")
+        # texts that cannot match skip the pattern
+        body = F.when(body.startswith("M"), opened).otherwise(body)
     return strip(body)
 
 

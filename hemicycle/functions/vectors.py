@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +28,26 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_to(a: Column, query: list[float]) -> Column:
-    """Cosine to a fixed vector, whose norm is folded into the literal."""
-    length = sum(x * x for x in query) ** 0.5
-    unit = [x / length if length else 0.0 for x in query]
-    literal = F.array(*[F.lit(float(x)) for x in unit])
-    return F.coalesce(F.try_divide(dot(a, literal), norm(a)), F.lit(0.0))
+    """Cosine to a fixed vector: one matrix product per Arrow batch.
+
+    Faster on wide vectors than the interpreted element loop of ``cosine``. NULL stays NULL;
+    a vector of another length scores 0, like a zero vector.
+    """
+    q = np.asarray(query, dtype=np.float64)
+    q = q / (np.linalg.norm(q) or 1.0)
+
+    @F.arrow_udf("double")
+    def score(vectors: pa.Array) -> pa.Array:
+        fits = pc.equal(pc.list_value_length(vectors), len(q)).fill_null(False)
+        fits = fits.to_numpy(zero_copy_only=False)
+        flat = vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
+        m = flat.astype(np.float64).reshape(-1, len(q))
+        norms = np.linalg.norm(m, axis=1)
+        out = np.zeros(len(vectors))
+        out[fits] = np.divide(m @ q, norms, out=np.zeros(len(m)), where=norms > 0)
+        return pa.array(out, mask=vectors.is_null().to_numpy(zero_copy_only=False))
+
+    return score(a)
 
 
 def drift(a: Column, b: Column) -> Column:

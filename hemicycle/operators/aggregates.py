@@ -164,7 +164,7 @@ def manifest_by_year(files: DataFrame, path: str, year: Column, show: int = 3) -
         "_rn", F.row_number().over(Window.partitionBy("annee").orderBy("_p"))
     ).where(F.col("_rn") <= show)
     names = ranked.groupBy("annee").agg(
-        F.concat_ws(", ", F.array_sort(F.collect_list("_p"))).alias("first_files")
+        F.concat_ws(", ", F.sort_array(F.collect_list("_p"))).alias("first_files")
     )
     return counts.join(names, "annee")
 
@@ -218,7 +218,7 @@ def import_report(files: DataFrame) -> DataFrame:
         F.sum("documents_count").alias("d")
     )
     by_year = per_year.where(F.col("year").isNotNull()).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("year").cast("string"), "d"))))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string"), "d"))))
     )
     return files.agg(
         F.count("*").alias("total_files"),
@@ -238,7 +238,7 @@ def table_status(df: DataFrame, year: str = "annee") -> DataFrame:
         F.current_timestamp().alias("checked_at"),
         F.coalesce(F.sum("c"), F.lit(0)).alias("documents"),
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(
+            F.sort_array(F.collect_list(F.when(
                 F.col(year).isNotNull(), F.struct(F.col(year).alias("y"), F.col("c"))
             )))
         ).alias("documents_by_year"),

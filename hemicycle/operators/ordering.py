@@ -111,21 +111,21 @@ def merge_same_para(
     at = F.struct(*order)
     by_run = [*keys, run_key, "run_start"]
     parts = runs.groupBy(_BLOCK, *by_run).agg(
-        F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(text).alias("t")))).alias("_p"),
+        F.sort_array(F.collect_list(F.struct(at.alias("at"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("_p"),
         F.min_by(F.struct(F.lit(1).alias("_one"), *firsts), at).alias("_f"),
         F.count("*").alias("_n"),
     ).select(
         *by_run, F.col(f"{_BLOCK}.c").alias("_c"), "_f", "_n",
-        F.array_join(F.transform("_p", lambda p: F.coalesce(p["t"], F.lit(""))), separator).alias("_t"),
+        F.array_join(F.col("_p.t"), separator).alias("_t"),
     )
     merged = parts.groupBy(*by_run).agg(
-        F.array_sort(F.collect_list(F.struct("_c", "_t"))).alias("_p"),
+        F.sort_array(F.collect_list(F.struct("_c", "_t"))).alias("_p"),
         F.min_by("_f", "_c").alias("_f"),
         F.sum("_n").alias("merged_rows"),
     )
     return merged.select(
         *by_run,
         *[F.col(f"_f.{c}").alias(c) for c in firsts],
-        F.array_join(F.transform("_p", lambda p: p["_t"]), separator).alias(text),
+        F.array_join(F.col("_p._t"), separator).alias(text),
         "merged_rows",
     )

@@ -248,8 +248,8 @@ def archive_files(t: Tables) -> DataFrame:
     )
 
     def joined(order: str) -> Column:
-        parts = F.array_sort(F.collect_list(F.struct(order, "xml")))
-        return F.array_join(F.transform(parts, lambda p: p["xml"]), "")
+        parts = F.sort_array(F.collect_list(F.struct(order, "xml")))
+        return F.array_join(parts.getField("xml"), "")
 
     def titled(tag: str, ident: Column, title: Column, extra: Column) -> Column:
         return F.concat(
@@ -282,7 +282,7 @@ def archive_files(t: Tables) -> DataFrame:
     ))
     bodies = sections.groupBy("block").agg(
         joined("lang").alias("xml"),
-        F.array_join(F.array_sort(F.collect_list("toc")), "").alias("toc"),
+        F.array_join(F.sort_array(F.collect_list("toc")), "").alias("toc"),
     )
     dates = t.orders.select(F.col("o_orderkey").alias("_k"), F.col("o_orderdate").alias("_d"))
     dated = bodies.join(dates, F.col("block") * DOCS_PER_ARCHIVE == F.col("_k"))

@@ -120,6 +120,13 @@ query("knn_search", _KNN)(lambda t: rounded(
 query("knn_search_arrow", _KNN)(lambda t: rounded(
     vo.knn_search_arrow(t.embeddings, "vec_id", "embedding", _query_list(t), 10), "score"
 ))
+query("topk_per_year_fixed", f"""
+    {_V}, scored AS (SELECT vec_id, annee, list_cosine_similarity(v, (SELECT v FROM vecs WHERE vec_id = 0)) AS s FROM vecs),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY annee ORDER BY s DESC, vec_id) AS rn FROM scored)
+    SELECT annee, vec_id, round(s, 6) AS score FROM ranked WHERE rn <= 5
+""")(lambda t: rounded(
+    vo.topk_per_year(m.dated_embeddings(t), "annee", "vec_id", "embedding", _query_list(t), 5)
+    .select("annee", "vec_id", "score"), "score"))
 query("knn_search_filtered", f"""
     {_V} SELECT vec_id, label, round(list_cosine_similarity(v, (SELECT v FROM vecs WHERE vec_id = 0)), 6) AS score
     FROM vecs WHERE label = 3

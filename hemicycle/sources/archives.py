@@ -328,12 +328,12 @@ def xml_paragraphs(elements: DataFrame, keep_all: bool = False, generic: bool =
 def _join_runs(runs: DataFrame, first: Column) -> DataFrame:
     joined = runs.groupBy(*PLACE, "idsyceron", "_run").agg(
         F.min_by(first, "ordinal").alias("_f"),
-        F.array_sort(F.collect_list(F.struct("ordinal", F.col("_text").alias("t")))).alias("_p"),
+        F.sort_array(F.collect_list(F.struct("ordinal", F.col("_text").alias("t")))).alias("_p"),
     )
     flat = joined.select(
         F.col("idsyceron").alias("para_id"),
         "_f.*",
-        F.concat_ws(" ", F.transform("_p", lambda p: p["t"])).alias("texte"),
+        F.array_join(F.col("_p.t"), " ").alias("texte"),
         "source_file",
         F.col("_run").alias("ordinal"),
     )

@@ -109,6 +109,9 @@ def test_softmax_and_vectors(spark):
     assert got[0][:2] == (pytest.approx([0.6, 0.8, 0.0]), [0.0, 0.0, 0.0])
     assert got[0][2:5] == (0.0, pytest.approx(1.0), pytest.approx(0.96))
     assert got[0][5] == [0.5, 0.5]
+    odd = apply(spark, [([1.0, 0.0],), (None,), ([1.0],), ([0.0, 2.0],), ([0.0, 0.0],)], "v array<double>",
+                vx.cosine_to(F.col("v"), [0.0, 5.0]))
+    assert odd == [0.0, None, 0.0, 1.0, 0.0]
 
 
 def test_json_list(spark):
