@@ -46,6 +46,14 @@ query("cosine", """
     vx.drift(F.col("embedding"), F.col("f")).alias("drift"),
 ), "cosine", "drift"))
 
+query("drift", f"""
+    {_V} SELECT vec_id, round(1 - list_cosine_similarity(v, (SELECT v FROM vecs WHERE vec_id = 1)), 6) AS drift
+    FROM vecs WHERE vec_id <> 1
+""")(lambda t: rounded(
+    t.embeddings.where("vec_id <> 1").withColumn(
+        "_q", t.embeddings.where("vec_id = 1").select("embedding").scalar()
+    ).select("vec_id", vx.drift(F.col("embedding"), F.col("_q")).alias("drift")), "drift"))
+
 query("l2_normalise", """
     SELECT vec_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS dim, round(unnest(u), 6) AS value FROM (
         SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hemicycle.session import spread
+from hemicycle.session import prepare, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ class Tables:
     """The given tables of one folder, read on first use."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -29,6 +29,15 @@ def build_session(master: str | None = None, app: str = "hemicycle", **conf: str
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the run-time settings its owner left unset."""
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key) and key.startswith("spark.sql.adaptive."):
+            spark.conf.set(key, value)
+    return spark
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a small scan over all cores before work that is heavy per row.
 
