@@ -34,14 +34,17 @@ def sql_words(column: str) -> str:
 # documents as interventions
 
 
-def interventions(t: Tables, dated: bool = True) -> DataFrame:
+def interventions(t: Tables) -> DataFrame:
     """documents with the date of the order of the same number."""
-    docs = t.texts.select(
+    return dated(t, t.texts.select(
         F.col("doc_id").alias("para_id"), F.col("text").alias("texte"),
         F.col("source").alias("orateur_nom"), F.col("lang").alias("section_id"),
-    )
-    if not dated:
-        return docs
+    ))
+
+
+def dated(t: Tables, docs: DataFrame) -> DataFrame:
+    """Rows keyed by ``para_id`` with their date. What can be derived from a text alone is
+    derived before this join, so that the text does not travel through it."""
     dates = t.orders.select(
         F.col("o_orderkey").alias("para_id"),
         F.col("o_orderdate").cast("date").alias("date_seance"),

@@ -43,11 +43,14 @@ query("stats_by_year", f"""
     FROM interventions GROUP BY annee
 """)(lambda t: ag.stats_by_year(
     # texts are counted by digest: 32 bytes each are shuffled instead of the texts
-    m.interventions(t).select("annee", tx.digest(F.col("texte")).alias("key")), F.col("key")
+    m.dated(t, t.texts.select(
+        F.col("doc_id").alias("para_id"), tx.digest(F.col("text")).alias("key")
+    )), F.col("key"),
 ))
 
 query("stats_by_year_approx")(lambda t: ag.stats_by_year(
-    m.interventions(t).select("annee", F.xxhash64("texte").alias("key")), F.col("key"), approximate=True
+    m.dated(t, t.texts.select(F.col("doc_id").alias("para_id"), F.xxhash64("text").alias("key"))),
+    F.col("key"), approximate=True,
 ))
 
 query("word_count_by_date", f"""
