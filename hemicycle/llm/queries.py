@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import ann, line_dedup, mixing, topk, url_filter
+from hemicycle.llm import ann, language, line_dedup, mixing, packing, topk, toxicity, url_filter
 from hemicycle.plans.registry import Tables
 
+#: Vocabulary for packing; any other file of the same library can be given to the operator.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,3 +50,18 @@ def op8(t: Tables) -> DataFrame:
 @query("op9_url_filter", url_filter.SQL)
 def op9(t: Tables) -> DataFrame:
     return url_filter.filter_urls(t.pages)
+
+
+@query("op2_toxicity")
+def op2(t: Tables) -> DataFrame:
+    return toxicity.find_toxic(t.documents, t.labels)
+
+
+@query("op3_language_id")
+def op3(t: Tables) -> DataFrame:
+    return language.identify_documents(t.documents, t.pages)
+
+
+@query("op4_best_fit_packing")
+def op4(t: Tables) -> DataFrame:
+    return packing.pack(t.documents, TOKENIZER)
