@@ -174,12 +174,12 @@ def identify(rows: DataFrame, model: TextModel, evidence: str, declared: str | N
     origin = F.col(host) if host else F.lit(None).cast("string")
     rows = rows.select(
         "*",
-        F.transform(F.col(f"{evidence}.ll"), lambda x: x * TEMPER).alias("_text"),
-        F.when(said.isin(model.languages), said).alias("_said"), origin.alias("_host"))
-    soft = rows.select(softmax(F.col("_text")).alias("soft"), F.col("_host").alias("host"), "_said")
+        F.transform(F.col(f"{evidence}.ll"), lambda x: x * TEMPER).alias("__text"),
+        F.when(said.isin(model.languages), said).alias("__said"), origin.alias("__host"))
+    soft = rows.select(softmax(F.col("__text")).alias("soft"), F.col("__host").alias("host"), "__said")
     priors, world = host_priors(soft, size)
-    told = {r["_said"]: (r["n"], r["total"])
-            for r in grouped(soft.where("_said IS NOT NULL"), ["_said"], size).collect()}
+    told = {r["__said"]: (r["n"], r["total"])
+            for r in grouped(soft.where("__said IS NOT NULL"), ["__said"], size).collect()}
     per_language = [sum(n[i] for n, _ in told.values()) for i in range(size)]
     markup = F.array(*[F.lit(0.0)] * size)
     for code, (n, _) in sorted(told.items()):
@@ -187,26 +187,26 @@ def identify(rows: DataFrame, model: TextModel, evidence: str, declared: str | N
         belief = [
             np.log((n[i] + STRENGTH * (0.7 if code == model.languages[i] else 0.3 / size))
                    / (per_language[i] + STRENGTH)) for i in range(size)]
-        markup = F.when(F.col("_said") == code, F.array(*[F.lit(float(x)) for x in belief])).otherwise(markup)
+        markup = F.when(F.col("__said") == code, F.array(*[F.lit(float(x)) for x in belief])).otherwise(markup)
     suffix = F.array(*[F.lit(0.0)] * size)
     for code, language in SUFFIXES.items():
         if language in model.languages:
             odds = [float(np.log(SUFFIX_ODDS)) if x == language else 0.0 for x in model.languages]
-            suffix = F.when(F.col("_host").endswith(f".{code}"), F.array(*[F.lit(x) for x in odds])).otherwise(suffix)
-    joined = rows.join(hinted(priors.withColumnRenamed("host", "_prior_host")),
-                       F.col("_host") == F.col("_prior_host"), "left")
+            suffix = F.when(F.col("__host").endswith(f".{code}"), F.array(*[F.lit(x) for x in odds])).otherwise(suffix)
+    joined = rows.join(hinted(priors.select(F.col("host").alias("__prior_host"), F.col("prior").alias("__host_prior"))),
+                       F.col("__host") == F.col("__prior_host"), "left")
     joined = joined.select(
-        "*", F.transform(F.coalesce("prior", world), lambda p: F.log(p)).alias("_prior"),
-        markup.alias("_markup"), suffix.alias("_suffix"))
-    parts = F.arrays_zip("_text", "_prior", "_markup", "_suffix")
-    fused = softmax(F.transform(parts, lambda x: x["_text"] + x["_prior"] + x["_markup"] + x["_suffix"]))
-    joined = joined.withColumn("_fused", fused)
+        "*", F.transform(F.coalesce("__host_prior", world), lambda p: F.log(p)).alias("__prior"),
+        markup.alias("__markup"), suffix.alias("__suffix"))
+    parts = F.arrays_zip("__text", "__prior", "__markup", "__suffix")
+    fused = softmax(F.transform(parts, lambda x: x["__text"] + x["__prior"] + x["__markup"] + x["__suffix"]))
+    joined = joined.withColumn("__fused", fused)
     mean = F.array_max(f"{evidence}.ll") / F.col(f"{evidence}.n")
-    best = F.array_max("_fused")
-    drop = ("_text", "_said", "_host", "_prior_host", "prior", "_prior", "_markup", "_suffix", "_fused")
+    best = F.array_max("__fused")
+    drop = ("__text", "__said", "__host", "__prior_host", "__host_prior", "__prior", "__markup", "__suffix", "__fused")
     return joined.withColumns({
-        "language": F.get(names, F.array_position("_fused", best).cast("int") - 1),
-        "text_language": F.get(names, F.array_position("_text", F.array_max("_text")).cast("int") - 1),
+        "language": F.get(names, F.array_position("__fused", best).cast("int") - 1),
+        "text_language": F.get(names, F.array_position("__text", F.array_max("__text")).cast("int") - 1),
         "posterior": best,
         "kept": F.coalesce((F.col(f"{evidence}.n") > 0) & (mean >= model.floor) & (best >= LEAST_POSTERIOR), F.lit(False)),
     }).drop(*drop)
@@ -255,8 +255,10 @@ def identify_documents(documents: DataFrame, pages: DataFrame) -> DataFrame:
 def keep_identified(documents: DataFrame) -> DataFrame:
     """The documents whose language is known, with ``lang`` set to it. Texts do not move:
     the host (here: source) priors are the only thing joined."""
-    columns = documents.columns
     model = model_from(documents)
-    rows = documents.withColumn("_evidence", text_evidence(F.col("text"), model))
-    found = identify(rows, model, "_evidence", None, "source").where("kept")
-    return found.select(*[F.col("language").alias(c) if c == "lang" else F.col(f"`{c}`") for c in columns])
+    rows = documents.select(
+        F.struct("*").alias("row"), F.col("source").alias("origin"),
+        text_evidence(F.col("text"), model).alias("evidence"))
+    found = identify(rows, model, "evidence", None, "origin").where("kept")
+    return found.select(*[F.col("language").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c)
+                          for c in documents.columns])

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Order of a row without doc_id.
 LAST = (1 << 63) - 1
+ROW_ID, ROW_HASH = "__row_id", "__row_hash"
 
 
 def lines_of(text: Column) -> Column:
@@ -51,21 +52,21 @@ def keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Identity of a document that holds across scans: its id and the hash of its text."""
     return documents.select(
         "*",
-        F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(LAST)).alias("_id"),
-        F.coalesce(F.xxhash64(F.col(f"`{text_column}`")), F.lit(0)).alias("_fp"),
+        F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(LAST)).alias(ROW_ID),
+        F.coalesce(F.xxhash64(F.col(f"`{text_column}`")), F.lit(0)).alias(ROW_HASH),
     )
 
 
 def later_windows(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(_id, _fp, covered): sorted positions of lines that later occurrences cover."""
+    """(row id, row hash, covered): sorted positions of lines that later occurrences cover."""
     text = F.col(f"`{text_column}`")
     windows = (
         keyed(documents, id_column, text_column)
         .where(F.size(lines_of(text)) >= WINDOW)
-        .select("_id", "_fp", F.explode(window_hashes(lines_of(text))).alias("w"))
-        .select("_id", "_fp", "w.pos", "w.a", "w.b")
+        .select(ROW_ID, ROW_HASH, F.explode(window_hashes(lines_of(text))).alias("w"))
+        .select(ROW_ID, ROW_HASH, "w.pos", "w.a", "w.b")
     )
-    place = F.struct("_id", "_fp", "pos")
+    place = F.struct(ROW_ID, ROW_HASH, "pos")
     firsts = (
         windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(F.col("first") != F.col("last")).drop("last")
@@ -73,25 +74,25 @@ def later_windows(documents: DataFrame, id_column: str = "doc_id", text_column:
     later = windows.join(firsts, ["a", "b"]).where(place != F.col("first"))
     covered = F.array_distinct(F.flatten(F.transform(
         F.collect_set("pos"), lambda p: F.array(*[p + i for i in range(WINDOW)]))))
-    return later.groupBy("_id", "_fp").agg(covered.alias("covered"))
+    return later.groupBy(ROW_ID, ROW_HASH).agg(covered.alias("__covered"))
 
 
 def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with ``text`` rewritten, and ``n_lines``, ``n_removed`` beside them."""
     text = F.col(f"`{text_column}`")
     rows = keyed(documents, id_column, text_column)
-    joined = rows.join(later_windows(documents, id_column, text_column), ["_id", "_fp"], "left")
+    joined = rows.join(later_windows(documents, id_column, text_column), [ROW_ID, ROW_HASH], "left")
     lines = lines_of(text)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered"))
     rewritten = F.array_join(F.flatten(F.transform(
         F.array(lines), lambda all_lines: F.transform(kept, lambda i: F.get(all_lines, i)))), "\n")
-    removed = F.coalesce(F.size("covered"), F.lit(0))
+    removed = F.coalesce(F.size("__covered"), F.lit(0))
     own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     return joined.withColumns({
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)),
-        "n_removed": F.when(F.col("covered").isNull(), 0).otherwise(removed),
+        "n_removed": F.when(F.col("__covered").isNull(), 0).otherwise(removed),
     }).select(
-        *[F.when(F.col("covered").isNull(), text).otherwise(rewritten).alias(text_column)
+        *[F.when(F.col("__covered").isNull(), text).otherwise(rewritten).alias(text_column)
           if c == text_column else F.col(f"`{c}`") for c in own],
         "n_lines", "n_removed",
     )

@@ -174,17 +174,17 @@ def match_source(rows: DataFrame, per_source: DataFrame, how: str = "inner") ->
 def draw(documents: DataFrame, plan: DataFrame, id_column: str = "doc_id",
          source_column: str = "source", epoch: str = "epoch") -> DataFrame:
     """Repeat each document once per pass that draws it; its columns are kept."""
-    side = plan.select(F.col("source").alias("_source"), F.col("passes").alias("_passes"),
-                       F.col("cutoff").alias("_cutoff"))
+    side = plan.select(F.col("source").alias("__source"), F.col("passes").alias("__passes"),
+                       F.col("cutoff").alias("__cutoff"))
     if side.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    taken = F.col("_passes") + (slot(documents[id_column], F.col("_passes")) <= F.col("_cutoff")).cast("int")
+    taken = F.col("__passes") + (slot(documents[id_column], F.col("__passes")) <= F.col("__cutoff")).cast("int")
     return (
-        documents.join(side, documents[source_column].eqNullSafe(side["_source"]))
-        .withColumn("_taken", taken)
-        .where("_taken > 0")
-        .withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
-        .drop("_source", "_passes", "_cutoff", "_taken")
+        documents.join(side, documents[source_column].eqNullSafe(side["__source"]))
+        .withColumn("__taken", taken)
+        .where("__taken > 0")
+        .withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col("__taken") - 1)))
+        .drop("__source", "__passes", "__cutoff", "__taken")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import ann, language, line_dedup, mixing, packing, simhash, topk, toxicity, url_filter
+from hemicycle.llm import ann, language, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity, url_filter
 from hemicycle.plans.registry import Tables
 
 #: Vocabulary for packing; any other file of the same library can be given to the operator.
@@ -70,3 +70,8 @@ def op4(t: Tables) -> DataFrame:
 @query("op7_simhash_near_dedup")
 def op7(t: Tables) -> DataFrame:
     return simhash.near_fingerprints(t.documents)
+
+
+@query("op10_suffix_dedup")
+def op10(t: Tables) -> DataFrame:
+    return suffix_dedup.dedup_report(t.documents)
