@@ -69,6 +69,8 @@ class Model:
 
         ``cache`` keeps the weighted features of words between calls.
         """
+        if not self.weights:
+            return self.leak, []
         lower = text.lower()
         if len(lower) != len(text):  # keep places: a few letters change length in lower case
             lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
