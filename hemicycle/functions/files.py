@@ -29,4 +29,6 @@ def issue_year(path: Column) -> Column:
 
 
 def issue_number(path: Column) -> Column:
-    return F.substring(file_stem(path), 8, 3).try_cast("int")
+    """All digits after the year: three in most names, more once a year passes 999 issues."""
+    digits = F.regexp_extract(file_stem(path), r"^.{7}(\d+)", 1)
+    return F.nullif(digits, F.lit("")).try_cast("int")

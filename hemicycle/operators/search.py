@@ -15,12 +15,21 @@ def query_words(query: str) -> list[str]:
     return kept.split()
 
 
+def single_word(term: str) -> str:
+    """The one word of a proximity term. Several words are refused: no single token can
+    equal them, so the answer would always be empty."""
+    words = query_words(term)
+    if len(words) != 1:
+        raise ValueError(f"a proximity term is one word, not {term!r}")
+    return words[0]
+
+
 def has_word(text: str, query: str | None, mode: str = "token") -> Column:
     """Any word of the query occurs in the text; no query matches everything.
 
     ``mode='french'`` compares analysed terms (elision, stop words, stems).
     """
-    if query is None:
+    if not (query or "").strip():
         return F.lit(True)
     if mode == "french":
         wanted = french.french_terms(F.lit(query))
@@ -75,7 +84,7 @@ def match_proximity(
     df: DataFrame, text: str, word_a: str, word_b: str, slop: int = 20
 ) -> DataFrame:
     """Both words with at most ``slop`` words in between, in either order."""
-    a, b = (" ".join(query_words(w)) for w in (word_a, word_b))
+    a, b = single_word(word_a), single_word(word_b)
     marked = bind(df, "_tokens", tx.tokenize(F.col(text)))
     both = F.array_contains("_tokens", a) & F.array_contains("_tokens", b)
     near = _near(F.col("_tokens"), positions(F.col("_tokens"), F.lit(a)), F.lit(b), slop)
@@ -102,7 +111,7 @@ def near_word_pairs(
     df: DataFrame, words: DataFrame, key: str, text: str, main: str, slop: int = 20
 ) -> DataFrame:
     """(word, key) rows: the paragraphs behind ``similar_words_paragraphs``."""
-    main_word = " ".join(query_words(main))
+    main_word = single_word(main)
     marked = bind(df.select(key, text), "_tokens", tx.tokenize(F.col(text))).where(
         F.array_contains("_tokens", main_word)
     )

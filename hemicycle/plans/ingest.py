@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from hemicycle.sources import archives, files, table
 
 KEY = "para_id"
 ORDER = ["source_file", "ordinal"]
+#: Stored issues up to which a load tests file names against literals; beyond, it joins.
+MOST_LITERALS = 5_000
 
 
 def interventions(archive_files: DataFrame, keep_all: bool = False) -> DataFrame:
@@ -33,57 +36,101 @@ def listing(archive_files: DataFrame) -> DataFrame:
     )
 
 
+def load_parsed(archive_files: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Parse archives once, hand their rows to ``write``, and return a status row per file.
+
+    A file that cannot be read is a ``failed`` row with its error, never a silent loss.
+    """
+    spark = archive_files.sparkSession
+    begin = time.time()
+    elements_path, rows_path = scratch_path(spark, "elements"), scratch_path(spark, "rows")
+    archives.parse_archives(archive_files, ("para",)).write.parquet(elements_path)
+    elements = spark.read.schema(ELEMENTS).parquet(elements_path)
+    archives.xml_paragraphs(elements).write.parquet(rows_path)
+    rows = spark.read.schema(INTERVENTIONS).parquet(rows_path)
+    write(rows)
+    listed = listing(archive_files).withColumn("new", F.lit(True))
+    n = max(listed.count(), 1)
+    return file_results(listed, documents_per_file(rows), errors_per_file(elements), (time.time() - begin) / n)
+
+
+def documents_per_file(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("documents"))
+
+
+def errors_per_file(elements: DataFrame) -> DataFrame:
+    return archives.parse_errors(elements).select(F.col("source_file").alias("path"), "error")
+
+
 def ingest_years(
     archive_files: DataFrame, path: str, years: list[int] | None = None, replace: bool = True,
     transformed_path: str | None = None, merge: bool = False,
-) -> None:
-    """Transform the archives of the given years and load them in one job."""
+) -> DataFrame:
+    """Transform the archives of the given years and load them; one status row per file."""
     if years is not None:
         archive_files = archive_files.where(fl.file_year(F.col("path")).isin(*[str(y) for y in years]))
-    rows = interventions(archive_files)
-    # parsed once: all sinks read the same written rows
-    rows = table.staged(rows)
-    if transformed_path:
-        files.write_transformed(rows, transformed_path, merge=merge)
-    write = table.upsert_by_key if replace else table.insert_if_absent
-    write(rows, path, KEY, ORDER, stage=False)
 
+    def write(rows: DataFrame) -> None:
+        if transformed_path:
+            files.write_transformed(rows, transformed_path, merge=merge)
+        (table.upsert_by_key if replace else table.insert_if_absent)(rows, path, KEY, ORDER, stage=False)
 
-def ingest_year(archive_files: DataFrame, path: str, year: int, **options: object) -> None:
-    ingest_years(archive_files, path, [year], **options)
+    return load_parsed(archive_files, write)
 
 
-def known_issues(stored: DataFrame) -> list[int]:
-    """Issues the table holds, as year * 1000 + number.
+def ingest_year(archive_files: DataFrame, path: str, year: int, **options: object) -> DataFrame:
+    return ingest_years(archive_files, path, [year], **options)
 
-    Names carry three digits per issue, so there are at most a thousand per calendar year;
-    this is the one list that passes through the driver.
-    """
-    number = F.col("publication_numero")
-    held = stored.where(F.col("annee").isNotNull() & number.between(0, 999))
-    return [r[0] for r in held.select(F.col("annee") * 1000 + number).distinct().collect()]
+
+def stored_issues(stored: DataFrame) -> DataFrame:
+    """Distinct (annee, publication_numero) that the table holds."""
+    return stored.where("annee IS NOT NULL AND publication_numero IS NOT NULL").select(
+        "annee", "publication_numero").distinct()
 
 
-def is_new(path: Column, known: list[int]) -> Column:
-    issue = fl.issue_year(path) * 1000 + fl.issue_number(path)
-    return F.coalesce(~issue.isin(*known), F.lit(True)) if known else F.lit(True)
+def few_issues(issues: DataFrame) -> list[tuple[int, int]] | None:
+    """The issues, if they are at most ``MOST_LITERALS``; else None, and they stay a table."""
+    some = issues.limit(MOST_LITERALS + 1).collect()
+    return [tuple(r) for r in some] if len(some) <= MOST_LITERALS else None
 
 
-def unread(archive_files: DataFrame, known: list[int]) -> DataFrame:
-    """Archives of new issues. On a file scan the test is also put on the file's metadata,
-    which Spark applies while it lists the files, so a skipped archive is never opened."""
-    try:
-        scan = archive_files.where(is_new(F.col("_metadata.file_path"), known))
-    except AnalysisException:  # not a file scan
-        scan = archive_files
-    return scan.where(is_new(F.col("path"), known))
+def is_new(path: Column, known: list[tuple[int, int]]) -> Column:
+    """Not an issue of the list. A name without year or number is new."""
+    if not known:
+        return F.lit(True)
+    issue = F.concat_ws("/", fl.issue_year(path).cast("string"), fl.issue_number(path).cast("string"))
+    return ~issue.isin(*[f"{year}/{number}" for year, number in known])
 
 
-def file_results(listed: DataFrame, new: Column, counts: DataFrame, errors: DataFrame,
-                 seconds: float) -> DataFrame:
+def mark_new(rows: DataFrame, issues: DataFrame, known: list[tuple[int, int]] | None) -> DataFrame:
+    """Add ``new`` to rows with a ``path``: by literals if few issues are stored, else by a
+    join on year and number."""
+    if known is not None:
+        return rows.withColumn("new", is_new(F.col("path"), known))
+    held = issues.select(F.col("annee").alias("_year"), F.col("publication_numero").alias("_number"),
+                         F.lit(True).alias("_held"))
+    joined = rows.join(held, (fl.issue_year(F.col("path")) == F.col("_year"))
+                       & (fl.issue_number(F.col("path")) == F.col("_number")), "left")
+    return joined.withColumn("new", F.col("_held").isNull()).drop("_year", "_number", "_held")
+
+
+def unread(archive_files: DataFrame, issues: DataFrame, known: list[tuple[int, int]] | None) -> DataFrame:
+    """Archives of new issues. With few stored issues, the test is also put on the metadata of
+    a file scan, which Spark applies while it lists files: a skipped archive is not opened."""
+    scan = archive_files
+    if known is not None:
+        try:
+            scan = archive_files.where(is_new(F.col("_metadata.file_path"), known))
+        except AnalysisException:  # not a file scan
+            pass
+    return mark_new(scan, issues, known).where("new").drop("new")
+
+
+def file_results(listed: DataFrame, counts: DataFrame, errors: DataFrame, seconds: float) -> DataFrame:
     """One status row per file: skipped, failed (with the true message) or success."""
     joined = listed.join(counts, "path", "left").join(errors, "path", "left")
     documents = F.coalesce("documents", F.lit(0))
+    new = F.col("new")
     status = F.when(~new, "skipped").when(documents == 0, "failed").otherwise("success")
     return joined.select(
         F.col("path").alias("filename"),
@@ -110,24 +157,27 @@ def ingest_incremental(
     begin = time.time()
     if not files._exists(spark, path):
         table.create_table(spark, path)
-    known = known_issues(table.read_table(spark, path)) if skip else []
+    issues = stored_issues(table.read_table(spark, path))
+    known = few_issues(issues) if skip else []
+
+    # listed before anything is stored: this run's own rows do not make a file "known"
+    listed_path = scratch_path(spark, "listed")
+    mark_new(listing(archive_files), issues, known).write.parquet(listed_path)
+    listed = spark.read.parquet(listed_path)
 
     elements_path = scratch_path(spark, "elements")
-    archives.parse_archives(unread(archive_files, known), ("para",)).write.parquet(elements_path)
+    archives.parse_archives(unread(archive_files, issues, known), ("para",)).write.parquet(elements_path)
     elements = spark.read.schema(ELEMENTS).parquet(elements_path)
     rows_path = scratch_path(spark, "rows")
     archives.xml_paragraphs(elements).write.parquet(rows_path)
     rows = spark.read.schema(INTERVENTIONS).parquet(rows_path)
     table.insert_if_absent(rows, path, KEY, ORDER, stage=False)
 
-    counts = rows.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("documents"))
-    errors = archives.parse_errors(elements).select(F.col("source_file").alias("path"), "error")
-    listed = listing(archive_files)
-    new = is_new(F.col("path"), known)
-    n_new = max(listed.where(new).count(), 1)
+    n_new = max(listed.where("new").count(), 1)
     seconds = time.time() - begin
     results_path = scratch_path(spark, "results")
-    file_results(listed, new, counts, errors, seconds / n_new).write.parquet(results_path)
+    file_results(listed, documents_per_file(rows), errors_per_file(elements), seconds / n_new).write.parquet(
+        results_path)
     results = spark.read.parquet(results_path)
     if report_path:
         files.append_run_report(

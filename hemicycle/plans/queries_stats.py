@@ -397,7 +397,7 @@ query("file_year", f"""
 query("issue_from_filename", f"""
     WITH {m.SQL_ARCHIVE_PATHS}
     SELECT page_id, TRY_CAST(substr({m.sql_stem('path')}, 4, 4) AS INTEGER) AS annee,
-           TRY_CAST(substr({m.sql_stem('path')}, 8, 3) AS INTEGER) AS numero
+           TRY_CAST(regexp_extract({m.sql_stem('path')}, '^.{{7}}([0-9]+)', 1) AS INTEGER) AS numero
     FROM archive_paths
 """)(lambda t: m.archive_paths(t).select(
     "page_id", fl.issue_year(F.col("path")).alias("annee"), fl.issue_number(F.col("path")).alias("numero")

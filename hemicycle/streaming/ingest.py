@@ -34,13 +34,22 @@ def stream_archives(
 
 
 def ingest_available(
-    spark: SparkSession, root: str, path: str, checkpoint: str, **options: object
+    spark: SparkSession, root: str, path: str, checkpoint: str, status_path: str | None = None,
+    **options: object,
 ) -> StreamingQuery:
     """Load every archive not seen before, then stop. A batch that is run again after a
-    failure adds nothing twice, because rows are inserted by key."""
-
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        table.insert_if_absent(ingest.interventions(batch), path, ingest.KEY, ingest.ORDER)
+    failure adds nothing twice, because rows are inserted by key.
+
+    Each batch leaves one status row per file, failed ones with their error, under
+    ``status_path`` (default: ``path`` with ``_status``), in a folder of its own, which a
+    repeated batch replaces.
+    """
+    statuses = status_path or f"{path.rstrip('/')}_status"
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        results = ingest.load_parsed(
+            batch, lambda rows: table.insert_if_absent(rows, path, ingest.KEY, ingest.ORDER, stage=False))
+        results.write.mode("overwrite").parquet(f"{statuses}/batch={batch_id}")
 
     return (
         stream_archives(spark, root, **options).writeStream

@@ -85,11 +85,11 @@ def test_dates(spark):
 
 def test_file_names(spark):
     paths = ["data/raw/2018/AN_2018037.taz", "data/raw/AN_2019002.taz", "data/AN_20.taz", "x/12345/AN_2020",
-             "file:/a/2021/b.taz"]
+             "file:/a/2021/b.taz", "data/raw/2019/AN_20191001.taz"]
     got = apply(spark, [(p,) for p in paths], "p string", fl.file_year(F.col("p")),
                 fl.issue_year(F.col("p")), fl.issue_number(F.col("p")))
     assert got == [("2018", 2018, 37), ("2019", 2019, 2), ("unknown", 20, None), ("unknown", 2020, None),
-                   ("2021", None, None)]
+                   ("2021", None, None), ("2019", 2019, 1001)]
 
 
 def test_probabilities_are_formatted_like_python(spark):

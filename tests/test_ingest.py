@@ -173,10 +173,22 @@ def test_stream_loads_each_archive_once(spark, root, tmp_path):
     path, mark = str(tmp_path / "table"), str(tmp_path / "mark")
     ingest_available(spark, str(root), path, mark).awaitTermination()
     assert table.read_table(spark, path).count() == 4
+    status = {r.filename[-11:-4]: (r.status, r.error_message) for r in spark.read.parquet(f"{path}_status").collect()}
+    assert status["2018037"] == ("success", None) and status["2019001"][0] == "success"
+    assert all(status[f"201900{i}"][0] == "failed" and status[f"201900{i}"][1] for i in (2, 3, 4, 5))
     ingest_available(spark, str(root), path, mark).awaitTermination()
     assert table.read_table(spark, path).count() == 4
 
 
+def test_stored_issues_are_told_apart_with_and_without_literals(spark):
+    names = ["a/AN_2019100.taz", "a/AN_20191001.taz", "a/AN_2018100.taz", "a/other.taz"]
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    held = spark.createDataFrame([(2019, 100)], "annee int, publication_numero int")
+    for known in ([(2019, 100)], None):
+        new = {r.path: r.new for r in ingest.mark_new(listed, held, known).collect()}
+        assert new == dict(zip(names, (False, True, True, True)))
+
+
 def test_upsert_moves_a_row_between_years(spark, tmp_path):
     path = str(tmp_path / "t")
     blank = {f.name: None for f in INTERVENTIONS.fields}
