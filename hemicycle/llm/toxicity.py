@@ -20,6 +20,7 @@ rows of both kinds every score is the share of toxic labels (0.0 without any).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -96,10 +97,9 @@ def train(sample: list[tuple[str, int]]) -> Model:
     labels = np.array([y for _, y in sample], float)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(leak=float(labels.mean()) if len(labels) else 0.0)
-    bags = [[sentence_features(s) for s in SENTENCE.findall(t.lower())] for t, _ in sample]
     seen: dict[str, list[int]] = {}
-    for y, bag in zip(labels, bags):
-        for word in set().union(*bag):
+    for text, y in sample:
+        for word in sentence_features(text.lower()):
             seen.setdefault(word, [0, 0])[int(y)] += 1
     n0, n1 = float((labels == 0).sum()), float((labels == 1).sum())
     ranked = []
@@ -110,14 +110,15 @@ def train(sample: list[tuple[str, int]]) -> Model:
             if z >= LEAST_Z:
                 ranked.append((-z, word))
     place = {word: i for i, (_, word) in enumerate(sorted(ranked)[:MOST_FEATURES])}
-    owner, sentence_of, word_of, sentence = [], [], [], 0
-    for document, bag in enumerate(bags):
-        for words in bag:
-            owner.append(document)
-            for word in words & place.keys():
-                sentence_of.append(sentence)
+    del seen, ranked
+    # a second pass keeps only the places of chosen features: the sample's own size at most
+    owner, sentence_of, word_of = array("l"), array("l"), array("l")
+    for document, (text, _) in enumerate(sample):
+        for sentence in SENTENCE.findall(text.lower()):
+            for word in sentence_features(sentence) & place.keys():
+                sentence_of.append(len(owner))
                 word_of.append(place[word])
-            sentence += 1
+            owner.append(document)
     return fit(labels, np.array(owner, int), np.array(sentence_of, int), np.array(word_of, int), list(place))
 
 
