@@ -61,23 +61,29 @@ def scan_recursive(spark: SparkSession, root: str, pattern: str = ARCHIVE_PATTER
 # parsing, inside the tasks
 
 
-def _spread(pieces: list[str], elem: ET.Element) -> None:
-    # an element contributes one piece even when it is empty: pieces are joined by one space
-    own: list[str] = []
-    if elem.text:
-        own.append(elem.text)
-    for child in elem:
-        _spread(own, child)
-        if child.tail:
-            own.append(child.tail)
-    pieces.append(" ".join(own))
-
-
 def element_text(elem: ET.Element) -> str:
-    """All text below an element in document order, pieces joined by one space."""
+    """All text below an element in document order, pieces joined by one space.
+
+    An element with nothing inside stands for one empty piece. Elements still to be read
+    wait on a list of their own, so depth is not limited.
+    """
     pieces: list[str] = []
-    _spread(pieces, elem)
-    return pieces[0]
+    waiting: list[ET.Element | str] = [elem]
+    while waiting:
+        item = waiting.pop()
+        if isinstance(item, str):
+            pieces.append(item)
+            continue
+        inside: list[ET.Element | str] = [item.text] if item.text else []
+        for child in item:
+            inside.append(child)
+            if child.tail:
+                inside.append(child.tail)
+        if inside:
+            waiting.extend(reversed(inside))
+        else:
+            pieces.append("")
+    return " ".join(pieces)
 
 
 def _open_transcript(content: bytes) -> tuple[str, ET.Element]:
