@@ -276,6 +276,28 @@ def test_keep_one_leaves_one_of_each_group(spark, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_links_by_exact_similarity(spark):
+    """Two-text groups over the whole range: those under 0.8 stay, most of the others go."""
+    rows, near, far = [], [], []
+    for i in range(120):
+        one = sentence(80 + i).split()
+        two = list(one)
+        for at in RNG.choice(len(one), 1 + i % 5, replace=False):
+            two[at] = f"neu{i}x{at}"
+        group = (" ".join(one), " ".join(two))
+        rows += [(2 * i, group[0]), (2 * i + 1, group[1])]
+        (near if jaccard(*group) >= 0.8 else far).append(2 * i + 1)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows_of(rows), EXTRA)).collect()}
+    assert {2 * i for i in range(120)} <= kept and set(far) <= kept
+    assert len(near) > 40 and len(far) > 20
+    assert sum(i not in kept for i in near) >= 0.9 * len(near)
+
+
 EXTRA_NAMES = [c.split()[0] for c in EXTRA.split(", ")]
 
 
