@@ -127,17 +127,21 @@ def bounds(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def variants(words: int, segments: int) -> Column:
-    """array<struct<bucket, rest>> of column ``f``: each segment once per wildcard bit."""
-    out = []
-    for word in range(words):
-        for number, (low, width) in enumerate(bounds(segments)):
-            segment = F.shiftrightunsigned(F.get("f", F.lit(word)), low).bitwiseAND(F.lit((1 << width) - 1))
-            for bit in range(width):
-                bucket = (word * segments + number) * 64 + bit
-                rest = segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit)))
-                out.append(F.struct(F.lit(bucket).cast("short").alias("bucket"), rest.alias("rest")))
-    return F.array(*out)
+def variants(prints: DataFrame, words: int, segments: int) -> DataFrame:
+    """(bucket, rest, f) of column ``f``: each segment once per wildcard bit."""
+    cuts = [
+        F.struct(
+            F.lit((word * segments + number) * 64).alias("first"), F.lit(width).alias("width"),
+            F.shiftrightunsigned(F.get("f", F.lit(word)), low).bitwiseAND(F.lit((1 << width) - 1)).alias("segment"))
+        for word in range(words) for number, (low, width) in enumerate(bounds(segments))
+    ]
+    wildcard = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    return (
+        prints.select("f", F.explode(F.array(*cuts)).alias("s"))
+        .select("f", "s.*", F.explode(F.sequence(F.lit(0), F.col("s.width") - 1)).alias("bit"))
+        .select((F.col("first") + F.col("bit")).cast("short").alias("bucket"),
+                F.col("segment").bitwiseAND(F.bitwise_not(wildcard)).alias("rest"), "f")
+    )
 
 
 def forest(matrix: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -250,8 +254,7 @@ def links_of(distinct: DataFrame, words: int, segments: int, distance: int) -> D
     """Links (a, b) that connect all distinct fingerprints ``f`` found within ``distance``."""
     most = BUCKET_ROWS if words == 1 and distance == 2 else 1 << 62
     met = (
-        distinct.select("f", F.explode(variants(words, segments)).alias("v"))
-        .select("v.bucket", "v.rest", "f")
+        variants(distinct.select("f"), words, segments)
         .repartition("bucket", "rest").sortWithinPartitions("bucket", "rest")
         .mapInArrow(bucket_links(words, distance, most), "a array<long>, b array<long>")
     )
