@@ -2,6 +2,7 @@
 rows, empty tables and clashing column names."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import defaultdict
@@ -267,6 +268,48 @@ def test_links_of_crowded_buckets(spark, crowd):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def flipped(f, bits):
+    for b in RNG.choice(256, bits, replace=False).tolist():
+        f = [w ^ (1 << (b % 64)) if i == b // 64 else w for i, w in enumerate(f)]
+    return f
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_links_of_long_fingerprints(spark, batch):
+    """Classes of all pairs that share a variant within the distance, groups over many batches."""
+    words, segments, distance = 4, 3, 52
+    base = [[int(x) for x in RNG.integers(0, 1 << 63, 4)] for _ in range(12)]
+    prints = base + [flipped(base[i % 3], int(RNG.integers(1, 70))) for i in range(60)]
+    signed = [tuple(w - (1 << 64) if w >> 63 else w for w in f) for f in prints]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        links = simhash.links_of(spark.createDataFrame([(list(f),) for f in signed], "f array<long>"),
+                                 words, segments, distance).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def meet(x, y):
+        return any((((x[w] ^ y[w]) >> low) & ((1 << width) - 1)).bit_count() <= 1
+                   for w in range(words) for low, width in simhash.bounds(segments))
+
+    def apart(x, y):
+        return sum((a ^ b).bit_count() for a, b in zip(x, y))
+
+    by_print = dict(zip(signed, prints))
+    wanted = [(x, y) for x, y in itertools.combinations(prints, 2) if apart(x, y) <= distance and meet(x, y)]
+    given = [(by_print[tuple(r.a)], by_print[tuple(r.b)]) for r in links]
+    assert all(apart(x, y) <= distance and meet(x, y) for x, y in given)
+
+    def roots(pairs):
+        root = {tuple(f): i for i, f in enumerate(prints)}
+        for _ in prints:
+            for x, y in pairs:
+                root[tuple(x)] = root[tuple(y)] = min(root[tuple(x)], root[tuple(y)])
+        return root
+
+    assert roots(given) == roots(wanted) and len(wanted) > 60
+
+
 def test_keep_one_leaves_one_of_each_group(spark, empty):
     base = [sentence(120) for _ in range(12)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t) for i, t in enumerate(base[:5])]
