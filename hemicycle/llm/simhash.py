@@ -262,19 +262,33 @@ def bucket_links(words: int, distance: int, most: int):
     return run
 
 
-def group_links(words: int, distance: int, step: int):
+def first_bucket(a: np.ndarray, b: np.ndarray, segments: int) -> np.ndarray:
+    """Number of the first bucket that each pair of fingerprints shares, -1 if none."""
+    apart, found = a ^ b, np.full(len(a), -1, np.int64)
+    for word in reversed(range(a.shape[1])):
+        for number, (low, width) in reversed(list(enumerate(bounds(segments)))):
+            differ = (apart[:, word] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+            meets = np.bitwise_count(differ) <= 1
+            bit = np.bitwise_count(np.where(differ > 0, differ - np.uint64(1), differ)).astype(np.int64)
+            found[meets] = (word * segments + number) * 64 + bit[meets]
+    return found
+
+
+def group_links(words: int, segments: int, distance: int, step: int):
     """mapInArrow function over rows (part, rest, inside, f) sorted by part and rest.
 
     Rows of one (part, rest) are the group of ``step`` wildcards; the bucket of each wildcard
     is found among them by the other bits inside. Gives links (a, b) of fingerprints that
-    share a bucket. Memory: one batch and the open group.
+    share a bucket. A link is given only in the first bucket that its ends share: in a later
+    one they are connected already, through links no longer than theirs. So members that meet
+    in hundreds of buckets are not linked anew in each. Memory: one batch and the open group.
     """
 
     def listed(f: np.ndarray) -> pa.Array:
         ends = np.arange(len(f) + 1, dtype=np.int32) * words
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(f.view(np.int64).ravel()))
 
-    def linked(group: np.ndarray, inside: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def linked(part: np.ndarray, group: np.ndarray, inside: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
         for bit in range(step):
             bucket = group << step | inside & ~(1 << bit)
             order = np.argsort(bucket, kind="stable")
@@ -283,11 +297,14 @@ def group_links(words: int, distance: int, step: int):
             two = at[size == 2]
             a, b = f[order[two]], f[order[two + 1]]
             near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= distance
+            near &= first_bucket(a, b, segments) == part[order[two]] + bit
             yield a[near], b[near]
             for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
                 rows = f[order[s: s + n]]
                 links = np.array(forest(rows, distance), np.int64).reshape(-1, 2)
-                yield rows[links[:, 0]], rows[links[:, 1]]
+                a, b = rows[links[:, 0]], rows[links[:, 1]]
+                new = first_bucket(a, b, segments) == part[order[s]] + bit
+                yield a[new], b[new]
 
     def closed(pieces: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         """Links of whole groups."""
@@ -297,7 +314,7 @@ def group_links(words: int, distance: int, step: int):
         group = np.cumsum(new)
         shared = np.bincount(group)[group] > 1
         if shared.any():
-            found = list(linked(group[shared], inside[shared], f[shared]))
+            found = list(linked(part[shared], group[shared], inside[shared], f[shared]))
             a, b = (np.concatenate(side) for side in zip(*found))
             if len(a):
                 yield pa.RecordBatch.from_arrays([listed(a), listed(b)], ["a", "b"])
@@ -346,7 +363,7 @@ def links_of(distinct: DataFrame, words: int, segments: int, distance: int) -> D
         return cut(
             parts(prints, words, segments, STEP)
             .repartition("part", "rest").sortWithinPartitions("part", "rest")
-            .mapInArrow(group_links(words, distance, STEP), links).distinct())
+            .mapInArrow(group_links(words, segments, distance, STEP), links).distinct())
     met = cut(
         variants(prints, words, segments)
         .repartition("bucket", "rest").sortWithinPartitions("bucket", "rest")
