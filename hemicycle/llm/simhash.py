@@ -18,13 +18,16 @@ Fingerprints that meet by equality on (segment, position, other bits) are verifi
 
 ``keep_one`` (used by the pipeline) links five-word-shingle sets of Jaccard similarity 0.8 or
 more. At 0.8 about 15 % of the bits differ, so it takes 256 bits in twelve segments of 21 or 22
-bits and looks up to 52 of them away. Links within 24 bits (a similarity of about 0.91; 0.8 gets
-there once in two hundred pairs) hold as they are. The others, where they join what close links
-have not joined, are verified by the exact similarity of the two shingle sets. Of pairs at
+bits and looks up to 52 of them away. The shortest links that connect what meets are verified by
+the exact similarity of the two shingle sets, however close their fingerprints. Where one fails,
+all other pairs that it connected, between classes of what held, are verified as well: no
+candidate pair of different classes is left unverified. Of pairs at
 exactly 0.8 the expected share that shares a variant is 86 %, at 0.85 it is 95 %, at 0.9 99 %;
 a chain through other copies finds more. The variants of four neighbouring wildcards travel as one
-row (72 rows a fingerprint, not 256) and part where they meet. Buckets are compared whole: memory
-of a group follows its number of different fingerprints, its time the square.
+row (72 rows a fingerprint, not 256) and part where they meet. Groups of over ``CROWD`` rows are
+dealt in blocks of which every two meet in a task: its memory is bounded, the work of all tasks
+grows with the square of a group's different fingerprints, as do the pairs verified where a
+group of candidates does not hold together.
 
 Defined cases: A-Z are lower-cased; words are runs of anything but blank and 09-0D; fewer
 words than a shingle make one shingle of all of them; no words (null or empty text): the
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hemicycle.llm.common import cut, wanted
+from hemicycle.llm.common import cut, hinted, wanted
 from hemicycle.llm.components import components
 from hemicycle.llm.line_dedup import ROW_HASH, ROW_ID, keyed
 
@@ -50,11 +53,15 @@ SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 2, 2, 42
 BUCKET_ROWS = 64
 #: For the pipeline: five-word shingles, four words of 64 bits in three segments each.
 STAGE_SHINGLE, STAGE_WORDS, STAGE_SEGMENTS, SIMILARITY = 5, 4, 3, 0.8
-#: Bits that are looked across, and those within which a link needs no exact check.
-STAGE_DISTANCE, SURE_DISTANCE = 52, 24
+#: Bits that are looked across.
+STAGE_DISTANCE = 52
 #: Wildcard bits of a segment that travel as one row.
 STEP = 4
-#: Shingles that are counted at a time.
+#: Rows of a group that are compared in one task.
+CROWD = 2048
+CROWDED_SCHEMA = "a array<long>, b array<long>, part short, rest long, inside short, owner long"
+CROWDED_NAMES = ["a", "b", "part", "rest", "inside", "owner"]
+#: Shingles that are counted, and links that are given, at a time.
 PIECE = 1 << 16
 
 
@@ -153,7 +160,8 @@ def variants(prints: DataFrame, words: int, segments: int) -> DataFrame:
 
 
 def parts(prints: DataFrame, words: int, segments: int, step: int) -> DataFrame:
-    """(part, rest, inside, f): each segment once per run of ``step`` bits, which it is split into.
+    """(part, rest, inside, columns of ``prints``, f first): each segment of f once per run of
+    ``step`` bits, which it is split into.
 
     ``inside`` holds the bits of the run, ``rest`` the segment without them. All variants with
     a wildcard in the run agree in (part, rest), so one row travels for ``step`` of them.
@@ -161,11 +169,11 @@ def parts(prints: DataFrame, words: int, segments: int, step: int) -> DataFrame:
     run = F.call_function("shiftleft", F.lit((1 << step) - 1).cast("long"), F.col("low"))
     inside = F.call_function("shiftrightunsigned", F.col("segment").bitwiseAND(run), F.col("low"))
     return (
-        prints.select("f", F.explode(F.array(*cuts(words, segments))).alias("s"))
-        .select("f", "s.*", F.explode(F.sequence(F.lit(0), F.col("s.width") - 1, F.lit(step))).alias("low"))
+        prints.select("*", F.explode(F.array(*cuts(words, segments))).alias("s"))
+        .select(*prints.columns, "s.*", F.explode(F.sequence(F.lit(0), F.col("s.width") - 1, F.lit(step))).alias("low"))
         .select((F.col("first") + F.col("low")).cast("short").alias("part"),
                 F.col("segment").bitwiseAND(F.bitwise_not(run)).alias("rest"),
-                inside.cast("short").alias("inside"), "f")
+                inside.cast("short").alias("inside"), *prints.columns)
     )
 
 
@@ -274,21 +282,47 @@ def first_bucket(a: np.ndarray, b: np.ndarray, segments: int) -> np.ndarray:
     return found
 
 
-def group_links(words: int, segments: int, distance: int, step: int):
-    """mapInArrow function over rows (part, rest, inside, f) sorted by part and rest.
+def pairs_between(rows: np.ndarray, owner: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within ``distance`` bits that have different owners."""
+    for i in range(len(rows) - 1):
+        bits = np.bitwise_count(rows[i + 1:] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        other = np.flatnonzero((bits <= distance) & (owner[i + 1:] != owner[i])) + i + 1
+        if len(other):
+            yield np.broadcast_to(rows[i], (len(other), rows.shape[1])), rows[other]
+
+
+def group_links(words: int, segments: int, distance: int, step: int, keys: int = 2, most: int | None = None,
+                owned: bool = False):
+    """mapInArrow function over rows (part, rest, [cell,] inside, f[, owner]) sorted by the ``keys``
+    columns in front.
 
-    Rows of one (part, rest) are the group of ``step`` wildcards; the bucket of each wildcard
+    Rows of one key are the group of ``step`` wildcards; the bucket of each wildcard
     is found among them by the other bits inside. Gives links (a, b) of fingerprints that
-    share a bucket. A link is given only in the first bucket that its ends share: in a later
+    share a bucket: the shortest that connect them, or with ``owned`` all between different
+    owners. A link is given only in the first bucket that its ends share: in a later
     one they are connected already, through links no longer than theirs. So members that meet
-    in hundreds of buckets are not linked anew in each. Memory: one batch and the open group.
+    in hundreds of buckets are not linked anew in each. A group of over ``most`` rows gives its
+    rows with b null instead. Memory: one batch and the open group, ``most`` at most.
     """
 
     def listed(f: np.ndarray) -> pa.Array:
         ends = np.arange(len(f) + 1, dtype=np.int32) * words
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(f.view(np.int64).ravel()))
 
-    def linked(part: np.ndarray, group: np.ndarray, inside: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
+    def table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        n, none = len(a), pa.nulls
+        return pa.RecordBatch.from_arrays(
+            [listed(np.ascontiguousarray(a)), listed(np.ascontiguousarray(b)), none(n, pa.int16()),
+             none(n, pa.int64()), none(n, pa.int16()), none(n, pa.int64())], CROWDED_NAMES)
+
+    def crowd(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        part, rest, _, inside, f, owner = columns
+        return pa.RecordBatch.from_arrays(
+            [listed(f), pa.nulls(len(f), pa.list_(pa.int64())), pa.array(part.astype(np.int16)), pa.array(rest),
+             pa.array(inside.astype(np.int16)), pa.array(owner)], CROWDED_NAMES)
+
+    def linked(part: np.ndarray, group: np.ndarray, inside: np.ndarray, f: np.ndarray,
+               owner: np.ndarray) -> Iterator[tuple]:
         for bit in range(step):
             bucket = group << step | inside & ~(1 << bit)
             order = np.argsort(bucket, kind="stable")
@@ -298,43 +332,75 @@ def group_links(words: int, segments: int, distance: int, step: int):
             a, b = f[order[two]], f[order[two + 1]]
             near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= distance
             near &= first_bucket(a, b, segments) == part[order[two]] + bit
+            if owned:
+                near &= owner[order[two]] != owner[order[two + 1]]
             yield a[near], b[near]
             for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
                 rows = f[order[s: s + n]]
-                links = np.array(forest(rows, distance), np.int64).reshape(-1, 2)
-                a, b = rows[links[:, 0]], rows[links[:, 1]]
-                new = first_bucket(a, b, segments) == part[order[s]] + bit
-                yield a[new], b[new]
+                if owned:
+                    met = pairs_between(rows, owner[order[s: s + n]], distance)
+                else:
+                    links = np.array(forest(rows, distance), np.int64).reshape(-1, 2)
+                    met = [(rows[links[:, 0]], rows[links[:, 1]])]
+                for a, b in met:
+                    new = first_bucket(a, b, segments) == part[order[s]] + bit
+                    yield a[new], b[new]
 
     def closed(pieces: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         """Links of whole groups."""
-        part, rest, inside, f = (np.concatenate(c) for c in zip(*pieces))
+        part, rest, cell, inside, f, owner = (np.concatenate(c) for c in zip(*pieces))
         new = np.ones(len(part), bool)
-        new[1:] = (part[1:] != part[:-1]) | (rest[1:] != rest[:-1])
+        new[1:] = (part[1:] != part[:-1]) | (rest[1:] != rest[:-1]) | (cell[1:] != cell[:-1])
         group = np.cumsum(new)
-        shared = np.bincount(group)[group] > 1
+        size = np.bincount(group)[group]
+        if most is not None and (size > most).any():
+            yield crowd(tuple(x[size > most] for x in (part, rest, cell, inside, f, owner)))
+        shared = (size > 1) & (size <= (most or size))
         if shared.any():
-            found = list(linked(part[shared], group[shared], inside[shared], f[shared]))
-            a, b = (np.concatenate(side) for side in zip(*found))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([listed(a), listed(b)], ["a", "b"])
+            held, n = [], 0
+            for a, b in linked(part[shared], group[shared], inside[shared], f[shared], owner[shared]):
+                held.append((a, b))
+                n += len(a)
+                if n >= PIECE:
+                    yield table(*(np.concatenate(side) for side in zip(*held)))
+                    held, n = [], 0
+            if n:
+                yield table(*(np.concatenate(side) for side in zip(*held)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[tuple[np.ndarray, ...]] = []
+        over = False  # the open group is crowded: its rows go out as they come
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            part, rest, inside = (
-                batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            f = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
-            last = (part == part[-1]) & (rest == rest[-1])
+            number = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys + 1)]
+            part, rest, inside = number[0], number[1], number[keys]
+            cell = number[2] if keys > 2 else np.zeros(n, np.int64)
+            f = batch.column(keys + 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+            owner = batch.column(keys + 2).to_numpy(zero_copy_only=False) if owned else np.zeros(n, np.int64)
+            columns = (part, rest, cell, inside, f, owner)
+            last = (part == part[-1]) & (rest == rest[-1]) & (cell == cell[-1])
             start = int(np.argmax(last))  # of the group left open
-            if start or pieces and (pieces[-1][0][-1], pieces[-1][1][-1]) != (part[0], rest[0]):
-                pieces.append((part[:start], rest[:start], inside[:start], f[:start]))
+            same = bool(pieces) and tuple(x[-1] for x in pieces[-1][:3]) == (part[0], rest[0], cell[0])
+            if over and same:
+                again = (part == part[0]) & (rest == rest[0]) & (cell == cell[0])
+                lead = n if again.all() else int(np.argmin(again))
+                yield crowd(tuple(x[:lead] for x in columns))
+                if lead == n:
+                    continue
+                columns, start = tuple(x[lead:] for x in columns), start - lead
+            if over:
+                pieces, over = [], False
+            if start or pieces and not same:
+                pieces.append(tuple(x[:start] for x in columns))
                 yield from closed(pieces)
                 pieces = []
-            pieces.append((part[start:], rest[start:], inside[start:], f[start:].copy()))
-        if pieces:
+            pieces.append(tuple(x[start:].copy() for x in columns))
+            if most is not None and sum(len(x[0]) for x in pieces) > most:
+                yield crowd(tuple(np.concatenate(c) for c in zip(*pieces)))
+                pieces, over = [tuple(x[-1:] for x in pieces[-1])], True
+        if pieces and not over:
             yield from closed(pieces)
 
     return run
@@ -353,6 +419,35 @@ def neighbour_links(crowded: DataFrame) -> DataFrame:
     )
 
 
+def met_in_groups(prints: DataFrame, words: int, segments: int, distance: int) -> DataFrame:
+    """Links (a, b), a > b, of fingerprints ``f`` that share a bucket: enough to connect them, or
+    all those between different values of a column ``owner``, if there is one.
+
+    Groups of over ``CROWD`` rows are dealt in blocks, and every two blocks meet in a task: the
+    shortest links of the whole are among the shortest links of the parts.
+    """
+    owned = "owner" in prints.columns
+    extra = ["owner"] if owned else []
+    split = parts(prints, words, segments, STEP)
+    met = cut(
+        split.repartition("part", "rest").sortWithinPartitions("part", "rest")
+        .mapInArrow(group_links(words, segments, distance, STEP, 2, CROWD, owned), CROWDED_SCHEMA))
+    crowded = met.where("b IS NULL").select("part", "rest", "inside", F.col("a").alias("f"), *extra)
+    blocks = hinted(cut(crowded.groupBy("part", "rest").agg(
+        F.ceil(F.count("*") / F.lit(CROWD / 2)).cast("int").alias("blocks"))))
+    mine, other = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"), F.col("other")
+    cells = (
+        crowded.join(blocks, ["part", "rest"]).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> other")
+        .select("part", "rest", (F.least("mine", other).cast("long") * F.col("blocks") + F.greatest("mine", other))
+                .alias("cell"), "inside", "f", *extra)
+        .repartition("part", "rest", "cell").sortWithinPartitions("part", "rest", "cell")
+        .mapInArrow(group_links(words, segments, distance, STEP, 3, None, owned), CROWDED_SCHEMA)
+    )
+    both = met.where("b IS NOT NULL").unionByName(cells)
+    return cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def links_of(distinct: DataFrame, words: int, segments: int, distance: int) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``f`` found within ``distance``.
 
@@ -360,10 +455,7 @@ def links_of(distinct: DataFrame, words: int, segments: int, distance: int) -> D
     """
     prints, links = distinct.select("f"), "a array<long>, b array<long>"
     if (words, distance) != (1, 2):
-        return cut(
-            parts(prints, words, segments, STEP)
-            .repartition("part", "rest").sortWithinPartitions("part", "rest")
-            .mapInArrow(group_links(words, segments, distance, STEP), links).distinct())
+        return met_in_groups(prints, words, segments, distance)
     met = cut(
         variants(prints, words, segments)
         .repartition("bucket", "rest").sortWithinPartitions("bucket", "rest")
@@ -386,18 +478,12 @@ def near_fingerprints(documents: DataFrame, size: int = SHINGLE, id_column: str
         "doc_id", F.lpad(F.lower(F.hex(F.get("f", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
 
-def bits_apart(a: str, b: str, words: int) -> Column:
-    parts = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)]
-    return sum(parts[1:], parts[0])
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, ...) whose shingle sets have at least that Jaccard similarity.
 
-
-def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, ...) whose texts' shingle sets have at least that Jaccard similarity.
-
-    ``texts``: (f, text), one row per end of a pair. The sizes of the sets are compared first,
+    ``sets``: (f, shingles), one row per end of a pair. The sizes of the sets are compared first,
     so sets travel only where they can agree.
     """
-    sets = cut(from_texts(texts, "shingles", lambda text: shingle_set(text, size).view("<i8").tolist()))
 
     def side(column: str, *wanted: Column) -> DataFrame:
         return sets.select(F.col("f").alias(column), *wanted)
@@ -412,30 +498,37 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) ->
     return both.where(shared >= (F.col("n_a") + F.col("n_b") - shared) * similarity).select(pairs.columns)
 
 
+def in_classes(rows: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the root of ``column`` as ``name``: itself, if it is in no link."""
+    side = classes.select(F.col("node").alias(column), F.col("root").alias("__root"))
+    return rows.join(side, column, "left").select(*rows.columns, F.coalesce("__root", column).alias(name))
+
+
 def near_classes(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """(f, least, root): the class of every distinct fingerprint.
 
     ``distinct``: (f, least), ``least`` naming a row of ``texts`` (row id, row hash, text).
     """
     links = links_of(distinct.select("f"), STAGE_WORDS, STAGE_SEGMENTS, STAGE_DISTANCE)
-    links = links.withColumn("sure", bits_apart("a", "b", STAGE_WORDS) <= SURE_DISTANCE)
-    close = components(links.where("sure").select("a", "b"))
-    rooted = cut(distinct.join(close.withColumnRenamed("node", "f"), "f", "left").withColumn(
-        "root", F.coalesce("root", "f")))
-
-    def root_of(column: str) -> DataFrame:
-        return rooted.select(F.col("f").alias(column), F.col("root").alias(f"root_{column}"))
-
-    open_links = cut(
-        links.where("NOT sure").join(root_of("a"), "a").join(root_of("b"), "b").where("root_a <> root_b")
-        .select("a", "b", "root_a", "root_b"))
-    ends = open_links.select(F.explode(F.array("a", "b")).alias("f")).distinct()
-    named = ends.join(rooted, "f").select("f", f"least.{ROW_ID}", f"least.{ROW_HASH}")
+    met = cut(components(links))
+    named = met.select(F.col("node").alias("f")).join(distinct, "f").select(
+        "f", f"least.{ROW_ID}", f"least.{ROW_HASH}")
     found = named.join(texts, [ROW_ID, ROW_HASH]).dropDuplicates(["f"]).select("f", texts.columns[-1])
-    joined = components(similar(open_links, found, STAGE_SHINGLE, SIMILARITY).select(
-        F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
-    return rooted.join(joined, "root", "left").select("f", "least", F.coalesce("last", "root").alias("root"))
+    sets = cut(from_texts(found, "shingles", lambda text: shingle_set(text, STAGE_SHINGLE).view("<i8").tolist()))
+    held = components(similar(links, sets, SIMILARITY))
+    # a failed link no longer stands for the pairs it connected: those are compared one by one
+    members = cut(in_classes(met.select(F.col("node").alias("f"), F.col("root").alias("kin")), held, "f", "root"))
+    torn = members.groupBy("kin").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    torn = torn.where("n > 2 AND least <> most").select("kin")
+    parted = members.join(torn, "kin").select("f", "root")
+    numbers = cut(parted.select("root").distinct().withColumn("owner", F.monotonically_increasing_id()))
+    parted = cut(parted.join(numbers, "root").select("f", "owner"))
+    pairs = met_in_groups(parted, STAGE_WORDS, STAGE_SEGMENTS, STAGE_DISTANCE).join(links, ["a", "b"], "left_anti")
+    more = similar(pairs, sets, SIMILARITY)
+    roots = in_classes(in_classes(more, held, "a", "root_a"), held, "b", "root_b")
+    joined = components(roots.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    rooted = in_classes(distinct.select("f", "least"), held, "f", "first")
+    return in_classes(rooted, joined, "first", "root").select("f", "least", "root")
 
 
 def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -341,6 +341,34 @@ def test_keep_one_links_by_exact_similarity(spark):
     assert sum(i not in kept for i in near) >= 0.9 * len(near)
 
 
+def family(copies, words=100):
+    """Copies of one text with up to four words replaced: pairs on both sides of 0.8."""
+    base, found = [f"wort{x}" for x in RNG.integers(0, 10**9, words)], []
+    for i in range(copies):
+        text = list(base)
+        for at in RNG.choice(words, 1 + i % 4, replace=False):
+            text[at] = f"neu{i}x{at}"
+        found.append(" ".join(text))
+    return found
+
+
+@pytest.mark.parametrize("crowd", [2048, 16])
+def test_near_classes_are_those_of_all_pairs(spark, monkeypatch, crowd):
+    """Families of 60 copies: every candidate pair decides, not only the shortest links."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    texts = [t for _ in range(4) for t in family(60)]
+    prints = [simhash.fingerprint(t.encode(), 5, 4, repeats=False) for t in texts]
+    whole = [[w % (1 << 64) for w in f] for f in prints]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        differ = [x ^ y for x, y in zip(whole[i], whole[j])]
+        meet = any((d >> low & (1 << width) - 1).bit_count() <= 1 for d in differ for low, width in simhash.bounds(3))
+        if sum(d.bit_count() for d in differ) <= 52 and meet and jaccard(texts[i], texts[j]) >= 0.8:
+            root = [root[i] if r == root[j] else r for r in root]
+    kept = simhash.keep_one(spark.createDataFrame(rows_of(list(enumerate(texts))), EXTRA)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({root.index(r) for r in root})
+
+
 EXTRA_NAMES = [c.split()[0] for c in EXTRA.split(", ")]
 
 
