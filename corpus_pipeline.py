@@ -14,8 +14,9 @@ from hemicycle.session import prepare
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language, with ``lang`` set to it; text and source decide."""
-    return language.keep_identified(docs)
+    """Documents of a known language, with ``lang`` set to it; their text, and markup and address
+    of the pages that show them decide (the source, where no page does)."""
+    return language.keep_identified(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

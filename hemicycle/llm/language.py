@@ -237,6 +237,14 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     )
 
 
+def with_origin(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add ``declared`` and ``origin`` to rows (doc_id, source, ...): of the page that shows a
+    document, else its source in place of the host."""
+    shown = hinted(cut(page_evidence(pages).withColumnRenamed("doc_id", "_shown")))
+    return rows.join(shown, F.col("doc_id") == F.col("_shown"), "left").select(
+        *rows.columns, "declared", F.coalesce("host", "source").alias("origin"))
+
+
 def identify_documents(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Every document with its language, posterior, and whether it is kept.
 
@@ -245,20 +253,21 @@ def identify_documents(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """
     model = model_from(documents)
     scored = documents.select("doc_id", "source", text_evidence(F.col("text"), model).alias("evidence"))
-    shown = page_evidence(pages).withColumnRenamed("doc_id", "_shown")
-    scored = cut(scored.join(shown, F.col("doc_id") == F.col("_shown"), "left").select(
-        "doc_id", "evidence", "declared", F.coalesce("host", "source").alias("origin")))
-    found = identify(scored, model, "evidence", "declared", "origin")
+    found = identify(cut(with_origin(scored, pages)), model, "evidence", "declared", "origin")
     return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "kept")
 
 
-def keep_identified(documents: DataFrame) -> DataFrame:
-    """The documents whose language is known, with ``lang`` set to it. Texts do not move:
-    the host (here: source) priors are the only thing joined."""
+def keep_identified(documents: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The documents whose language is known, with ``lang`` set to it, judged as by
+    :func:`identify_documents`. Without ``pages`` the source is the only origin. Texts do not
+    move while the pages' evidence is small enough to be broadcast."""
     model = model_from(documents)
     rows = documents.select(
-        F.struct("*").alias("row"), F.col("source").alias("origin"),
-        text_evidence(F.col("text"), model).alias("evidence"))
-    found = identify(rows, model, "evidence", None, "origin").where("kept")
+        F.struct("*").alias("row"), "doc_id", "source", text_evidence(F.col("text"), model).alias("evidence"))
+    if pages is None:
+        rows = rows.select("*", F.lit(None).cast("string").alias("declared"), F.col("source").alias("origin"))
+    else:
+        rows = with_origin(rows, pages)
+    found = identify(rows, model, "evidence", "declared", "origin").where("kept")
     return found.select(*[F.col("language").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c)
                           for c in documents.columns])

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from hemicycle.llm import language
 from hemicycle.llm.common import cut
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,6 +33,30 @@ def test_stages_keep_their_promises(spark):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed)
 
 
+def test_language_stage_judges_as_the_operator_does(spark):
+    """Markup and address of pages count in the stage too."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    judged = language.identify_documents(docs, pages).where("kept").collect()
+    kept = corpus_pipeline.language_id(spark, docs, FOLDER).collect()
+    assert Counter((r.doc_id, r.lang) for r in kept) == Counter((r.doc_id, r.language) for r in judged)
+
+
+def test_declared_language_decides_mixed_texts(spark, tmp_path):
+    en, de = "the house and the tree are over there ", "das haus und der baum sind dort drüben "
+    rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de", "s", 1) for i in range(400)]
+    mixed = range(1000, 1040)
+    rows += [(i, "tree baum are sind " * 3, "en" if i % 2 else "de", "s", 1) for i in mixed]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    shown = [*range(400), *mixed]
+    said = ["en" if i % 2 else "de" for i in shown]
+    spark.createDataFrame(
+        [(i, f"http://h{i % 7}.com/{i}.html", f"<html lang='{x}'>") for i, x in zip(shown, said)],
+        "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()}
+    assert [kept[i] for i in mixed] == ["en" if i % 2 else "de" for i in mixed]
+
+
 def test_run_gives_all_rows(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
