@@ -16,7 +16,7 @@ md5(doc_id ':' epoch)), and one last pass that stops before its budget would be
 The last pass needs running sums over a source, and one source may hold a third of all
 rows: sums are taken per block (the first four digits of the permutation key) by partial
 aggregation, blocks are accumulated, and only the block in which the budget ends is
-accumulated row by row. No task ever sees a whole source.
+accumulated key by key, rows of one key being added up before. No task ever sees a whole source.
 
 Defined cases: a null source is a source of its own; a null text has no tokens; documents
 of a source without tokens are drawn once; rows that share a doc_id (null included) have
@@ -150,17 +150,23 @@ def with_cutoff(counted: DataFrame, planned: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("end"))
         .select("source", "end.block", "end.left")
     )
-    inside = Window.partitionBy("source").orderBy("slot").rangeBetween(Window.unboundedPreceding, 0)
     ends = cut(blocks)
-    last = (
+    last = summed_slots(keyed, ends).groupBy("source").agg(
+        F.max(F.when(F.col("upto") <= F.col("left"), F.col("slot"))).alias("last"))
+    cutoffs = match_source(ends, last).select("source", F.coalesce("last", "block").alias("cutoff"))
+    return match_source(planned, cutoffs, "left").withColumn("cutoff", F.coalesce("cutoff", F.lit("")))
+
+
+def summed_slots(keyed: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, left, slot, tokens, upto) of the blocks in which budgets end: running sums, one row
+    per slot, as rows of one doc_id (null included) share a slot however many they are."""
+    inside = Window.partitionBy("source").orderBy("slot")
+    return (
         match_source(keyed.drop("rest"), ends.withColumnRenamed("block", "end_block"))
         .where(F.col("block") == F.col("end_block"))
+        .groupBy("source", "left", "slot").agg(F.sum("tokens").alias("tokens"))
         .withColumn("upto", F.sum("tokens").over(inside))
-        .groupBy("source")
-        .agg(F.max(F.when(F.col("upto") <= F.col("left"), F.col("slot"))).alias("last"))
     )
-    cutoffs = match_source(ends, last).select("source", F.coalesce("last", "block").alias("cutoff"))
-    return match_source(planned, cutoffs, "left").withColumn("cutoff", F.coalesce("cutoff", F.lit("")))
 
 
 def match_source(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFrame:

@@ -408,6 +408,17 @@ def test_mixing_meets_entropy_and_budget(spark):
     assert abs(sum(len(r.text.split()) for r in drawn.collect()) - total) <= 60 * 4
 
 
+def test_mixing_adds_up_a_slot_before_the_window(spark):
+    """Rows of one id are one row of the running sums; the cutoff stays that of the rows."""
+    rows = [("s", 4, 2, i // 300 and f"{i:04x}" or "0000", "0000" if i < 300 else f"{i:04x}"[:4]) for i in range(310)]
+    keyed = spark.createDataFrame(rows, "source string, rest long, tokens long, slot string, block string")
+    ends = spark.createDataFrame([("s", "0000", 700)], "source string, block string, left long")
+    assert [(r.slot, r.tokens, r.upto) for r in mixing.summed_slots(keyed, ends).collect()] == [("0000", 600, 600)]
+    docs = [(None, "a b", "en", "s", 3, "h", 1, "x", 2, 3)] * 300 + rows_of([(i, "a b c") for i in range(50)])
+    drawn = mixing.mix(spark.createDataFrame(docs, EXTRA), budget=900, repetition_limit=None, entropy=0.0).collect()
+    assert sum(r.tokens for r in drawn) <= 900 and sum(r.doc_id is None for r in drawn) % 300 == 0
+
+
 def test_url_filter_is_exact(spark):
     hosts = [f"h{i}.example.net" for i in range(3000)]
     rows = [(i, f"https://{h.upper()}/a?b#c", "x", "y", "z") for i, h in enumerate(hosts)]
