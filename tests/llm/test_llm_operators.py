@@ -341,6 +341,20 @@ def test_keep_one_links_by_exact_similarity(spark):
     assert sum(i not in kept for i in near) >= 0.9 * len(near)
 
 
+def test_close_fingerprints_are_verified_too(spark):
+    """Short texts under 0.8 whose few shingles change few bits: both stay."""
+    rng, pairs = np.random.default_rng(11), []
+    while len(pairs) < 5:
+        base = [f"wort{x}" for x in rng.integers(0, 10**9, 12)]
+        pair = [" ".join(base), " ".join([*base[:-1], "anders"])]
+        f, g = (simhash.fingerprint(t.encode(), 5, 4, repeats=False) for t in pair)
+        if 0 < sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(f, g)) <= 24:
+            pairs.append(pair)
+    texts = [t for pair in pairs for t in pair]
+    assert all(jaccard(*pair) < 0.8 for pair in pairs)
+    assert simhash.keep_one(spark.createDataFrame(rows_of(list(enumerate(texts))), EXTRA)).count() == len(texts)
+
+
 def family(copies, words=100):
     """Copies of one text with up to four words replaced: pairs on both sides of 0.8."""
     base, found = [f"wort{x}" for x in RNG.integers(0, 10**9, words)], []
