@@ -225,11 +225,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     document, known by the number at the end of the page's path. The first page counts."""
     url = F.col("url")
     number = F.regexp_extract(url, r"^[^?#]*/(\d{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
-    head = F.substring("html", 1, 1000)
     return (
         pages.select(
             "page_id", F.when(number != "", number.cast("long")).alias("doc_id"),
-            F.nullif(F.regexp_extract(head, r"(?i)<html[^>]*\slang=[\"']?([a-z]{2})", 1), F.lit("")).alias("declared"),
+            F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-z]{2})", 1), F.lit("")).alias("declared"),
             host_of(url).alias("host"))
         .where("doc_id IS NOT NULL")
         .groupBy("doc_id").agg(F.min(F.struct("page_id", "declared", "host")).alias("first"))

@@ -169,6 +169,14 @@ def test_language_uses_text_and_priors(spark):
     assert language.keep_identified(docs.limit(0)).count() == 0
 
 
+def test_markup_language_is_found_anywhere(spark):
+    """A long comment, white space or attributes before lang= take nothing away."""
+    late = [f"<!-- {'x' * 5000} --><html lang='de'>", " " * 3000 + "<HTML LANG=de>", f"<html class='{'y' * 2000}' lang=\"de\">"]
+    pages = spark.createDataFrame([(i, f"http://x.com/{i}", html) for i, html in enumerate(late)],
+                                  "page_id long, url string, html string")
+    assert [r.declared for r in language.page_evidence(pages).collect()] == ["de"] * 3
+
+
 def test_packing_round_trip_and_bins(documents, texts, empty):
     from tokenizers import Tokenizer
 
