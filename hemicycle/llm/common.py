@@ -28,6 +28,19 @@ def hinted(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+#: Bytes of values up to which :func:`small_enough` allows a broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_enough(side: DataFrame, *keys: str) -> DataFrame:
+    """Broadcast a side whose counted bytes are within the bound; else leave the join to Spark.
+
+    ``keys``: the columns of varying length; the rest of a row counts for 64 bytes.
+    """
+    size = F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(64))), F.lit(0))
+    return F.broadcast(side) if side.agg(size).first()[0] <= BROADCAST_BYTES else side
+
+
 def text_of(column: Column | str) -> Column:
     """A text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import ann, language, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity, url_filter
+from hemicycle.llm import (
+    ann, conversation_repair, fill_in_middle, host_rules, language, line_dedup, mixing, packing, simhash, suffix_dedup,
+    topk, toxicity, url_filter,
+)
 from hemicycle.plans.registry import Tables
 
 #: Vocabulary for packing; any other file of the same library can be given to the operator.
@@ -75,3 +78,18 @@ def op7(t: Tables) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10(t: Tables) -> DataFrame:
     return suffix_dedup.dedup_report(t.documents)
+
+
+@query("op11_quality_rules", host_rules.SQL)
+def op11(t: Tables) -> DataFrame:
+    return host_rules.judge(t.documents)
+
+
+@query("op12_fill_in_middle", fill_in_middle.SQL)
+def op12(t: Tables) -> DataFrame:
+    return fill_in_middle.digests(t.documents)
+
+
+@query("op13_conversation_repair")
+def op13(t: Tables) -> DataFrame:
+    return conversation_repair.repair(t.conversations)
