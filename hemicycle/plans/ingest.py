@@ -1,4 +1,12 @@
-"""Archives -> interventions table, as whole jobs."""
+"""Archives -> interventions table, as whole jobs.
+
+A load reads its archives once: a scan whose planning leaves out what need not be read, a
+parser that gives finished runs, and one write of them to the shared folder, without any
+exchange. Table and per-file results are made from that copy, which is then removed.
+
+``archive_files`` is a folder, whose archives are read by the data source, or rows (path,
+content), as a binary file scan or a stream gives them.
+"""
 
 from __future__ import annotations
 
@@ -6,179 +14,134 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemicycle.functions import files as fl
 from hemicycle.operators import aggregates as ag
 from hemicycle.operators import filters
-from hemicycle.schemas import ELEMENTS, INTERVENTIONS
-from hemicycle.session import scratch_path
-from hemicycle.sources import archives, files, table
+from hemicycle.session import checkpointed
+from hemicycle.sources import archive_source, archives, files, table
 
 KEY = "para_id"
 ORDER = ["source_file", "ordinal"]
-#: Stored issues up to which a load tests file names against literals; beyond, it joins.
-MOST_LITERALS = 5_000
 
 
-def interventions(archive_files: DataFrame, keep_all: bool = False) -> DataFrame:
+def interventions(archive_files: DataFrame | str, spark: SparkSession | None = None, keep_all: bool = False) -> DataFrame:
     """Parsed interventions of the given archives."""
-    return archives.xml_paragraphs(archives.parse_archives(archive_files, ("para",)), keep_all)
+    if isinstance(archive_files, str):
+        return archives.run_interventions(archive_source.read_transcripts(spark, archive_files, keep_all))
+    return archives.xml_paragraphs(archive_files, keep_all)
 
 
-def listing(archive_files: DataFrame) -> DataFrame:
-    """(path, annee, publication_numero) read off the names, without reading contents."""
+def named(paths: DataFrame) -> DataFrame:
+    """Add (annee, publication_numero), read off the names, to rows with a ``path``."""
     path = F.col("path")
-    return archive_files.select(
-        "path", fl.issue_year(path).alias("annee"), fl.issue_number(path).alias("publication_numero")
-    )
+    return paths.select("*", fl.issue_year(path).alias("annee"), fl.issue_number(path).alias("publication_numero"))
 
 
-def load_parsed(archive_files: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
-    """Parse archives once, hand their rows to ``write``, and return a status row per file.
+def list_archives(spark: SparkSession, root: str, pattern: str = archive_source.ARCHIVE_PATTERN) -> DataFrame:
+    """(path, length) of the archives under a folder; contents are not read."""
+    return archives.scan_recursive(spark, root, pattern).select("path", "length")
 
-    A file that cannot be read is a ``failed`` row with its error, never a silent loss.
-    """
-    spark = archive_files.sparkSession
-    begin = time.time()
-    elements_path, rows_path = scratch_path(spark, "elements"), scratch_path(spark, "rows")
-    archives.parse_archives(archive_files, ("para",)).write.parquet(elements_path)
-    elements = spark.read.schema(ELEMENTS).parquet(elements_path)
-    archives.xml_paragraphs(elements).write.parquet(rows_path)
-    rows = spark.read.schema(INTERVENTIONS).parquet(rows_path)
-    write(rows)
-    listed = listing(archive_files).withColumn("new", F.lit(True))
-    n = max(listed.count(), 1)
-    return file_results(listed, documents_per_file(rows), errors_per_file(elements), (time.time() - begin) / n)
 
+def mark_new(listed: DataFrame, stored: DataFrame) -> DataFrame:
+    """Add ``new`` to rows (path, annee, publication_numero): no such issue is stored. A name
+    without year or number is new. Both sides of the join are names and distinct issues."""
+    issues = stored.where("annee IS NOT NULL AND publication_numero IS NOT NULL").select(
+        F.col("annee").alias("_year"), F.col("publication_numero").alias("_number")).distinct()
+    known = listed.join(issues, (F.col("annee") == F.col("_year")) & (F.col("publication_numero") == F.col("_number")), "left")
+    return known.select(*listed.columns, F.col("_year").isNull().alias("new"))
 
-def documents_per_file(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("documents"))
 
+def load_runs(runs: DataFrame, write: Callable[[DataFrame], str | None], path: str) -> DataFrame:
+    """Write runs once, hand their interventions to ``write`` (which returns the id of a load of
+    the table at ``path``) and return a status row per file that was read.
 
-def errors_per_file(elements: DataFrame) -> DataFrame:
-    return archives.parse_errors(elements).select(F.col("source_file").alias("path"), "error")
+    ``documents_count`` rows were extracted, of which ``documents_stored`` entered the table.
+    A file that cannot be read is a ``failed`` row with its error, never a silent loss.
+    """
+    with table.Staged(runs, "runs") as staged:
+        load = write(archives.run_interventions(staged))
+        stored = table.read_load(runs.sparkSession, path, load).groupBy(F.col("source_file").alias("_file")).agg(
+            F.count("*").alias("stored"))
+        seen = staged.where("kind = 'file'")
+        status = F.when(F.col("rows") == 0, "failed").otherwise("success")
+        done = seen.join(stored, F.col("source_file") == F.col("_file"), "left").select(
+            F.col("source_file").alias("filename"), status.alias("status"), F.col("rows").alias("documents_count"),
+            F.coalesce("stored", F.lit(0)).cast("long").alias("documents_stored"),
+            F.col("seconds").alias("duration_seconds"),
+            F.when(status == "failed", F.coalesce("error", F.lit("no document extracted"))).alias("error_message"),
+            F.col("issue_year").alias("year"))
+        return checkpointed(done)
+
+
+def load_parsed(archive_files: DataFrame, path: str, replace: bool = False) -> DataFrame:
+    """Load archives given as rows (path, content), whatever their issue."""
+    return ingest_years(archive_files, path, None, replace)
 
 
 def ingest_years(
-    archive_files: DataFrame, path: str, years: list[int] | None = None, replace: bool = True,
-    transformed_path: str | None = None, merge: bool = False,
+    archive_files: DataFrame | str, path: str, years: list[int] | None = None, replace: bool = True,
+    transformed_path: str | None = None, merge: bool = False, spark: SparkSession | None = None,
 ) -> DataFrame:
     """Transform the archives of the given years and load them; one status row per file."""
-    if years is not None:
-        archive_files = archive_files.where(fl.file_year(F.col("path")).isin(*[str(y) for y in years]))
-
-    def write(rows: DataFrame) -> None:
+    wanted = None if years is None else [str(y) for y in years]
+    if isinstance(archive_files, str):
+        tests = [] if wanted is None else [("file_year", "in", wanted)]  # applied while files are listed
+        runs = archive_source.read_transcripts(spark or SparkSession.getActiveSession(), archive_files, where=tests)
+    else:
+        if wanted is not None:
+            archive_files = archive_files.where(fl.file_year(F.col("path")).isin(*wanted))
+        runs = archives.transcript_runs(archive_files)
+
+    def write(rows: DataFrame) -> str | None:
         if transformed_path:
             files.write_transformed(rows, transformed_path, merge=merge)
-        (table.upsert_by_key if replace else table.insert_if_absent)(rows, path, KEY, ORDER, stage=False)
+        if replace:
+            return table.upsert_by_key(rows, path, KEY, ORDER, stage=False)
+        return table.insert_if_absent(rows, path, KEY, ORDER)
 
-    return load_parsed(archive_files, write)
+    return load_runs(runs, write, path)
 
 
-def ingest_year(archive_files: DataFrame, path: str, year: int, **options: object) -> DataFrame:
+def ingest_year(archive_files: DataFrame | str, path: str, year: int, **options: object) -> DataFrame:
     return ingest_years(archive_files, path, [year], **options)
 
 
-def stored_issues(stored: DataFrame) -> DataFrame:
-    """Distinct (annee, publication_numero) that the table holds."""
-    return stored.where("annee IS NOT NULL AND publication_numero IS NOT NULL").select(
-        "annee", "publication_numero").distinct()
-
-
-def few_issues(issues: DataFrame) -> list[tuple[int, int]] | None:
-    """The issues, if they are at most ``MOST_LITERALS``; else None, and they stay a table."""
-    some = issues.limit(MOST_LITERALS + 1).collect()
-    return [tuple(r) for r in some] if len(some) <= MOST_LITERALS else None
-
-
-def is_new(path: Column, known: list[tuple[int, int]]) -> Column:
-    """Not an issue of the list. A name without year or number is new."""
-    if not known:
-        return F.lit(True)
-    issue = F.concat_ws("/", fl.issue_year(path).cast("string"), fl.issue_number(path).cast("string"))
-    return ~issue.isin(*[f"{year}/{number}" for year, number in known])
-
-
-def mark_new(rows: DataFrame, issues: DataFrame, known: list[tuple[int, int]] | None) -> DataFrame:
-    """Add ``new`` to rows with a ``path``: by literals if few issues are stored, else by a
-    join on year and number."""
-    if known is not None:
-        return rows.withColumn("new", is_new(F.col("path"), known))
-    held = issues.select(F.col("annee").alias("_year"), F.col("publication_numero").alias("_number"),
-                         F.lit(True).alias("_held"))
-    joined = rows.join(held, (fl.issue_year(F.col("path")) == F.col("_year"))
-                       & (fl.issue_number(F.col("path")) == F.col("_number")), "left")
-    return joined.withColumn("new", F.col("_held").isNull()).drop("_year", "_number", "_held")
-
-
-def unread(archive_files: DataFrame, issues: DataFrame, known: list[tuple[int, int]] | None) -> DataFrame:
-    """Archives of new issues. With few stored issues, the test is also put on the metadata of
-    a file scan, which Spark applies while it lists files: a skipped archive is not opened."""
-    scan = archive_files
-    if known is not None:
-        try:
-            scan = archive_files.where(is_new(F.col("_metadata.file_path"), known))
-        except AnalysisException:  # not a file scan
-            pass
-    return mark_new(scan, issues, known).where("new").drop("new")
-
-
-def file_results(listed: DataFrame, counts: DataFrame, errors: DataFrame, seconds: float) -> DataFrame:
-    """One status row per file: skipped, failed (with the true message) or success."""
-    joined = listed.join(counts, "path", "left").join(errors, "path", "left")
-    documents = F.coalesce("documents", F.lit(0))
-    new = F.col("new")
-    status = F.when(~new, "skipped").when(documents == 0, "failed").otherwise("success")
-    return joined.select(
-        F.col("path").alias("filename"),
-        status.alias("status"),
-        documents.cast("long").alias("documents_count"),
-        # files share tasks, so the run's time is spread evenly over the files it parsed
-        F.when(new, F.lit(seconds)).otherwise(0.0).alias("duration_seconds"),
-        F.when(status == "failed", F.coalesce("error", F.lit("no document extracted"))).alias(
-            "error_message"
-        ),
-        F.col("annee").alias("year"),
-    )
-
-
 def ingest_incremental(
-    archive_files: DataFrame, path: str, report_path: str | None = None, skip: bool = True
+    archive_files: DataFrame | str, path: str, report_path: str | None = None, skip: bool = True,
+    spark: SparkSession | None = None,
 ) -> DataFrame:
     """Load only new archives, insert-if-absent; returns one status row per file.
 
-    The parsed rows are written once to the shared folder; table, counts and errors all
-    read them from there.
+    Names are listed and met with the stored issues first; of a folder, only the archives that
+    are left are then opened, however many issues are stored.
     """
-    spark = archive_files.sparkSession
+    on_disk = isinstance(archive_files, str)
+    spark = spark or (SparkSession.getActiveSession() if on_disk else archive_files.sparkSession)
     begin = time.time()
-    if not files._exists(spark, path):
+    if not table.table_exists(path):
         table.create_table(spark, path)
-    issues = stored_issues(table.read_table(spark, path))
-    known = few_issues(issues) if skip else []
-
+    listed = named(list_archives(spark, archive_files) if on_disk else archive_files.select("path"))
+    stored = table.read_table(spark, path)
+    marked = mark_new(listed, stored) if skip else listed.withColumn("new", F.lit(True))
     # listed before anything is stored: this run's own rows do not make a file "known"
-    listed_path = scratch_path(spark, "listed")
-    mark_new(listing(archive_files), issues, known).write.parquet(listed_path)
-    listed = spark.read.parquet(listed_path)
-
-    elements_path = scratch_path(spark, "elements")
-    archives.parse_archives(unread(archive_files, issues, known), ("para",)).write.parquet(elements_path)
-    elements = spark.read.schema(ELEMENTS).parquet(elements_path)
-    rows_path = scratch_path(spark, "rows")
-    archives.xml_paragraphs(elements).write.parquet(rows_path)
-    rows = spark.read.schema(INTERVENTIONS).parquet(rows_path)
-    table.insert_if_absent(rows, path, KEY, ORDER, stage=False)
-
-    n_new = max(listed.where("new").count(), 1)
-    seconds = time.time() - begin
-    results_path = scratch_path(spark, "results")
-    file_results(listed, documents_per_file(rows), errors_per_file(elements), seconds / n_new).write.parquet(
-        results_path)
-    results = spark.read.parquet(results_path)
+    with table.Staged(marked, "listed") as marked:
+        if on_disk:
+            new = table.Staged(marked.where("new").select("path", "length"), "files")
+            with new:
+                runs = archive_source.read_transcripts(spark, files=new.path)
+                done = load_runs(runs, lambda rows: table.insert_if_absent(rows, path, KEY, ORDER), path)
+        else:
+            new = marked.where("new").select(F.col("path").alias("_new"))
+            runs = archives.transcript_runs(archive_files.join(new, F.col("path") == F.col("_new"), "left_semi"))
+            done = load_runs(runs, lambda rows: table.insert_if_absent(rows, path, KEY, ORDER), path)
+        skipped = marked.where("NOT new").select(
+            F.col("path").alias("filename"), F.lit("skipped").alias("status"), F.lit(0).cast("long").alias("documents_count"),
+            F.lit(0).cast("long").alias("documents_stored"), F.lit(0.0).alias("duration_seconds"),
+            F.lit(None).cast("string").alias("error_message"), F.col("annee").alias("year"))
+        results = checkpointed(done.unionByName(skipped))
     if report_path:
         files.append_run_report(
             run_report(results, begin, time.time()), failed_files(results), report_path,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hemicycle.plans.registry import Tables
 from hemicycle.schemas import CLASSES
+from hemicycle.sources import storage
 
 # Words of the test corpus used as search words.
 MAIN_WORD, NEAR_WORD = "der", "und"
@@ -316,6 +317,17 @@ def archive_files(t: Tables) -> DataFrame:
     ).mapInPandas(_taz, "path string, modificationTime timestamp, length long, content binary")
 
 
+def write_archives(archives: DataFrame, root: str) -> None:
+    """Store rows (path, content) as files under a folder that all executors reach."""
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                storage.write_bytes(f"{root}/{path}", content)
+            yield batch[["path"]]
+
+    archives.select("path", "content").mapInPandas(save, "path string").write.format("noop").mode("overwrite").save()
+
+
 SQL_ARCHIVES = r"""
     blocks AS (
         SELECT DISTINCT doc_id // 32 AS block, CAST(o.o_orderdate AS DATE) AS date_seance

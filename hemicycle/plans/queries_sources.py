@@ -16,6 +16,7 @@ from hemicycle.plans import mapping as m
 from hemicycle.plans.registry import Tables, query, r6
 from hemicycle.schemas import CLASSES, INTERVENTIONS
 from hemicycle.session import scratch_path
+from hemicycle.sources import archive_source
 from hemicycle.sources import archives as ar
 from hemicycle.sources import files as fi
 from hemicycle.sources import table as tb
@@ -312,7 +313,7 @@ def _para_view(rows):
     return rows.select(*_PARA_COLUMNS, F.md5("texte").alias("texte"))
 
 
-query("xml_paragraphs", _PARAS)(lambda t: _para_view(ar.xml_paragraphs(_elements(t, "para"))))
+query("xml_paragraphs", _PARAS)(lambda t: _para_view(ar.xml_paragraphs(m.archive_files(t))))
 
 
 def _ingested(t: Tables, years: list[int] | None, replace: bool):
@@ -327,22 +328,57 @@ query("ingest_year", f"SELECT * FROM ({_PARAS}) WHERE annee = 1997")(
 )
 
 
+def _stored_archives(t: Tables) -> str:
+    """The archives made from documents, as files under the shared folder."""
+    root = scratch_path(t.spark, "archives")
+    m.write_archives(m.archive_files(t), root)
+    return f"{root}/raw"
+
+
 def _incremental(t: Tables):
-    path = scratch_path(t.spark, "incremental")
-    # the derived archives are stored first, so that each step reads files and not their making
-    stored = scratch_path(t.spark, "archives")
-    m.archive_files(t).write.parquet(stored)
-    archive_files = t.spark.read.parquet(stored)
-    ingest.ingest_years(archive_files, path, [1996, 1997])
-    return ingest.ingest_incremental(archive_files, path)
+    path, root = scratch_path(t.spark, "incremental"), _stored_archives(t)
+    ingest.ingest_years(root, path, [1996, 1997], spark=t.spark)
+    done = ingest.ingest_incremental(root, path, spark=t.spark)
+    return done.withColumn("filename", F.regexp_extract("filename", "(raw/.*)$", 1))
 
 
 query("ingest_incremental", f"""
     WITH {m.SQL_ARCHIVES}, counts AS (SELECT block, count(*) AS d FROM paras GROUP BY 1)
     SELECT source_file AS filename, CASE WHEN annee IN (1996, 1997) THEN 'skipped' ELSE 'success' END AS status,
-           CASE WHEN annee IN (1996, 1997) THEN 0 ELSE d END AS documents_count, annee AS year
+           CASE WHEN annee IN (1996, 1997) THEN 0 ELSE d END AS documents_count,
+           CASE WHEN annee IN (1996, 1997) THEN 0 ELSE d END AS documents_stored,
+           annee NOT IN (1996, 1997) AS timed, annee AS year
     FROM named JOIN counts USING (block)
-""")(lambda t: _incremental(t).select("filename", "status", "documents_count", "year"))
+""")(lambda t: _incremental(t).select(
+    "filename", "status", "documents_count", "documents_stored", (F.col("duration_seconds") > 0).alias("timed"), "year"))
+
+
+def _snapshots(t: Tables):
+    """Row counts by version: first languages, then an upsert, then an insert; old ones stay."""
+    path = scratch_path(t.spark, "versions")
+    rows = _full(t)
+    tb.insert_if_absent(rows.where("section_id = 'fr'"), path, "para_id", ["ordinal"])
+    tb.upsert_by_key(rows.where("section_id IN ('fr', 'en')"), path, "para_id", ["ordinal"])
+    tb.insert_if_absent(rows, path, "para_id", ["ordinal"])
+    read = [tb.read_table(t.spark, path, version=v).withColumn("version", F.lit(v)) for v in tb.versions(path)]
+    return read[0].unionByName(read[1]).unionByName(read[2]).groupBy("version", "annee").agg(F.count("*").alias("n"))
+
+
+query("table_versions", f"""
+    WITH {m.SQL_INTERVENTIONS}, v(version) AS (VALUES (1), (2), (3))
+    SELECT version, annee, count(*) AS n FROM interventions, v
+    WHERE section_id = 'fr' OR (version >= 2 AND section_id = 'en') OR version = 3 GROUP BY ALL
+""")(_snapshots)
+
+# the data source opens only what its tests leave
+query("transcript_source", f"""
+    WITH {m.SQL_ARCHIVES}
+    SELECT n.source_file, CAST(p.doc_id AS VARCHAR) AS para_id, i.lines AS parts
+    FROM paras p JOIN named n USING (block) JOIN (SELECT doc_id, count(*) AS lines FROM lines GROUP BY 1) i USING (doc_id)
+    WHERE n.annee >= 1995 AND n.block <> 3
+""")(lambda t: archive_source.read_transcripts(
+    t.spark, _stored_archives(t), where=[("issue_year", ">=", 1995), ("issue_number", "!=", 3)]
+).where("kind = 'run'").select(F.regexp_extract("source_file", "(raw/.*)$", 1).alias("source_file"), "para_id", F.size("parts").cast("long").alias("parts")))
 
 query("xml_metadata", f"""
     WITH {m.SQL_ARCHIVES}

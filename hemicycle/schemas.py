@@ -94,3 +94,26 @@ ELEMENTS = _struct(
     ("vote", T.MapType(_S, _S)),
     ("error", _S),
 )
+
+# What the transcript source emits: the runs of a file (``parts`` in order), then its status.
+# The three file columns are read off the name and can be filtered before a file is opened.
+RUNS = _struct(
+    ("source_file", _S),
+    ("file_year", _S),
+    ("issue_year", _I),
+    ("issue_number", _I),
+    ("xml_name", _S),
+    ("kind", _S),
+    ("ordinal", _L),
+    ("para_id", _S),
+    ("section_id", _S),
+    ("section_titre", _S),
+    ("sous_section_titre", _S),
+    ("orateur_nom", _S),
+    ("parts", T.ArrayType(_S)),
+    ("meta", T.MapType(_S, _S)),
+    ("vote", T.MapType(_S, _S)),
+    ("error", _S),
+    ("seconds", _D),
+    ("rows", _L),
+)

@@ -19,24 +19,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from hemicycle.functions import dates as dt
 from hemicycle.functions import text as tx
-from hemicycle.schemas import ELEMENTS, INTERVENTIONS
+from hemicycle.schemas import ELEMENTS, INTERVENTIONS, RUNS
+from hemicycle.sources.archive_source import ARCHIVE_PATTERN, batches_of
+from hemicycle.sources.transcripts import VOTE_FIELDS, element_text, meta_pairs, speaker_of, title_of, vote_counts
 
-ARCHIVE_PATTERN = "*.taz"
 ROWS_PER_BATCH = 5000
 
-# Metadata elements read from the first metadata block, and vote counters.
-META_FIELDS = (
-    "PublicationNumero", "DateParution", "DateSeance", "SessionNom",
-    "SessionParlementaire", "LegislatureNumero", "NumeroPremierePage",
-)
-VOTE_FIELDS = {
-    "nombre_votants": "NombreVotants",
-    "nombre_suffrages_exprimes": "NombreSuffrageExprime",
-    "votes_pour": "Pour",
-    "votes_contre": "Contre",
-}
-
-
 # scans
 
 
@@ -61,31 +49,6 @@ def scan_recursive(spark: SparkSession, root: str, pattern: str = ARCHIVE_PATTER
 # parsing, inside the tasks
 
 
-def element_text(elem: ET.Element) -> str:
-    """All text below an element in document order, pieces joined by one space.
-
-    An element with nothing inside stands for one empty piece. Elements still to be read
-    wait on a list of their own, so depth is not limited.
-    """
-    pieces: list[str] = []
-    waiting: list[ET.Element | str] = [elem]
-    while waiting:
-        item = waiting.pop()
-        if isinstance(item, str):
-            pieces.append(item)
-            continue
-        inside: list[ET.Element | str] = [item.text] if item.text else []
-        for child in item:
-            inside.append(child)
-            if child.tail:
-                inside.append(child.tail)
-        if inside:
-            waiting.extend(reversed(inside))
-        else:
-            pieces.append("")
-    return " ".join(pieces)
-
-
 def _open_transcript(content: bytes) -> tuple[str, ET.Element]:
     with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as outer:
         inner = next((m for m in outer if m.name.endswith(".tar")), None)
@@ -99,29 +62,18 @@ def _open_transcript(content: bytes) -> tuple[str, ET.Element]:
 
 
 def _title(elem: ET.Element) -> str | None:
-    heading = elem.find("./TitreStruct")
-    label = None if heading is None else heading.find(".//Intitule")
-    return None if label is None else " ".join(element_text(label).split())
+    return title_of(elem.find("./TitreStruct"))
 
 
 def _votes(section: ET.Element) -> list[tuple[str, str]] | None:
     result = section.find(".//ResultatVote")
-    if result is None:
-        return None
-    found = {n: result.find(f".//{tag}/Valeur") for n, tag in VOTE_FIELDS.items()}
-    return [(n, e.text or "") for n, e in found.items() if e is not None]
-
-
-def _speaker(para: ET.Element) -> str | None:
-    speaker = para.find(".//Orateur")
-    name = None if speaker is None else speaker.find("Nom")
-    return None if name is None else " ".join((name.text or "").split())
+    return None if result is None else vote_counts(result)
 
 
 def _para_row(para: ET.Element, **place: object) -> dict:
     return {
         "kind": "para", "tag": para.tag, "ident": para.get("Ident"),
-        "idsyceron": para.get("idsyceron"), "name": _speaker(para),
+        "idsyceron": para.get("idsyceron"), "name": speaker_of(para),
         "text": element_text(para), **place,
     }
 
@@ -176,9 +128,7 @@ def _toc_rows(root: ET.Element) -> Iterator[dict]:
 
 def _element_rows(root: ET.Element) -> Iterator[dict]:
     block = root.find(".//Metadonnees")
-    found = {} if block is None else {f: block.find(f) for f in META_FIELDS}
-    # maps travel as lists of pairs
-    meta = [(f, e.text) for f, e in found.items() if e is not None and e.text is not None]
+    meta = [] if block is None else meta_pairs(block)  # maps travel as lists of pairs
     yield {"kind": "file", "meta": meta}
 
     for elem in root.iter():
@@ -302,62 +252,43 @@ def xml_sections(elements: DataFrame, keep_all: bool = False) -> DataFrame:
     return paras if keep_all else paras.where(kept_in_strict_mode())
 
 
-PLACE = ["source_file", "section_seq", "sub_kind", "sub_seq"]
-
-
-def xml_paragraphs(elements: DataFrame, keep_all: bool = False, generic: bool = True) -> DataFrame:
-    """One row per intervention: consecutive paragraphs of one id in one place are joined.
+def transcript_runs(files: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Runs and file statuses of archives given as rows (path, content); files on disk are read
+    by ``archive_source.read_transcripts``, which gives the same rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = ((path.as_py(), lambda content=content: io.BytesIO(content.as_py()))
+                 for batch in batches for path, content in zip(batch.column("path"), batch.column("content")))
+        yield from batches_of(given, keep_all)
 
-    All rows of one place come from one file, which one task has held whole already, so
-    plain windows by place are bounded by the file; no chunks are needed here.
-    """
-    rows = xml_sections(elements, keep_all).where(F.col("idsyceron").isNotNull())
-    along = Window.partitionBy(*PLACE).orderBy("ordinal")
-    starts = F.coalesce(F.lag("idsyceron").over(along) != F.col("idsyceron"), F.lit(True))
-    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = (
-        rows.withColumn("_start", F.when(starts, F.col("ordinal")))
-        .withColumn("_run", F.last("_start", ignorenulls=True).over(upto))
-        # a continuation is cleaned with the speaker of the run's first paragraph
-        .withColumn("_who", F.last(
-            F.when(F.col("_start").isNotNull(), F.struct("name")), ignorenulls=True
-        ).over(upto))
-        .withColumn("_text", tx.strip_speaker_prefix(F.col("text"), F.col("_who.name"), generic))
-    )
-    first = F.struct(
-        "section_id", "section_titre", F.col("sub_titre").alias("sous_section_titre"),
-        F.col("name").alias("orateur_nom"), "meta", "vote", "xml_name",
-    )
-    return _join_runs(runs, first)
+    return files.select("path", "content").mapInArrow(run, RUNS)
 
 
-def _join_runs(runs: DataFrame, first: Column) -> DataFrame:
-    joined = runs.groupBy(*PLACE, "idsyceron", "_run").agg(
-        F.min_by(first, "ordinal").alias("_f"),
-        F.sort_array(F.collect_list(F.struct("ordinal", F.col("_text").alias("t")))).alias("_p"),
-    )
-    flat = joined.select(
-        F.col("idsyceron").alias("para_id"),
-        "_f.*",
-        F.array_join(F.col("_p.t"), " ").alias("texte"),
-        "source_file",
-        F.col("_run").alias("ordinal"),
-    )
+def run_interventions(runs: DataFrame, generic: bool = True) -> DataFrame:
+    """Interventions from runs, row by row: a continuation is cleaned with the speaker of the
+    run's first paragraph."""
+    cleaned = F.transform("parts", lambda part: tx.strip_speaker_prefix(part, F.col("orateur_nom"), generic))
     votes = {
         n: F.try_element_at(F.col("vote"), F.lit(n)).try_cast("int") for n in VOTE_FIELDS
     }
     out = {
         **metadata_columns(),
         **votes,
+        "texte": F.array_join(cleaned, " "),
         "orateur_fonction": tx.classify_role(F.col("orateur_nom")),
         "vote_present": F.col("vote").isNotNull(),
         "extraction_timestamp": dt.now_timestamp(),
     }
-    return flat.select(*[
+    return _of_kind(runs, "run").select(*[
         out.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in INTERVENTIONS.fields
     ])
 
 
+def xml_paragraphs(files: DataFrame, keep_all: bool = False, generic: bool = True) -> DataFrame:
+    """One row per intervention: consecutive paragraphs of one id in one place are joined, by the
+    parser itself, so nothing is shuffled."""
+    return run_interventions(transcript_runs(files, keep_all), generic)
+
+
 def xml_votes(elements: DataFrame) -> DataFrame:
     """One row per section with a vote."""
     return _of_kind(elements, "vote").select(
@@ -373,6 +304,9 @@ def xml_ids(elements: DataFrame) -> DataFrame:
     )
 
 
+PLACE = ["source_file", "section_seq", "sub_kind", "sub_seq"]
+
+
 def xml_para_count(elements: DataFrame) -> DataFrame:
     """Per file: paragraph elements of the XML, extracted rows, and their ratio in percent.
 

@@ -1,4 +1,4 @@
-"""CSV and JSON sources and sinks. Every sink writes one file per task."""
+"""CSV and JSON sources and sinks."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from hemicycle.functions import scores as sc
 from hemicycle.operators import filters, joins, quality
 from hemicycle.schemas import CLASSES, DEPUTES, RUN_ERRORS, RUN_REPORT, SENTIMENTS, TRANSFORMED
+from hemicycle.sources import storage
 
 # Output field -> (input field, default) of the transformed projection.
 TRANSFORMED_DEFAULTS = {
@@ -73,9 +74,10 @@ def write_transformed(df: DataFrame, path: str, year: str = "annee", merge: bool
     ``para_id`` is not there yet are added."""
     out = transformed(df, year)
     spark = df.sparkSession
-    if merge and _exists(spark, path):
+    if merge and storage.exists(path):
         out = merge_transformed(out, read_transformed(spark, path))
-    out.write.mode("append" if merge else "errorifexists").partitionBy(year).json(path)
+    # dealt by year, so that not every task leaves a file in every year
+    out.hint("rebalance", F.col(year)).write.mode("append" if merge else "errorifexists").partitionBy(year).json(path)
 
 
 def read_transformed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -132,8 +134,3 @@ def write_reconciliation(left: DataFrame, right: DataFrame, column: str, path: s
     """Summary of an id comparison, and its findings one JSON line each."""
     quality.reconcile_ids(left, right, column).write.mode("errorifexists").json(f"{path}/summary")
     quality.reconcile_detail(left, right, column).write.mode("errorifexists").json(f"{path}/findings")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)

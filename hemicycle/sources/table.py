@@ -1,11 +1,26 @@
-"""The interventions table: Parquet partitioned by year, updated by key.
+"""The interventions table: Parquet by year, updated by key, in versions.
 
-``merge_*`` are pure DataFrame operators. ``upsert_by_key`` and ``insert_if_absent`` apply
-them to a stored table: an insert only appends, an upsert rewrites just the years it touches.
+``merge_*`` are pure DataFrame operators. ``upsert_by_key`` and ``insert_if_absent`` apply them
+to a stored table::
+
+    table/data/annee=2018/load=<id>/*.parquet     rows, never changed once written
+    table/versions/00000007.json                  the folders that version 7 is made of
+
+A load writes its rows into folders of its own and then makes a new version that names them,
+by renaming a finished file into place; until then no reader sees them, and a load that fails
+takes its folders away and leaves the table as it was. An insert adds folders, an upsert puts
+one new folder in place of the old ones of each year it touches. A reader stays on the version
+it opened; folders that no version of the last ``KEPT_VERSIONS`` names are removed after a
+commit. Loads of one table follow each other: a commit on a version that is no longer the last
+is refused.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +28,18 @@ from pyspark.sql import types as T
 from hemicycle.operators.joins import latest_per_key
 from hemicycle.schemas import INTERVENTIONS
 from hemicycle.session import scratch_path
-from hemicycle.sources.files import _exists, new_documents
+from hemicycle.sources import storage
+from hemicycle.sources.files import new_documents
 
-YEAR = "annee"
+YEAR, LOAD = "annee", "load"
+#: Versions whose rows are kept: the last one, and those that readers may still be on.
+KEPT_VERSIONS = 3
+#: Folders of a year beyond which an insert rewrites the year into one.
+MOST_FOLDERS = 16
+
+
+class ConcurrentLoad(RuntimeError):
+    """Another load made a new version in the meantime."""
 
 
 def _keyed(key: str) -> Column:
@@ -55,100 +79,203 @@ def skipped_count(target: DataFrame, batch: DataFrame, key: str, order: list[str
     )
 
 
+# versions
+
+
+def versions(path: str) -> list[int]:
+    return [int(n[:-5]) for n in storage.names_in(f"{path}/versions", "[0-9]*.json")]
+
+
+def _version_file(path: str, version: int) -> str:
+    return f"{path}/versions/{version:08d}.json"
+
+
+def folders_of(path: str, version: int | None = None) -> tuple[int, list[str]]:
+    """The version (by default the last) and its folders, below ``data``; 0 if there is none."""
+    known = versions(path)
+    if version is None:
+        version = known[-1] if known else 0
+    if version == 0:
+        return 0, []
+    return version, json.loads(storage.read_text(_version_file(path, version)))["folders"]
+
+
+def commit(path: str, base: int, folders: list[str]) -> int:
+    """Make the version after ``base``, of these folders, by one rename; then clean up."""
+    waiting = f"{path}/versions/.{uuid.uuid4().hex}"
+    storage.write_bytes(waiting, json.dumps({"folders": sorted(folders)}).encode())
+    final = _version_file(path, base + 1)
+    if (versions(path) or [0])[-1] != base or storage.exists(final):
+        storage.remove(waiting)
+        raise ConcurrentLoad(f"{path} is no longer at version {base}")
+    storage.rename(waiting, final)
+    clean_up(path)
+    return base + 1
+
+
+def clean_up(path: str, keep: int = KEPT_VERSIONS) -> None:
+    """Drop versions before the last ``keep``, and the folders that only they name."""
+    known = versions(path)
+    kept = {f for v in known[-keep:] for f in folders_of(path, v)[1]}
+    for version in known[:-keep]:
+        for folder in set(folders_of(path, version)[1]) - kept:
+            storage.remove(f"{path}/data/{folder}")
+        storage.remove(_version_file(path, version))
+
+
+def _year_of(folder: str) -> str:
+    return folder.split("/")[0]
+
+
+def _labels(years: list[int | None], year: str) -> set[str]:
+    return {f"{year}={'__HIVE_DEFAULT_PARTITION__' if y is None else y}" for y in years}
+
+
+def _write_load(df: DataFrame, path: str, year: str) -> tuple[str, list[str]]:
+    """Write rows into folders of a new load; its id, and the folders that got rows.
+
+    Rows are dealt by year before the write (adaptively: a large year over several files, a
+    small one to a single file), so a load does not leave a file per task and year.
+    """
+    load = uuid.uuid4().hex
+    try:
+        df.withColumn(LOAD, F.lit(load)).hint("rebalance", F.col(year)).write.mode("append").partitionBy(
+            year, LOAD).parquet(f"{path}/data")
+    except BaseException:
+        _forget_load(path, load, year)
+        raise
+    return load, _folders_of_load(path, load, year)
+
+
+def _folders_of_load(path: str, load: str, year: str) -> list[str]:
+    years = storage.names_in(f"{path}/data", f"{year}=*")
+    return [f"{y}/{LOAD}={load}" for y in years if storage.exists(f"{path}/data/{y}/{LOAD}={load}")]
+
+
+def _forget_load(path: str, load: str, year: str) -> None:
+    for folder in _folders_of_load(path, load, year):
+        storage.remove(f"{path}/data/{folder}")
+
+
+def _load_and_commit(df: DataFrame, path: str, year: str, base: int, kept: Callable[[list[str]], list[str]]) -> str:
+    load, fresh = _write_load(df, path, year)
+    try:
+        commit(path, base, [*kept(fresh), *fresh])
+    except BaseException:
+        _forget_load(path, load, year)
+        raise
+    return load
+
+
 # stored tables
 
 
+def table_exists(path: str) -> bool:
+    return bool(versions(path))
+
+
 def create_table(
     spark: SparkSession, path: str, schema: T.StructType = INTERVENTIONS, year: str = YEAR
 ) -> None:
-    """Drop and recreate the table, empty, with its declared schema."""
-    empty = spark.createDataFrame([], schema)
-    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-        year
-    ).parquet(path)
+    """Drop and recreate the table, empty: a version without folders."""
+    commit(path, folders_of(path)[0], [])
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType = INTERVENTIONS) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def _read_folders(spark: SparkSession, path: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], schema)
+    stored = T.StructType([*schema.fields, T.StructField(LOAD, T.StringType())])
+    rows = spark.read.schema(stored).option("basePath", f"{path}/data").parquet(*[f"{path}/data/{f}" for f in folders])
+    return rows.select(*schema.fieldNames())
 
 
-def staged(df: DataFrame, schema: T.StructType = INTERVENTIONS) -> DataFrame:
-    """The rows, written once to the shared folder and read back from there.
+def read_table(spark: SparkSession, path: str, schema: T.StructType = INTERVENTIONS, version: int | None = None) -> DataFrame:
+    """The table as of its last version, or an earlier one that is still kept."""
+    found, folders = folders_of(path, version)
+    if not found:
+        raise FileNotFoundError(f"no table at {path}")
+    return _read_folders(spark, path, folders, schema)
+
+
+def read_load(spark: SparkSession, path: str, load: str | None, schema: T.StructType = INTERVENTIONS,
+              year: str = YEAR) -> DataFrame:
+    """The rows that one load wrote."""
+    return _read_folders(spark, path, _folders_of_load(path, load, year) if load else [], schema)
+
+
+class Staged:
+    """Rows written once to the shared folder and read back from there, then removed.
 
     A batch is used several times below; without this an expensive plan behind it (parsing
     archives) would run each time.
     """
-    path = scratch_path(df.sparkSession, "staged")
-    df.select(*schema.fieldNames()).write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
 
+    def __init__(self, df: DataFrame, label: str = "staged"):
+        self.path = scratch_path(df.sparkSession, label)
+        self.df = df
+
+    def __enter__(self) -> DataFrame:
+        try:
+            self.df.write.parquet(self.path)
+        except BaseException:
+            storage.remove(self.path)
+            raise
+        return self.df.sparkSession.read.schema(self.df.schema).parquet(self.path)
 
-def _append(df: DataFrame, path: str, year: str) -> None:
-    df.write.mode("append").partitionBy(year).parquet(path)
+    def __exit__(self, *problem: object) -> None:
+        storage.remove(self.path)
 
 
 def insert_if_absent(
     batch: DataFrame, path: str, key: str, order: list[str],
-    schema: T.StructType = INTERVENTIONS, year: str = YEAR, stage: bool = True,
-) -> None:
-    """Append the rows whose key is absent; existing files are not touched. A batch that is
-    read straight from files needs no ``stage``.
-
-    The files the join reads are listed before the append starts, so the rows it adds do
-    not change its own input, not even when a task is run again.
-    """
+    schema: T.StructType = INTERVENTIONS, year: str = YEAR,
+) -> str:
+    """Add the rows whose key is absent, as one load, and return its id. The batch is read once;
+    existing files are not touched, but those of a year in over ``MOST_FOLDERS`` folders, which
+    are written anew beside the added rows."""
     spark = batch.sparkSession
-    if not _exists(spark, path):
-        create_table(spark, path, schema, year)
-    target = read_table(spark, path, schema)
-    rows = staged(batch, schema) if stage else batch.select(*schema.fieldNames())
-    _append(absent_rows(target.select(key), rows, key, order), path, year)
+    base, folders = folders_of(path)
+    rows = batch.select(*schema.fieldNames())
+    by_year: dict[str, int] = {}
+    for folder in folders:
+        by_year[_year_of(folder)] = by_year.get(_year_of(folder), 0) + 1
+    crowded = [f for f in folders if by_year[_year_of(f)] > MOST_FOLDERS]
+    target = _read_folders(spark, path, folders, schema)
+    added = absent_rows(target.select(key), rows, key, order)
+    if crowded:
+        added = added.unionByName(_read_folders(spark, path, crowded, schema))
+    return _load_and_commit(added, path, year, base, lambda fresh: [f for f in folders if f not in crowded])
 
 
 def upsert_by_key(
     batch: DataFrame, path: str, key: str, order: list[str],
     schema: T.StructType = INTERVENTIONS, year: str = YEAR, stage: bool = True,
-) -> None:
-    """Replace rows by key. Only the years with new or replaced rows are rewritten.
+) -> str | None:
+    """Replace rows by key, as one load. Only the years with new or replaced rows are rewritten.
 
-    The new content of those years is written to the shared folder first; the table is
-    then replaced from there, so it is never read and overwritten by the same job and a
-    lost executor only repeats its own files.
+    A batch that is read straight from files needs no ``stage``.
     """
+    rows = batch.select(*schema.fieldNames())
+    if stage:
+        with Staged(rows) as written:
+            return upsert_by_key(written, path, key, order, schema, year, stage=False)
     spark = batch.sparkSession
-    if not _exists(spark, path):
-        create_table(spark, path, schema, year)
-    rows = staged(batch, schema) if stage else batch.select(*schema.fieldNames())
-    fresh = staged(batch_last_wins(rows, key, order), schema)
-    target = read_table(spark, path, schema)
-
+    base, folders = folders_of(path)
+    target = _read_folders(spark, path, folders, schema)
     replaced = target.select(key, year).where(_keyed(key)).join(
-        fresh.where(_keyed(key)).select(key), key, "left_semi"
+        rows.where(_keyed(key)).select(key), key, "left_semi"
     )
     # one row per calendar year
-    touched = [r[0] for r in fresh.select(year).union(replaced.select(year)).distinct().collect()]
+    touched = [r[0] for r in rows.select(year).union(replaced.select(year)).distinct().collect()]
     if not touched:
-        return
-    known = [y for y in touched if y is not None]
-    in_touched = F.col(year).isin(*known) if known else F.lit(False)
-    if None in touched:
-        in_touched = in_touched | F.col(year).isNull()
-    kept = new_documents(target.where(in_touched), fresh, key)
-
-    merged = staged(kept.unionByName(fresh), schema)
-    left = {r[0] for r in merged.select(year).distinct().collect()}
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        year
-    ).parquet(path)
-    for gone in set(touched) - left:
-        _drop_partition(spark, path, year, gone)
-
-
-def _drop_partition(spark: SparkSession, path: str, year: str, value: int | None) -> None:
-    """Remove the folder of a year that lost its last row (its rows moved to other years)."""
-    label = "__HIVE_DEFAULT_PARTITION__" if value is None else value
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{year}={label}")
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        if not base:
+            commit(path, base, [])
+        return None
+    labels = _labels(touched, year)
+    old = _read_folders(spark, path, [f for f in folders if _year_of(f) in labels], schema)
+    merged = merge_upsert(old, rows, key, order)
+    return _load_and_commit(
+        merged, path, year, base, lambda fresh: [f for f in folders if _year_of(f) not in labels])
 
 
 def skip_existing(files: DataFrame, table: DataFrame, year: str = YEAR,

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
 from hemicycle.plans import ingest
-from hemicycle.sources import archives, table
+from hemicycle.sources import archives
 
 _BINARY_FILE = StructType([
     StructField("path", StringType()),
@@ -47,8 +47,7 @@ def ingest_available(
     statuses = status_path or f"{path.rstrip('/')}_status"
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        results = ingest.load_parsed(
-            batch, lambda rows: table.insert_if_absent(rows, path, ingest.KEY, ingest.ORDER, stage=False))
+        results = ingest.load_parsed(batch, path)
         results.write.mode("overwrite").parquet(f"{statuses}/batch={batch_id}")
 
     return (
