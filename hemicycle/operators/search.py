@@ -1,13 +1,25 @@
-"""Word search and proximity search. Whole texts, no shuffle before the result."""
+"""Word search and proximity search. Whole texts, no shuffle before the result.
+
+A search analyses query and text alike. ``mode='french'``, the default, compares words after
+elision and by stem, and takes no notice of stop words, which still count as places;
+``mode='token'`` compares lower-case tokens. Query terms are analysed once, on the driver, and
+enter the plan as literals.
+"""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemicycle.functions import french
 from hemicycle.functions import text as tx
 
+FRENCH, TOKEN = "french", "token"
+
 
 def query_words(query: str) -> list[str]:
     """The words of a query, under the same rule as the text's tokens."""
@@ -15,39 +27,95 @@ def query_words(query: str) -> list[str]:
     return kept.split()
 
 
-def single_word(term: str) -> str:
-    """The one word of a proximity term. Several words are refused: no single token can
-    equal them, so the answer would always be empty."""
-    words = query_words(term)
-    if len(words) != 1:
-        raise ValueError(f"a proximity term is one word, not {term!r}")
-    return words[0]
+@dataclass(frozen=True)
+class Term:
+    """Words that have to stand at given places after each other: a word, or a phrase."""
+
+    words: tuple[str, ...]
+    places: tuple[int, ...]
+    mode: str
+
+    @property
+    def length(self) -> int:
+        return self.places[-1] + 1
+
+    def matches(self, token: Column, n: int) -> Column:
+        """A token is the term's n-th word."""
+        if self.mode == TOKEN:
+            return token == F.lit(self.words[n])
+        # only words that begin like the stem are stemmed
+        return token.rlike("^" + french.may_stem_to(self.words[n])) & (french.stem(token) == F.lit(self.words[n]))
+
+
+def tokens_of(text: Column, mode: str) -> Column:
+    return french.french_tokens(text) if mode == FRENCH else tx.tokenize(text)
+
+
+def analysed(query: str, mode: str) -> list[tuple[int, str]]:
+    """(place, word) of a query's words; in French mode stems, without stop words."""
+    if mode == TOKEN:
+        return list(enumerate(query_words(query)))
+    if mode != FRENCH:
+        raise ValueError(f"mode is {FRENCH!r} or {TOKEN!r}, not {mode!r}")
+    return [(i, french.light_stem(w)) for i, w in enumerate(french.query_tokens(query)) if w not in french.STOP_WORDS]
+
+
+def term(query: str, mode: str = FRENCH) -> Term:
+    """A search term of one or several words; stop words inside leave their place open."""
+    found = analysed(query, mode)
+    if not found:
+        raise ValueError(f"no word to search for in {query!r}")
+    first = found[0][0]
+    return Term(tuple(w for _, w in found), tuple(i - first for i, _ in found), mode)
+
+
+def any_word(tokens: Column, query: str, mode: str) -> Column:
+    """Any word of the query is among the tokens; a query without words matches nothing."""
+    words = sorted({w for _, w in analysed(query, mode)})
+    if not words:
+        return F.lit(False)
+    if mode == TOKEN:
+        if len(words) == 1:
+            return F.array_contains(tokens, words[0])
+        return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+    single = [Term((w,), (0,), mode) for w in words]
+    return F.exists(F.array_distinct(tokens), lambda t: reduce(lambda a, b: a | b, [x.matches(t, 0) for x in single]))
+
+
+def may_match(text: Column, query: str, mode: str) -> Column:
+    """Cheap test of the whole text: some word begins as one of the query's would."""
+    words = sorted({w for _, w in analysed(query, mode)})
+    if not words:
+        return F.lit(False)
+    if mode == FRENCH:
+        return F.lower(text).rlike(french.may_contain(words))
+    # signs inside a word are deleted, so only its first letter is certain
+    return F.lower(text).rlike("|".join(sorted({re.escape(w[0]) for w in words})))
 
 
-def has_word(text: str, query: str | None, mode: str = "token") -> Column:
+def has_word(text: str, query: str | None, mode: str = FRENCH) -> Column:
     """Any word of the query occurs in the text; no query matches everything.
 
-    ``mode='french'`` compares analysed terms (elision, stop words, stems).
+    In French mode only the words that may have a stem of the query are taken out of the text,
+    analysed and stemmed.
     """
     if not (query or "").strip():
         return F.lit(True)
-    if mode == "french":
-        wanted = french.french_terms(F.lit(query))
-        return F.arrays_overlap(french.french_terms(F.col(text)), wanted)
-    words = query_words(query)
-    if not words:
+    column = F.col(text)
+    if mode == TOKEN:
+        return any_word(tokens_of(column, mode), query, mode)
+    stems = sorted({w for _, w in analysed(query, mode)})
+    if not stems:
         return F.lit(False)
-    tokens = tx.tokenize(F.col(text))
-    if len(words) == 1:
-        return F.array_contains(tokens, words[0])
-    return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+    likely = F.regexp_extract_all(F.lower(column), F.lit(french.may_contain(stems)), 0)
+    return F.coalesce(any_word(tokens_of(F.array_join(F.array_distinct(likely), " "), mode), query, mode), F.lit(False))
 
 
-def match_word(df: DataFrame, text: str, query: str | None, mode: str = "token") -> DataFrame:
+def match_word(df: DataFrame, text: str, query: str | None, mode: str = FRENCH) -> DataFrame:
     return df.where(has_word(text, query, mode))
 
 
-def filter_topic(df: DataFrame, text: str, topic: str | None, mode: str = "token") -> DataFrame:
+def filter_topic(df: DataFrame, text: str, topic: str | None, mode: str = FRENCH) -> DataFrame:
     """Optional topic in front of an aggregate."""
     return df if topic is None else match_word(df, text, topic, mode)
 
@@ -61,38 +129,71 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def positions(tokens: Column, word: Column) -> Column:
-    """1-based positions of a word in a token array."""
-    return F.filter(
-        F.transform(tokens, lambda t, i: F.when(t == word, i + 1)), lambda p: p.isNotNull()
+def positions(tokens: Column, wanted: Term) -> Column:
+    """Sorted 1-based places at which the term starts. The first word is looked for, the others
+    only beside its hits."""
+    first = F.filter(
+        F.transform(tokens, lambda t, i: F.when(wanted.matches(t, 0), i + 1)), lambda p: p.isNotNull()
     )
 
+    def whole(p: Column) -> Column:
+        rest = [wanted.matches(F.get(tokens, p - 1 + place), n) for n, place in enumerate(wanted.places) if n]
+        return F.coalesce(reduce(lambda a, b: a & b, rest), F.lit(False))
 
-def _near(tokens: Column, spots: Column, other: Column, slop: int) -> Column:
-    # looks at the words within reach of each hit, so the cost grows with the hits of one
-    # word only and not with the product of both
-    def around(p: Column) -> Column:
-        start = F.greatest(p - (slop + 1), F.lit(1))
-        left = F.slice(tokens, start, p - start)
-        right = F.slice(tokens, p + 1, F.lit(slop + 1))
-        return F.array_contains(left, other) | F.array_contains(right, other)
+    return F.filter(first, whole) if len(wanted.words) > 1 else first
+
+
+def least_gap(starts_a: Column, length_a: int, starts_b: Column, length_b: int) -> Column:
+    """Fewest words between a span of a and one of b that do not overlap, in either order; NULL
+    if there is no such pair.
 
-    return F.exists(spots, around)
+    One sweep over the merged list of places: where a span opens, the nearest one of the other
+    kind that has closed before is known. No pair of spans is built.
+    """
+    def events(starts: Column, length: int, kind: str) -> Column:
+        # at one place spans close (0) before others open (1)
+        shape = [F.lit(kind).alias("kind")]
+        closing = F.transform(starts, lambda p: F.struct((p + length).alias("at"), F.lit(0).alias("opens"), *shape))
+        opening = F.transform(starts, lambda p: F.struct(p.alias("at"), F.lit(1).alias("opens"), *shape))
+        return F.concat(closing, opening)
+
+    merged = F.sort_array(F.concat(events(starts_a, length_a, "a"), events(starts_b, length_b, "b")))
+    nothing = F.lit(None).cast("int")
+    start = F.struct(nothing.alias("a"), nothing.alias("b"), nothing.alias("best"))
+
+    def step(state: Column, e: Column) -> Column:
+        closes = e["opens"] == 0
+        other = F.when(e["kind"] == "a", state["b"]).otherwise(state["a"])
+        return F.struct(
+            F.when(closes & (e["kind"] == "a"), e["at"]).otherwise(state["a"]).alias("a"),
+            F.when(closes & (e["kind"] == "b"), e["at"]).otherwise(state["b"]).alias("b"),
+            F.when(closes, state["best"]).otherwise(F.least(state["best"], e["at"] - other)).alias("best"))
+
+    return F.aggregate(merged, start, step)["best"]
 
 
 def match_proximity(
-    df: DataFrame, text: str, word_a: str, word_b: str, slop: int = 20
+    df: DataFrame, text: str, term_a: str, term_b: str, slop: int = 20, mode: str = FRENCH
 ) -> DataFrame:
-    """Both words with at most ``slop`` words in between, in either order."""
-    a, b = single_word(word_a), single_word(word_b)
-    marked = bind(df, "_tokens", tx.tokenize(F.col(text)))
-    both = F.array_contains("_tokens", a) & F.array_contains("_tokens", b)
-    near = _near(F.col("_tokens"), positions(F.col("_tokens"), F.lit(a)), F.lit(b), slop)
-    return marked.where(both).where(near).drop("_tokens")
+    """Both terms, of one or several words, with at most ``slop`` words in between, in either
+    order. Adds nothing to the rows."""
+    return proximity(df, text, term_a, term_b, mode).where(F.col("least_gap") <= slop).drop("least_gap")
+
+
+def proximity(df: DataFrame, text: str, term_a: str, term_b: str, mode: str = FRENCH) -> DataFrame:
+    """The rows that have both terms apart from each other, with ``least_gap``: the fewest words
+    between them."""
+    a, b = term(term_a, mode), term(term_b, mode)
+    likely = df.where(may_match(F.col(text), term_a, mode) & may_match(F.col(text), term_b, mode))
+    marked = bind(likely, "_tokens", tokens_of(F.col(text), mode))
+    for name, wanted in (("_a", a), ("_b", b)):
+        marked = bind(marked, name, positions(F.col("_tokens"), wanted)).where(F.size(name) > 0)
+    gap = least_gap(F.col("_a"), a.length, F.col("_b"), b.length)
+    return bind(marked, "least_gap", gap).where("least_gap IS NOT NULL").drop("_tokens", "_a", "_b")
 
 
 def similar_words_paragraphs(
-    df: DataFrame, words: DataFrame, key: str, text: str, main: str, slop: int = 20
+    df: DataFrame, words: DataFrame, key: str, text: str, main: str, slop: int = 20, mode: str = FRENCH
 ) -> DataFrame:
     """Per similar word (``word``, ``score``): how many paragraphs have it near ``main``.
 
@@ -100,7 +201,7 @@ def similar_words_paragraphs(
     table by equality, so no pair of paragraph and word is built that does not match.
     Words without a paragraph keep a zero row.
     """
-    pairs = near_word_pairs(df, words, key, text, main, slop)
+    pairs = near_word_pairs(df, words, key, text, main, slop, mode)
     counted = pairs.groupBy("word").agg(F.count("*").alias("paragraphs"))
     return words.select("word", "score").join(counted, "word", "left").select(
         "word", "score", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs")
@@ -108,22 +209,30 @@ def similar_words_paragraphs(
 
 
 def near_word_pairs(
-    df: DataFrame, words: DataFrame, key: str, text: str, main: str, slop: int = 20
+    df: DataFrame, words: DataFrame, key: str, text: str, main: str, slop: int = 20, mode: str = FRENCH
 ) -> DataFrame:
-    """(word, key) rows: the paragraphs behind ``similar_words_paragraphs``."""
-    main_word = single_word(main)
-    marked = bind(df.select(key, text), "_tokens", tx.tokenize(F.col(text))).where(
-        F.array_contains("_tokens", main_word)
-    )
+    """(word, key) rows: the paragraphs behind ``similar_words_paragraphs``. ``main`` is a term
+    of one or several words; the words of the table are compared by stem in French mode."""
+    wanted = term(main, mode)
+    likely = df.select(key, text).where(may_match(F.col(text), main, mode))
+    marked = bind(likely, "_tokens", tokens_of(F.col(text), mode))
+    marked = bind(marked, "_spots", positions(F.col("_tokens"), wanted)).where(F.size("_spots") > 0)
 
     def around(p: Column) -> Column:
-        start = F.greatest(p - (slop + 1), F.lit(1))
-        return F.concat(
-            F.slice("_tokens", start, p - start), F.slice("_tokens", p + 1, F.lit(slop + 1))
-        )
-
-    spots = positions(F.col("_tokens"), F.lit(main_word))
-    near = F.array_distinct(F.flatten(F.transform(spots, around)))
-    return marked.select(key, F.explode(near).alias("word")).join(
-        words.select("word").distinct(), "word"
-    )
+        begin = F.greatest(p - (slop + 1), F.lit(1))
+        return F.concat(F.slice("_tokens", begin, p - begin), F.slice("_tokens", p + wanted.length, F.lit(slop + 1)))
+
+    near = F.array_distinct(F.flatten(F.transform("_spots", around)))
+    stemmed = (lambda c: french.stem(F.lower(c))) if mode == FRENCH else (lambda c: c)
+    found = marked.select(key, F.explode(near).alias("_token")).select(key, stemmed(F.col("_token")).alias("_term")).distinct()
+    listed = words.select("word").distinct().select("word", stemmed(F.col("word")).alias("_term"))
+    return found.join(listed, "_term").select("word", key)
+
+
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, n): French terms of each text. Words are counted first; every distinct word
+    of the table is then stemmed once, and its stem joined back."""
+    counted = df.select(key, F.explode(french.french_words(F.col(text))).alias("_word")).groupBy(key, "_word").agg(
+        F.count("*").alias("_n"))
+    stems = counted.select("_word").distinct().select("_word", french.stem(F.col("_word")).alias("term"))
+    return counted.join(stems, "_word").groupBy(key, "term").agg(F.sum("_n").alias("n"))

@@ -44,25 +44,25 @@ def worst_by_group(
     return joins.lookup_field(worst, texts, key, text, table_key=text_key)
 
 
+def theme_hits(df: DataFrame, themes: tuple[str, ...], text: str, mode: str = search.FRENCH) -> DataFrame:
+    """One row per text and theme that it has a word of, without the text. One pass over the
+    texts for all themes."""
+    marked = search.bind(df, "_tokens", search.tokens_of(F.col(text), mode))
+    hits = F.array_compact(F.array(*[F.when(search.any_word(F.col("_tokens"), t, mode), F.lit(t)) for t in themes]))
+    return marked.withColumn("theme", F.explode(hits)).drop("_tokens", text)
+
+
+def newest_by_theme(hits: DataFrame, newest_first: list[Column], columns: list[str], size: int = 10) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("theme").orderBy(*newest_first))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= size).select("theme", "rank", *columns)
+
+
 def search_theme(
     df: DataFrame, themes: tuple[str, ...], text: str, newest_first: list[Column],
-    columns: list[str], size: int = 10,
+    columns: list[str], size: int = 10, mode: str = search.FRENCH,
 ) -> DataFrame:
-    """Per theme, the newest matching rows. One pass over the texts for all themes."""
-    tokens = tx.tokenize(F.col(text))
-    words = {t: search.query_words(t) for t in themes}
-    hits = F.filter(
-        F.array(*[
-            F.when(F.arrays_overlap("_tokens", F.array(*[F.lit(w) for w in words[t]])), F.lit(t))
-            for t in themes if words[t]
-        ]),
-        lambda x: x.isNotNull(),
-    )
-    matched = search.bind(df, "_tokens", tokens).withColumn("theme", F.explode(hits))
-    rank = F.row_number().over(Window.partitionBy("theme").orderBy(*newest_first))
-    return matched.withColumn("rank", rank).where(F.col("rank") <= size).select(
-        "theme", "rank", *columns
-    )
+    """Per theme, the newest matching rows. The text itself is not among the ``columns``."""
+    return newest_by_theme(theme_hits(df, themes, text, mode), newest_first, columns, size)
 
 
 def first_missing(left: DataFrame, right: DataFrame, column: str, n: int = 20) -> DataFrame:

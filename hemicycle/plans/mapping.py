@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hemicycle.functions import french
 from hemicycle.plans.registry import Tables
 from hemicycle.schemas import CLASSES
 from hemicycle.sources import storage
@@ -32,6 +33,42 @@ def sql_words(column: str) -> str:
     return rf"len(list_filter(regexp_split_to_array({column}, '\s+'), lambda x: x <> ''))"
 
 
+def sql_french_tokens(column: str = "text") -> str:
+    """Lower-case words in order after elision, stop words included."""
+    elided = "|".join(french.ELIDED)
+    return (
+        rf"list_filter(list_transform(regexp_split_to_array(lower(coalesce({column}, '')), '[^\p{{L}}\p{{N}}''’]+'), "
+        rf"lambda w: regexp_replace(regexp_replace(w, '^(?:{elided})[''’](.)', '\1'), '[''’]', '', 'g')), lambda w: w <> '')"
+    )
+
+
+def sql_stems(vocabulary: str) -> str:
+    """CTEs from a table (word) to ``stems`` (word, stem): the stemmer's steps, one by one."""
+    out, last = [], f"(SELECT DISTINCT word, word AS w, FALSE AS done FROM {vocabulary})"
+    for n, (final, rules) in enumerate(french.STEPS):
+        def fits(ending: str, length: int) -> str:
+            return f"length(w) > {length} AND suffix(w, '{ending}')"
+
+        cases = " ".join(
+            f"WHEN {fits(e, k)} THEN left(w, length(w) - {len(e)}) || '{r}'" for e, k, r in rules)
+        ends = " OR ".join(f"({fits(e, k)})" for e, k, _ in rules) if final else "FALSE"
+        out.append(f"step{n} AS (SELECT word, CASE WHEN done THEN w {cases} ELSE w END AS w, done OR {ends} AS done FROM {last})")
+        last = f"step{n}"
+    single = (
+        r"array_to_string(list_filter(string_split(w, ''), lambda c, i: i = 1 OR c <> string_split(w, '')[i - 1] "
+        r"OR NOT regexp_matches(c, '\p{L}')), '')")
+    out.append(f"folded AS (SELECT word, CASE WHEN length(w) > {french.SHORT} THEN translate(w, '{french.ACCENTS[0]}', "
+               f"'{french.ACCENTS[1]}') ELSE w END AS w, length(w) > {french.SHORT} AS long FROM {last})")
+    out.append(f"single AS (SELECT word, CASE WHEN long THEN {single} ELSE w END AS w FROM folded)")
+    out.append(f"shorn AS (SELECT word, CASE WHEN length(w) > {french.SHORT} AND suffix(w, 'ie') THEN left(w, length(w) - 2) "
+               "ELSE w END AS w FROM single)")
+    out.append(f"trimmed AS (SELECT word, length(w) > {french.SHORT} AS long, CASE WHEN length(w) > {french.SHORT} "
+               "THEN regexp_replace(w, 'e{0,2}r?$', '') ELSE w END AS w FROM shorn)")
+    out.append("stems AS (SELECT word, CASE WHEN long AND length(w) > 1 AND w[-1] = w[-2] "
+               r"AND regexp_matches(w[-1], '\p{L}') THEN left(w, length(w) - 1) ELSE w END AS stem FROM trimmed)")
+    return ",\n    ".join(out)
+
+
 # documents as interventions
 
 

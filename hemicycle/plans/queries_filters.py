@@ -139,11 +139,11 @@ query("project_defaults", """
 
 query("match_word", f"""
     SELECT doc_id FROM documents WHERE list_contains({m.sql_tokens()}, '{m.MAIN_WORD}')
-""")(lambda t: search.match_word(t.texts, "text", m.MAIN_WORD).select("doc_id"))
+""")(lambda t: search.match_word(t.texts, "text", m.MAIN_WORD, "token").select("doc_id"))
 
 query("match_word_any", f"""
     SELECT doc_id FROM documents WHERE list_has_any({m.sql_tokens()}, ['von', 'que'])
-""")(lambda t: search.match_word(t.texts, "text", "von, QUE").select("doc_id"))
+""")(lambda t: search.match_word(t.texts, "text", "von, QUE", "token").select("doc_id"))
 
 _PROXIMITY = f"""
     words AS (
@@ -157,13 +157,13 @@ _PROXIMITY = f"""
 query("match_proximity", f"""
     WITH {_PROXIMITY} SELECT doc_id FROM near WHERE w = '{m.NEAR_WORD}'
 """)(lambda t: search.match_proximity(
-    t.texts.select("doc_id", "text"), "text", m.MAIN_WORD, m.NEAR_WORD, 5
+    t.texts.select("doc_id", "text"), "text", m.MAIN_WORD, m.NEAR_WORD, 5, "token"
 ).select("doc_id"))
 
 query("filter_topic", f"""
     SELECT lang, count(*) AS n FROM documents
     WHERE list_contains({m.sql_tokens()}, 'that') GROUP BY lang
-""")(lambda t: search.filter_topic(t.texts, "text", "that").groupBy("lang").agg(
+""")(lambda t: search.filter_topic(t.texts, "text", "that", "token").groupBy("lang").agg(
     F.count("*").alias("n")
 ))
 
@@ -182,9 +182,45 @@ query("similar_words_paragraphs", f"""
     SELECT s.word, CAST(s.score AS DOUBLE) AS score, count(n.doc_id) AS paragraphs
     FROM similar_words s LEFT JOIN near n ON n.w = s.word GROUP BY s.word, s.score
 """)(lambda t: search.similar_words_paragraphs(
-    t.texts, _similar(t), "doc_id", "text", m.MAIN_WORD, 5
+    t.texts, _similar(t), "doc_id", "text", m.MAIN_WORD, 5, "token"
 ))
 
+# French analysis: words after elision, compared by stem
+_STEMMED = f"""
+    french_words AS (
+        SELECT doc_id, unnest(tk) AS word, generate_subscripts(tk, 1) AS pos
+        FROM (SELECT doc_id, {m.sql_french_tokens()} AS tk FROM documents)),
+    {m.sql_stems("french_words")},
+    placed AS (SELECT doc_id, pos, stem FROM french_words JOIN stems USING (word))"""
+
+query("match_word_french", f"""
+    WITH {_STEMMED} SELECT DISTINCT doc_id FROM placed WHERE stem IN ('that', 'anement')
+""")(lambda t: search.match_word(t.texts, "text", "L’Thates, anementes de").select("doc_id"))
+
+# a phrase and a phrase, the second with a stop word's place left open ("et" between the words)
+_PHRASES = f"""{_STEMMED},
+    a AS (SELECT x.doc_id, x.pos AS s, x.pos + 1 AS e FROM placed x JOIN placed y
+          ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 AND x.stem = 'in' AND y.stem = 'the'),
+    b AS (SELECT x.doc_id, x.pos AS s, x.pos + 2 AS e FROM placed x JOIN placed y
+          ON x.doc_id = y.doc_id AND y.pos = x.pos + 2 AND x.stem = 'of' AND y.stem = 'and'),
+    gaps AS (SELECT a.doc_id, greatest(b.s - a.e, a.s - b.e) - 1 AS gap FROM a JOIN b
+             ON a.doc_id = b.doc_id AND (b.s > a.e OR a.s > b.e))"""
+query("match_proximity_phrases", f"""
+    WITH {_PHRASES} SELECT doc_id, min(gap)::INTEGER AS least_gap FROM gaps GROUP BY doc_id HAVING min(gap) <= 20
+""")(lambda t: search.proximity(t.texts.select("doc_id", "text"), "text", "in thes", "of et and").where("least_gap <= 20").select(
+    "doc_id", "least_gap"))
+
+query("near_word_pairs", f"""
+    WITH {_STEMMED}, similar_words(word, stem) AS (
+        VALUES ('tiones', 'tion'), ('Thates', 'that'), ('erer', 'erer'), ('absent', 'absent')),
+    a AS (SELECT x.doc_id, x.pos AS s, x.pos + 1 AS e FROM placed x JOIN placed y
+          ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 AND x.stem = 'in' AND y.stem = 'the')
+    SELECT DISTINCT w.word, p.doc_id FROM a JOIN placed p ON a.doc_id = p.doc_id
+        AND (p.pos BETWEEN a.s - 6 AND a.s - 1 OR p.pos BETWEEN a.e + 1 AND a.e + 6) JOIN similar_words w ON w.stem = p.stem
+""")(lambda t: search.near_word_pairs(
+    t.texts, t.spark.createDataFrame([("tiones",), ("Thates",), ("erer",), ("absent",)], "word string"),
+    "doc_id", "text", "in thes", 5))
+
 
 # joins
 
@@ -311,9 +347,11 @@ query("search_theme", f"""
                CAST(row_number() OVER (PARTITION BY theme ORDER BY date_seance DESC, para_id) AS INTEGER) AS "rank"
         FROM hits WHERE list_contains(tk, theme))
     SELECT * FROM ranked WHERE "rank" <= 10
-""")(lambda t: topk.search_theme(
-    m.interventions(t), m.THEMES, "texte", [F.desc("date_seance"), F.asc("para_id")],
-    ["para_id", "date_seance", "orateur_nom", "section_id"],
+""")(lambda t: topk.newest_by_theme(
+    # hits are found before the dates are joined: no text travels
+    m.dated(t, topk.theme_hits(t.texts, m.THEMES, "text", mode="token").select(
+        F.col("doc_id").alias("para_id"), F.col("source").alias("orateur_nom"), F.col("lang").alias("section_id"), "theme")),
+    [F.desc("date_seance"), F.asc("para_id")], ["para_id", "date_seance", "orateur_nom", "section_id"],
 ))
 
 query("top_speakers", """

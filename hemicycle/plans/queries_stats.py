@@ -12,7 +12,7 @@ from hemicycle.functions import text as tx
 from hemicycle.operators import aggregates as ag
 from hemicycle.operators import filters as fo
 from hemicycle.operators import joins as jo
-from hemicycle.operators import ordering
+from hemicycle.operators import ordering, search
 from hemicycle.plans import mapping as m
 from hemicycle.plans.registry import Tables, query, r6, rounded
 from hemicycle.schemas import CLASSES
@@ -428,6 +428,9 @@ query("french_words", rf"""
     "doc_id", F.explode(french.french_words(F.col("text"))).alias("word")
 ).groupBy("doc_id", "word").agg(F.count("*").alias("n")))
 
-query("french_terms")(lambda t: t.texts.select(
-    "doc_id", F.explode(french.french_terms(F.col("text"))).alias("term")
-).groupBy("doc_id", "term").agg(F.count("*").alias("n")))
+query("french_terms", rf"""
+    WITH words AS (SELECT doc_id, word, count(*) AS n FROM (
+        SELECT doc_id, unnest({m.sql_french_tokens()}) AS word FROM documents) WHERE word NOT IN ({_STOP}) GROUP BY 1, 2),
+    {m.sql_stems("words")}
+    SELECT doc_id, stem AS term, CAST(sum(n) AS BIGINT) AS n FROM words JOIN stems USING (word) GROUP BY 1, 2
+""")(lambda t: search.term_counts(t.texts, "doc_id", "text"))

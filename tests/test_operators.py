@@ -100,22 +100,25 @@ def test_proximity_equals_brute_force(spark, slop):
     rng = random.Random(slop)
     rows = [(i, " ".join(rng.choice(["m", "n", *"abcdefgh"]) for _ in range(rng.randrange(30)))) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, t string")
-    got = {r.id for r in search.match_proximity(df, "t", "m", "n", slop).collect()}
+    got = {r.id for r in search.match_proximity(df, "t", "m", "n", slop, "token").collect()}
     assert got == {i for i, t in rows if brute_near(t, "m", "n", slop)}
     words = spark.createDataFrame([("n", 0.9), ("a", 0.8), ("zzz", 0.1)], "word string, score double")
-    counts = {r.word: r.paragraphs for r in search.similar_words_paragraphs(df, words, "id", "t", "m", slop).collect()}
+    counts = {r.word: r.paragraphs for r in search.similar_words_paragraphs(df, words, "id", "t", "m", slop, "token").collect()}
     assert counts == {w: sum(brute_near(t, "m", w, slop) for _, t in rows) for w in ("n", "a", "zzz")}
 
 
 def test_match_word_modes(spark):
     df = spark.createDataFrame([(1, "L’immigration, les Migrants."), (2, "rien"), (3, None)], "id int, t string")
     ids = lambda d: sorted(r.id for r in d.collect())
-    assert ids(search.match_word(df, "t", "migrants")) == [1]
-    assert ids(search.match_word(df, "t", "migrant")) == []
-    assert ids(search.match_word(df, "t", "migrant", "french")) == [1]
-    assert ids(search.match_word(df, "t", "immigration", "french")) == [1]
+    assert ids(search.match_word(df, "t", "migrants", "token")) == [1]
+    assert ids(search.match_word(df, "t", "migrant", "token")) == []
+    assert ids(search.match_word(df, "t", "immigration", "token")) == []
+    assert ids(search.match_word(df, "t", "rien migrants", "token")) == [1, 2]
+    # French analysis is the default
+    assert ids(search.match_word(df, "t", "migrant")) == [1]
+    assert ids(search.match_word(df, "t", "immigration")) == [1]
+    assert ids(search.match_word(df, "t", "les")) == []
     assert ids(search.match_word(df, "t", None)) == [1, 2, 3]
-    assert ids(search.match_word(df, "t", "rien migrants")) == [1, 2]
 
 
 def test_vectors_against_numpy(spark):
