@@ -5,6 +5,10 @@ chunks along the order column, windows run inside a chunk, and only one summary
 per (key, chunk) travels to the window over the whole key. A key that holds a third
 of the table is so spread over as many tasks as it has chunks.
 
+Rows and summaries come from one scan and one shuffle of the rows: the summary is made of the
+same shuffled rows, all their columns included, so that Spark finds both branches alike and
+reads the exchange a second time instead of the input.
+
 ``chunk`` is any column that never decreases along the order (the hour of a
 timestamp, ``ordinal div n``); it has to be an expression of the row alone, so that
 both uses of it agree even if a task is run again.
@@ -28,6 +32,13 @@ def _block(keys: list[str], chunk: Column) -> Column:
     return F.struct(F.struct(*keys).alias("k"), chunk.alias("c"))
 
 
+def _summary(local: DataFrame, columns: list[str], *parts: Column) -> DataFrame:
+    """One row per block. A checksum of all columns keeps them in this branch; without it Spark
+    would leave out what the summary does not need, and could not reuse the rows' exchange."""
+    whole = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("_whole")
+    return local.groupBy(_BLOCK).agg(*parts, whole).where("_whole IS NOT NULL").drop("_whole")
+
+
 def _carry(blocks: DataFrame, value: Column) -> DataFrame:
     """Per block, ``value`` over the earlier blocks of the same key; blocks without one left out."""
     return blocks.select(_BLOCK, value.alias("_carry")).where(F.col("_carry").isNotNull())
@@ -45,7 +56,7 @@ def lag_in_key(
         "_first", F.row_number().over(inside) == 1
     )
     # last row of each block, handed to the next block of the same key
-    ends = base.groupBy(_BLOCK).agg(F.max_by(row, F.struct(*order)).alias("_end"))
+    ends = _summary(lagged, [*df.columns, "_prev", "_first"], F.max_by(row, F.struct(*order)).alias("_end"))
     along = Window.partitionBy(f"{_BLOCK}.k").orderBy(f"{_BLOCK}.c")
     joined = lagged.join(_carry(ends, F.lag("_end").over(along)), _BLOCK, "left")
     previous = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
@@ -57,11 +68,11 @@ def lag_in_key(
 
 
 def _runs(
-    df: DataFrame, keys: list[str], order: list[str], run_key: str, chunk: Column
+    df: DataFrame, keys: list[str], order: list[str], run_key: str, chunk: Column, columns: list[str]
 ) -> DataFrame:
-    """``df`` with ``_block`` and ``run_start``. Rows are shuffled once, by block; the rest
-    works on one summary row per block."""
-    kept = df.where(F.col(run_key).isNotNull()).withColumn(_BLOCK, _block(keys, chunk))
+    """``columns`` of ``df`` with ``_block`` and ``run_start``. Rows are shuffled once, by block;
+    the rest works on one summary row per block."""
+    kept = df.where(F.col(run_key).isNotNull()).select(*[F.col(f"`{c}`") for c in columns], _block(keys, chunk).alias(_BLOCK))
     at, key = F.struct(*order), F.col(run_key)
     inside = Window.partitionBy(_BLOCK).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -70,7 +81,8 @@ def _runs(
         "_mark", F.when(F.lag(key).over(inside) != key, at)
     ).withColumn("_here", F.last("_mark", ignorenulls=True).over(upto))
 
-    summary = local.groupBy(_BLOCK).agg(
+    summary = _summary(
+        local, columns,
         F.min_by(key, at).alias("_first"), F.max_by(key, at).alias("_last"),
         F.min(at).alias("_at"), F.max("_mark").alias("_inner"),
     )
@@ -96,7 +108,7 @@ def para_runs(
     Rows without a run key are dropped first, so they do not break a run.
     Adds ``run_start`` (a struct of the order columns).
     """
-    return _runs(df, keys, order, run_key, chunk).select(*df.columns, "run_start")
+    return _runs(df, keys, order, run_key, chunk, df.columns).select(*df.columns, "run_start")
 
 
 def merge_same_para(
@@ -107,7 +119,7 @@ def merge_same_para(
 
     Texts are joined per block first, where the rows already are, then across blocks.
     """
-    runs = _runs(df, keys, order, run_key, chunk)
+    runs = _runs(df, keys, order, run_key, chunk, list(dict.fromkeys([*keys, *order, run_key, text, *firsts])))
     at = F.struct(*order)
     by_run = [*keys, run_key, "run_start"]
     parts = runs.groupBy(_BLOCK, *by_run).agg(

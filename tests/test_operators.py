@@ -70,6 +70,26 @@ def test_lag_across_chunks_equals_brute_force(spark, skewed, rows_per_chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("operator", ["runs", "merge", "lag"])
+def test_rows_are_scanned_and_shuffled_once(spark, operator):
+    """Block summaries come from the rows' own exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("unused", F.lit("x"))
+        hour = F.date_trunc("hour", F.col("ts"))
+        df = {
+            "runs": lambda: ordering.para_runs(events, ["user_id"], ["ts"], "event_type", hour),
+            "merge": lambda: ordering.merge_same_para(events, ["user_id"], ["ts"], "event_type", "props", hour, ["event_id"]),
+            "lag": lambda: ordering.lag_in_key(events, ["user_id"], ["ts"], ["event_type"], hour),
+        }[operator]()
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = text[: text.index("Initial Plan")]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+
+
 def test_rank_filter_runs_before_the_shuffle(spark, skewed):
     df = spark.createDataFrame(skewed, "key string, at long, kind string, text string")
     text = plan(jo.latest_per_key(df, ["key"], [F.desc("at")]))
