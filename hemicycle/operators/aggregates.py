@@ -45,13 +45,20 @@ def stats_by_year(
     )
 
 
+def counted_words(df: DataFrame, text: str, whitespace: bool = False) -> DataFrame:
+    """The rows with ``words`` in place of the text; single-space rule unless ``whitespace``."""
+    words = tx.word_count_ws(F.col(text)) if whitespace else tx.word_count_space(F.col(text))
+    return df.withColumn("words", words).drop(text)
+
+
 def word_count_by_date(
     df: DataFrame, text: str, date: str, day: str | None = None, whitespace: bool = False
 ) -> DataFrame:
-    """Words per sitting date (or of one date); single-space rule unless ``whitespace``."""
+    """Words per sitting date (or of one date). Where the date comes from a join, count with
+    :func:`counted_words` before it, so that no text travels."""
     rows = df if day is None else df.where(F.col(date) == F.lit(day).cast("date"))
-    words = tx.word_count_ws(F.col(text)) if whitespace else tx.word_count_space(F.col(text))
-    return rows.groupBy(date).agg(F.sum(words).alias("words"))
+    counted = rows if "words" in rows.columns else counted_words(rows, text, whitespace)
+    return counted.groupBy(date).agg(F.sum("words").alias("words"))
 
 
 def corpus_word_stats(df: DataFrame, text: str) -> DataFrame:
@@ -117,11 +124,12 @@ def avg_length(df: DataFrame, text: str) -> DataFrame:
 
 def histogram_length(df: DataFrame, text: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over min..max, the last one closed; empty bins are kept."""
-    counts = length_counts(df, text)
-    low = counts.agg(F.min("length").cast("double")).scalar()
-    high = counts.agg(F.max("length").cast("double")).scalar()
+    # the window has one row per distinct length, so the texts are scanned once
+    everything = Window.partitionBy()
+    counts = length_counts(df, text).withColumns({
+        "_lo": F.min("length").over(everything).cast("double"), "_hi": F.max("length").over(everything).cast("double")})
     # one distinct value only: a bin of width 1/bins around it, as plotting tools do
-    bounds = counts.withColumn("_lo", low).withColumn("_hi", high).select(
+    bounds = counts.select(
         "length", N,
         F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
@@ -214,21 +222,22 @@ def import_report(files: DataFrame) -> DataFrame:
     The per-file records stay rows of ``files``; a list of them in one cell would grow
     without bound.
     """
-    per_year = files.where(F.col("status") == "success").groupBy("year").agg(
-        F.sum("documents_count").alias("d")
+    done, n, d = F.col("status") == "success", F.col("n"), F.col("d")
+    # files are read once: a row per status and year is left
+    groups = files.groupBy("status", "year").agg(F.count("*").alias("n"), F.sum("documents_count").alias("d"))
+    years = F.collect_list(F.when(done & F.col("year").isNotNull(), F.struct(F.col("year").cast("string"), "d")))
+
+    def total(value: Column, when: Column | None = None) -> Column:
+        return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0))
+
+    return groups.agg(
+        total(n).alias("total_files"),
+        total(n, done).alias("success_files"),
+        total(n, F.col("status") == "failed").alias("failed_files"),
+        total(n, ~F.col("status").isin("success", "failed")).alias("skipped_files"),
+        total(d, done).alias("total_documents"),
+        F.map_from_entries(F.sort_array(years)).alias("documents_by_year"),
     )
-    by_year = per_year.where(F.col("year").isNotNull()).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string"), "d"))))
-    )
-    return files.agg(
-        F.count("*").alias("total_files"),
-        F.count_if(F.col("status") == "success").alias("success_files"),
-        F.count_if(F.col("status") == "failed").alias("failed_files"),
-        F.count_if(~F.col("status").isin("success", "failed")).alias("skipped_files"),
-        F.coalesce(
-            F.sum(F.when(F.col("status") == "success", F.col("documents_count"))), F.lit(0)
-        ).alias("total_documents"),
-    ).withColumn("documents_by_year", by_year.scalar())
 
 
 def table_status(df: DataFrame, year: str = "annee") -> DataFrame:

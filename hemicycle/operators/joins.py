@@ -40,20 +40,30 @@ FAMILIES = {
 }
 
 
+def _left_lookup(keys: DataFrame, mine: Column, one: DataFrame, key: str, field: str) -> DataFrame:
+    """Rows with ``field`` of the table row of their key. ``one`` has one row per key. Rows
+    without a key keep NULL and stay beside the join, where they would meet in one task."""
+    keyed = keys.where(mine.isNotNull()).withColumn(key, mine).join(one, key, "left").drop(key)
+    lone = keys.where(mine.isNull()).withColumn(field, F.lit(None).cast(one.schema[field].dataType))
+    return keyed.unionByName(lone)
+
+
 def lookup_field(
     keys: DataFrame, table: DataFrame, key: str, field: str, table_key: str | None = None,
     clean: bool = False,
 ) -> DataFrame:
     """Every key with the table's ``field``, NULL when unknown. Keys of different types
-    compare as strings."""
+    compare as strings. Of repeated table keys the least value that is not NULL counts. Only
+    table rows of keys that are asked for are grouped."""
     value, other = F.col(field), F.col(table_key or key)
     mine = F.col(key)
     if keys.schema[key].dataType != table.schema[table_key or key].dataType:
         mine, other = mine.cast("string"), other.cast("string")
-    right = table.select(
-        other.alias("_k"), (tx.clean_speaker(value) if clean else value).alias(field)
-    )
-    return keys.withColumn("_k", mine).join(right, "_k", "left").drop("_k")
+    asked = keys.select(mine.alias("_k")).where("_k IS NOT NULL")
+    found = table.select(other.alias("_k"), (tx.clean_speaker(value) if clean else value).alias(field)).join(
+        asked, "_k", "left_semi")
+    one = found.groupBy("_k").agg(F.min(field).alias(field))
+    return _left_lookup(keys, mine, one, "_k", field)
 
 
 def lookup_dates(
@@ -76,10 +86,11 @@ def join_party(
     df: DataFrame, deputies: DataFrame, speaker: str, name: Column, newest_first: list[Column],
     party: str = "groupe",
 ) -> DataFrame:
-    """Speaker -> party, from the newest deputy row of that full name."""
-    named = deputies.withColumn("_name", name)
+    """Speaker -> party, from the newest deputy row of that full name. Rows without a speaker
+    have no party and do not enter the join."""
+    named = deputies.withColumn("_name", name).where(F.col("_name").isNotNull())
     one = latest_per_key(named, ["_name"], newest_first).select("_name", party)
-    return df.join(one, df[speaker] == one["_name"], "left").drop("_name")
+    return _left_lookup(df, F.col(speaker), one, "_name", party)
 
 
 def map_literal(families: dict[str, list[str]]) -> Column:

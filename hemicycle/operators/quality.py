@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hemicycle.functions import text as tx
@@ -163,10 +164,14 @@ def _at_least(df: DataFrame, name: str, counted: Column, limit: float) -> DataFr
     return _check(one, name, F.col("v"), F.lit(limit), F.col("v") >= limit)
 
 
+def _lacking(df: DataFrame, required: tuple[str, ...]) -> Column:
+    """How many required fields are no column, or NULL in every row."""
+    lacking = [(F.count(F.col(c)) == 0).cast("int") if c in df.columns else F.lit(1) for c in required]
+    return reduce(lambda a, b: a + b, lacking, F.lit(0))
+
+
 def dq_required_fields(df: DataFrame, required: tuple[str, ...] = REQUIRED_FIELDS) -> DataFrame:
-    missing = [c for c in required if c not in df.columns]
-    one = df.sparkSession.range(1)
-    return _check(one, "required_fields", F.lit(len(missing)), F.lit(0), F.lit(not missing))
+    return _at_most(df, "required_fields", _lacking(df, required))
 
 
 def dq_core_fields(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -238,9 +243,11 @@ def dq_text_equal(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:
     return _at_most(joined, "text_equal", F.count_if(F.col("da") != F.col("db")))
 
 
+Score = Callable[[DataFrame, str], DataFrame]
+
+
 def dq_score_order(
-    pairs: DataFrame, score: Callable[[DataFrame, str], DataFrame], low: str = "low",
-    high: str = "high", least: float = 0.75,
+    pairs: DataFrame, score: Score, low: str = "low", high: str = "high", least: float = 0.75,
 ) -> DataFrame:
     """Share of (low, high) text pairs whose scores are in order. ``score(df, text)`` adds a
     ``score`` column; both texts of a pair stay in one row, so nothing is joined."""
@@ -249,5 +256,145 @@ def dq_score_order(
     return _at_least(scored, "score_order", share, least)
 
 
+def dq_score_references(
+    phrases: DataFrame, score: Score, label: str = "label", text: str = "text",
+    neutral: tuple[float, float] = (1.0, 3.0),
+) -> DataFrame:
+    """Reference phrases by class: the extreme classes' mean scores are in order, and that of the
+    neutral class lies in its range. One pass over the phrases."""
+    def mean(kind: str) -> Column:
+        return F.avg(F.when(F.col(label) == kind, F.col("score")))
+
+    means = score(phrases, text).agg(
+        mean("very_negative").alias("low"), mean("very_positive").alias("high"), mean("neutral").alias("mid"))
+    apart = F.col("high") - F.col("low")
+    return _check(means, "score_extremes", apart, F.lit(0), apart > 0).unionByName(
+        _check(means, "score_neutral", F.col("mid"), F.lit(neutral[1]), F.col("mid").between(*neutral)))
+
+
+def dq_score_sums(df: DataFrame, classes: tuple[str, ...], tolerance: float = 1e-5) -> DataFrame:
+    """The largest distance of a row's class probabilities from a sum of one."""
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in classes])
+    return _at_most(df, "score_sums", F.max(F.abs(total - 1)), tolerance)
+
+
 def quality_report(*checks: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), checks)
+
+
+# many checks at once
+
+
+@dataclass(frozen=True)
+class Checked:
+    """Columns of a table that the checks look at."""
+
+    key: str
+    text: str
+    date_text: str
+    speaker: str
+    metadata: str
+    core: tuple[str, ...]
+    required: tuple[str, ...]
+
+
+def _counted(df: DataFrame, c: Checked) -> dict[str, Column]:
+    """What one row adds to each sum that the checks over rows need."""
+    absent = reduce(lambda a, b: a | b, [F.col(x).isNull() for x in c.core])
+    bad_date = F.col(c.date_text).isNotNull() & F.try_to_date(F.col(c.date_text), "yyyy-MM-dd").isNull()
+    length = tx.text_length(F.col(c.text))
+    flags = {
+        "core_fields": absent, "no_empty_text": tx.is_blank(F.col(c.text)), "dates_valid": bad_date,
+        "names_nonempty": F.col(c.speaker) == "", "short_texts": length < 10, "with_text": F.col(c.text).isNotNull(),
+        **{f"has_{x}": F.col(x).isNotNull() for x in c.required if x in df.columns},
+    }
+    ones = {n: F.when(flag, 1).otherwise(0).cast("long") for n, flag in flags.items()}
+    return {"rows": F.lit(1).cast("long"), "characters": F.coalesce(length, F.lit(0)).cast("long"), **ones}
+
+
+def _row_checks(names: list[str], c: Checked) -> list[tuple[str, Column, Column, Column]]:
+    """(name, value, threshold, passed) of the checks over rows, from the columns of their sums."""
+    lacking = [(F.col(f"has_{x}") == 0).cast("int") if f"has_{x}" in names else F.lit(1) for x in c.required]
+    lacking = reduce(lambda a, b: a + b, lacking, F.lit(0))
+    few, mean = F.floor(F.lit(0.05) * F.col("rows")), F.try_divide(F.col("characters"), F.col("with_text"))
+    none = [("required_fields", lacking), *[(n, F.col(n)) for n in (
+        "core_fields", "no_empty_text", "dates_valid", "names_nonempty")]]
+    return [
+        *[(n, v, F.lit(0), v <= 0) for n, v in none],
+        ("short_texts", F.col("short_texts"), few, F.col("short_texts") <= few),
+        ("min_rows", F.col("rows"), F.lit(100), F.col("rows") >= 100),
+        ("min_speakers", F.col("speakers"), F.lit(10), F.col("speakers") >= 10),
+        ("avg_length", mean, F.lit(5000), mean.between(50, 5000)),
+    ]
+
+
+def _as_report(one: DataFrame, checks: list[tuple[str, Column, Column, Column]]) -> DataFrame:
+    return one.select(F.inline(F.array(*[F.struct(
+        F.lit(n).alias("check"), v.cast("double").alias("value"), t.cast("double").alias("threshold"),
+        F.coalesce(p, F.lit(False)).alias("passed")) for n, v, t, p in checks])))
+
+
+class Watch:
+    """The nine checks over rows, taken while the rows are written.
+
+    ``watch.over(df)`` is the last step before a write: its sums are then made in the tasks that
+    write, each of which counts once however often it is run. ``report()`` waits for the write;
+    no row is read again. Speakers are counted approximately.
+    """
+
+    def __init__(self, c: Checked):
+        self.checked, self.observation = c, Observation()
+
+    def over(self, df: DataFrame) -> DataFrame:
+        self.spark = df.sparkSession
+        sums = [F.sum(v).alias(n) for n, v in _counted(df, self.checked).items()]
+        speakers = F.approx_count_distinct(F.col(self.checked.speaker), 0.01).alias("speakers")
+        return df.observe(self.observation, *sums, speakers)
+
+    def report(self) -> DataFrame:
+        found = {n: v or 0 for n, v in self.observation.get.items()}
+        one = self.spark.createDataFrame([tuple(found.values())], ", ".join(f"`{n}` long" for n in found))
+        return _as_report(one, _row_checks(list(found), self.checked))
+
+
+def full_report(table: DataFrame, expected: DataFrame, c: Checked) -> DataFrame:
+    """All thirteen checks of a loaded table against what was extracted, reading each side once.
+
+    A row of either side becomes up to three short records (its key with a digest of its text,
+    its metadata value, its speaker); one shuffle groups them, and the groups are counted. What
+    the checks over rows need is added up on the way, with the key records.
+    """
+    sums = list(_counted(table, c))
+
+    def records(df: DataFrame, loaded: bool) -> DataFrame:
+        digest = F.sha2(tx.clean_text(F.col(c.text)), 256)
+        nothing, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+        counted = _counted(df, c) if loaded else {}
+        kinds = [("key", c.key, digest), ("metadata", c.metadata, nothing)]
+        kinds += [("speaker", c.speaker, nothing)] if loaded else []
+        return df.select(F.inline(F.array(*[F.struct(
+            F.lit(kind).alias("kind"), F.col(column).cast("string").alias("value"), text.alias("digest"),
+            F.lit(int(loaded)).alias("loaded"),
+            *[(counted[n] if kind == "key" and n in counted else zero).alias(n) for n in sums],
+        ) for kind, column, text in kinds])))
+
+    here, there = F.col("loaded") == 1, F.col("loaded") == 0
+    groups = records(table, True).unionByName(records(expected, False)).groupBy("kind", "value").agg(
+        F.count_if(here).alias("here"), F.count_if(there).alias("there"),
+        (F.min("digest") != F.max("digest")).alias("differs"),  # the key's texts are not all alike
+        *[F.sum(n).alias(n) for n in sums])
+    key, known = F.col("kind") == "key", F.col("value").isNotNull()
+    absent = known & (F.col("here") == 0)
+    one = groups.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums],
+        F.count_if((F.col("kind") == "speaker") & known).alias("speakers"),
+        F.coalesce(F.sum(F.when(key, F.col("there"))), F.lit(0)).alias("raw"),
+        F.count_if(key & absent).alias("ids"),
+        F.count_if((F.col("kind") == "metadata") & absent).alias("values"),
+        F.count_if(key & known & (F.col("here") > 0) & (F.col("there") > 0) & F.col("differs")).alias("texts"))
+    off = F.abs(F.col("raw") - F.col("rows"))
+    allowed = F.greatest(F.lit(1), F.floor(F.lit(0.05) * F.col("raw")))
+    return _as_report(one, [
+        *_row_checks(sums, c), ("count_tolerance", off, allowed, off <= allowed),
+        *[(n, F.col(v), F.lit(0), F.col(v) <= 0) for n, v in (("ids_exist", "ids"), ("metadata_exist", "values"), ("text_equal", "texts"))],
+    ])

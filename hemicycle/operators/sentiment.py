@@ -68,9 +68,9 @@ def score_sentiment(
     return bound.select(*df.columns, *[p.alias(c) for p, c in zip(probabilities, CLASSES)])
 
 
-def sentiment_index(df: DataFrame, text: str) -> DataFrame:
+def sentiment_index(df: DataFrame, text: str, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Add ``score``, the 0..4 index of the lexicon's probabilities."""
-    scored = score_sentiment(df, text)
+    scored = score_sentiment(df, text, lexicon)
     return scored.select(*df.columns, sc.sentiment_index_0_4().alias("score"))
 
 

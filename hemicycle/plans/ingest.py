@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 
 from hemicycle.functions import files as fl
 from hemicycle.operators import aggregates as ag
-from hemicycle.operators import filters
+from hemicycle.operators import filters, quality
+from hemicycle.schemas import REQUIRED_FIELDS
 from hemicycle.session import checkpointed
 from hemicycle.sources import archive_source, archives, files, table
 
 KEY = "para_id"
 ORDER = ["source_file", "ordinal"]
+CHECKED = quality.Checked(
+    key=KEY, text="texte", date_text="date_seance", speaker="orateur_nom", metadata="section_id",
+    core=("date_seance", "texte", KEY), required=REQUIRED_FIELDS)
 
 
 def interventions(archive_files: DataFrame | str, spark: SparkSession | None = None, keep_all: bool = False) -> DataFrame:
@@ -116,8 +120,15 @@ def ingest_incremental(
     """Load only new archives, insert-if-absent; returns one status row per file.
 
     Names are listed and met with the stored issues first; of a folder, only the archives that
-    are left are then opened, however many issues are stored.
+    are left are then opened, however many issues are stored. With a ``report_path``, the run,
+    its failed files and the checks of the rows it wrote are added there; the checks are made
+    by the job that writes.
     """
+    watch = quality.Watch(CHECKED) if report_path else None
+
+    def insert(rows: DataFrame) -> str:
+        return table.insert_if_absent(rows, path, KEY, ORDER, last=watch.over if watch else table.as_it_is)
+
     on_disk = isinstance(archive_files, str)
     spark = spark or (SparkSession.getActiveSession() if on_disk else archive_files.sparkSession)
     begin = time.time()
@@ -132,21 +143,22 @@ def ingest_incremental(
             new = table.Staged(marked.where("new").select("path", "length"), "files")
             with new:
                 runs = archive_source.read_transcripts(spark, files=new.path)
-                done = load_runs(runs, lambda rows: table.insert_if_absent(rows, path, KEY, ORDER), path)
+                done = load_runs(runs, insert, path)
         else:
             new = marked.where("new").select(F.col("path").alias("_new"))
             runs = archives.transcript_runs(archive_files.join(new, F.col("path") == F.col("_new"), "left_semi"))
-            done = load_runs(runs, lambda rows: table.insert_if_absent(rows, path, KEY, ORDER), path)
+            done = load_runs(runs, insert, path)
         skipped = marked.where("NOT new").select(
             F.col("path").alias("filename"), F.lit("skipped").alias("status"), F.lit(0).cast("long").alias("documents_count"),
             F.lit(0).cast("long").alias("documents_stored"), F.lit(0.0).alias("duration_seconds"),
             F.lit(None).cast("string").alias("error_message"), F.col("annee").alias("year"))
         results = checkpointed(done.unionByName(skipped))
     if report_path:
+        run_id = uuid.uuid4().hex
         files.append_run_report(
-            run_report(results, begin, time.time()), failed_files(results), report_path,
-            uuid.uuid4().hex,
+            run_report(results, begin, time.time()), failed_files(results), report_path, run_id,
         )
+        watch.report().withColumn("run_id", F.lit(run_id)).write.mode("append").json(f"{report_path}/checks")
     return results
 
 

@@ -8,6 +8,8 @@ from hemicycle.operators import quality as qo
 from hemicycle.operators import sentiment as se
 from hemicycle.plans import mapping as m
 from hemicycle.plans.registry import Tables, query, rounded
+from hemicycle.schemas import CLASSES
+from hemicycle.session import scratch_path
 
 query("duplicates_by_key", """
     SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1
@@ -101,10 +103,14 @@ def _half_dated(t: Tables):
 
 
 _CHECKS = {
+    # one of the seven fields is filled nowhere, one only for one language
     "dq_required_fields": (
-        """SELECT 'required_fields' AS "check", 6.0::DOUBLE AS value, 0.0::DOUBLE AS threshold, FALSE AS passed
-           FROM (SELECT count(*) FROM documents)""",
-        lambda t: qo.dq_required_fields(t.documents.withColumnRenamed("doc_id", "para_id")),
+        f"WITH {m.SQL_INTERVENTIONS}" + _sql_check(
+            "required_fields", "(count(date_seance) = 0)::INT + (count(texte) = 0)::INT + (count(section_id) = 0)::INT "
+            "+ (count(para_id) = 0)::INT + (count(NULL) = 0)::INT + (count(CASE WHEN section_id = 'fr' THEN 1 END) = 0)::INT "
+            "+ (count(orateur_nom) = 0)::INT", "0", "v <= 0", "interventions"),
+        lambda t: qo.dq_required_fields(m.interventions(t).withColumns({
+            "legislature": F.lit(None).cast("int"), "publication_numero": F.when(F.col("section_id") == "fr", 1)})),
     ),
     "dq_core_fields": (
         _sql_check("core_fields", "count(*) FILTER (WHERE d IS NULL OR doc_id IS NULL)", "0", "v <= 0", _DATED),
@@ -167,10 +173,58 @@ _CHECKS = {
 for _name, (_sql, _build) in _CHECKS.items():
     query(_name, _sql)(_build)
 
-_REPORTED = ("dq_no_empty_text", "dq_short_texts", "dq_min_rows", "dq_min_speakers", "dq_avg_length")
-query("quality_report", " UNION ALL ".join(_CHECKS[n][0] for n in _REPORTED))(
-    lambda t: qo.quality_report(*[_CHECKS[n][1](t) for n in _REPORTED])
-)
+# all thirteen checks of documents against the documents that have a label, in one pass
+_CHECKED = qo.Checked(key="doc_id", text="text", date_text="day", speaker="source", metadata="lang",
+                      core=("doc_id", "text", "day"), required=("doc_id", "text", "source", "lang", "day", "never", "nowhere"))
+
+
+def _loaded(t: Tables):
+    """A table with some odd dates and a field that is never filled; texts of one language differ."""
+    return t.documents.select(
+        "doc_id", "lang", F.when(F.col("doc_id") % 50 != 7, F.col("source")).otherwise("").alias("source"),
+        F.when(F.col("lang") == "fr", F.concat(F.col("text"), F.lit(" fin"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 40 == 3, "2024-02-31").otherwise("2024-02-01").alias("day"),
+        F.lit(None).cast("string").alias("never"),
+    ).where("doc_id % 30 <> 11")
+
+
+_LOADED = """
+    loaded AS (
+        SELECT doc_id, lang, CASE WHEN doc_id % 50 <> 7 THEN source ELSE '' END AS source,
+               CASE WHEN lang = 'fr' THEN text || ' fin' ELSE text END AS text,
+               CASE WHEN doc_id % 40 = 3 THEN '2024-02-31' ELSE '2024-02-01' END AS day
+        FROM documents WHERE doc_id % 30 <> 11)"""
+_ROW_CHECKS = [
+    ("required_fields", "2", "0", "v <= 0"),
+    ("core_fields", "count(*) FILTER (WHERE doc_id IS NULL OR text IS NULL OR day IS NULL)", "0", "v <= 0"),
+    ("no_empty_text", "count(*) FILTER (WHERE trim(text) = '' OR text IS NULL)", "0", "v <= 0"),
+    ("dates_valid", "count(*) FILTER (WHERE day IS NOT NULL AND try_cast(day AS DATE) IS NULL)", "0", "v <= 0"),
+    ("names_nonempty", "count(*) FILTER (WHERE source = '')", "0", "v <= 0"),
+    ("short_texts", "count(*) FILTER (WHERE length(text) < 10)", "floor(0.05 * n)", "v <= floor(0.05 * n)"),
+    ("min_rows", "count(*)", "100", "v >= 100"),
+    ("min_speakers", "count(DISTINCT source)", "10", "v >= 10"),
+    ("avg_length", "round(avg(length(text)), 6)", "5000", "v BETWEEN 50 AND 5000"),
+]
+_SQL_ROW_CHECKS = " UNION ALL ".join(_sql_check(n, v, t, p, "loaded") for n, v, t, p in _ROW_CHECKS)
+query("quality_report", f"""
+    WITH {_LOADED} {_SQL_ROW_CHECKS}
+    UNION ALL {_sql_check("count_tolerance", "abs(count(*) - (SELECT count(*) FROM loaded))", "greatest(1, floor(0.05 * n))",
+                          "v <= greatest(1, floor(0.05 * n))", "documents")}
+    UNION ALL {_sql_check("ids_exist", "count(*)", "0", "v <= 0", "(SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM loaded)")}
+    UNION ALL {_sql_check("metadata_exist", "count(*)", "0", "v <= 0", "(SELECT lang FROM documents EXCEPT SELECT lang FROM loaded)")}
+    UNION ALL {_sql_check("text_equal", f"count(*) FILTER (WHERE {m.sql_clean('a.text')} <> {m.sql_clean('b.text')})", "0", "v <= 0",
+                          "documents a JOIN loaded b USING (doc_id)")}
+""")(lambda t: rounded(qo.full_report(_loaded(t), t.documents, _CHECKED), "value"))
+
+
+def _watched(t: Tables):
+    """The checks over rows of a table that is written, taken from the write itself."""
+    watch = qo.Watch(_CHECKED)
+    watch.over(_loaded(t)).write.parquet(scratch_path(t.spark, "watched"))
+    return watch.report()
+
+
+query("quality_of_write", f"WITH {_LOADED} {_SQL_ROW_CHECKS}")(lambda t: rounded(_watched(t), "value"))
 
 
 def _pairs(t: Tables):
@@ -180,7 +234,43 @@ def _pairs(t: Tables):
     )
 
 
-query("dq_score_order", """
-    SELECT 'score_order' AS "check", 1.0::DOUBLE AS value, 0.75::DOUBLE AS threshold, TRUE AS passed
-    FROM (SELECT count(*) FROM documents)
-""")(lambda t: qo.dq_score_order(_pairs(t), se.sentiment_index))
+def _phrases(t: Tables):
+    """Documents as reference phrases: their language is the class."""
+    kind = {"fr": "very_positive", "de": "very_negative", "en": "positive"}
+    label = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in kind.items()], F.lit("neutral"))
+    return t.texts.select(label.alias("label"), "text")
+
+
+# class probabilities of a text, written out
+def _sql_index(text: str) -> str:
+    hits = {c: f"len(list_filter({m.sql_tokens(text)}, lambda x: x IN ({', '.join(repr(w) for w in words)})))"
+            for c, words in WORDS.items()}
+    scale = f"6.0::DOUBLE / sqrt(greatest(len({m.sql_tokens(text)}), 1)::DOUBLE)"
+    logit = {c: f"exp({hits[c]} * {scale})" if c in hits else "exp(1.0::DOUBLE)" for c in CLASSES}
+    return "round((" + " + ".join(f"{i} * {logit[c]}" for i, c in enumerate(CLASSES)) + ") / (" + " + ".join(logit.values()) + "), 9)"
+
+
+WORDS = {"very_negative": ("der", "die", "von"), "negative": ("und", "den"), "positive": ("the", "of", "and"),
+         "very_positive": ("la", "de", "que", "bravo", "remarquable")}
+
+
+def _index(df, text):
+    # rounded on both sides: sums of the same terms may differ in their last bits
+    return se.sentiment_index(df, text, WORDS).withColumn("score", F.round("score", 9))
+
+
+query("dq_score_order", f"""
+    WITH scored AS (SELECT {_sql_index("text")} AS low, {_sql_index("('Bravo, remarquable. ' || text)")} AS high FROM documents)
+    {_sql_check("score_order", "(count(*) FILTER (WHERE low < high))::DOUBLE / count(*)", "0.75", "v >= 0.75", "scored")}
+""")(lambda t: qo.dq_score_order(_pairs(t), _index))
+
+query("dq_score_rules", f"""
+    WITH scored AS (SELECT lang, {_sql_index("text")} AS score FROM documents),
+    means AS (SELECT avg(score) FILTER (WHERE lang = 'de') AS low, avg(score) FILTER (WHERE lang = 'fr') AS high,
+                     avg(score) FILTER (WHERE lang NOT IN ('de', 'fr', 'en')) AS mid FROM scored)
+    SELECT 'score_extremes' AS "check", round(high - low, 6) AS value, 0.0::DOUBLE AS threshold, high > low AS passed FROM means
+    UNION ALL SELECT 'score_neutral', round(mid, 6), 3.0, mid BETWEEN 1 AND 3 FROM means
+    UNION ALL SELECT 'score_sums', 0.0, 0.0, count(*) > 0 FROM scored
+""")(lambda t: rounded(qo.dq_score_references(_phrases(t), _index).unionByName(
+    qo.dq_score_sums(se.score_sentiment(t.texts.select("text"), "text", WORDS), CLASSES)), "value").withColumn(
+    "threshold", F.round("threshold", 4)))

@@ -56,7 +56,8 @@ query("stats_by_year_approx")(lambda t: ag.stats_by_year(
 query("word_count_by_date", f"""
     WITH {m.SQL_INTERVENTIONS}
     SELECT date_seance, CAST(sum(len(string_split(texte, ' '))) AS BIGINT) AS words FROM interventions GROUP BY 1
-""")(lambda t: ag.word_count_by_date(m.interventions(t), "texte", "date_seance"))
+""")(lambda t: ag.word_count_by_date(
+    m.dated(t, ag.counted_words(t.texts.select(F.col("doc_id").alias("para_id"), "text"), "text")), "text", "date_seance"))
 
 query("corpus_word_stats", f"""
     SELECT total_words, total_docs, docs_without_text,

@@ -38,6 +38,13 @@ KEPT_VERSIONS = 3
 MOST_FOLDERS = 16
 
 
+Step = Callable[[DataFrame], DataFrame]
+
+
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 class ConcurrentLoad(RuntimeError):
     """Another load made a new version in the meantime."""
 
@@ -131,7 +138,7 @@ def _labels(years: list[int | None], year: str) -> set[str]:
     return {f"{year}={'__HIVE_DEFAULT_PARTITION__' if y is None else y}" for y in years}
 
 
-def _write_load(df: DataFrame, path: str, year: str) -> tuple[str, list[str]]:
+def _write_load(df: DataFrame, path: str, year: str, last: Step) -> tuple[str, list[str]]:
     """Write rows into folders of a new load; its id, and the folders that got rows.
 
     Rows are dealt by year before the write (adaptively: a large year over several files, a
@@ -139,8 +146,8 @@ def _write_load(df: DataFrame, path: str, year: str) -> tuple[str, list[str]]:
     """
     load = uuid.uuid4().hex
     try:
-        df.withColumn(LOAD, F.lit(load)).hint("rebalance", F.col(year)).write.mode("append").partitionBy(
-            year, LOAD).parquet(f"{path}/data")
+        dealt = last(df.hint("rebalance", F.col(year))).withColumn(LOAD, F.lit(load))
+        dealt.write.mode("append").partitionBy(year, LOAD).parquet(f"{path}/data")
     except BaseException:
         _forget_load(path, load, year)
         raise
@@ -157,10 +164,10 @@ def _forget_load(path: str, load: str, year: str) -> None:
         storage.remove(f"{path}/data/{folder}")
 
 
-def _load_and_commit(df: DataFrame, path: str, year: str, base: int, kept: Callable[[list[str]], list[str]]) -> str:
-    load, fresh = _write_load(df, path, year)
+def _load_and_commit(df: DataFrame, path: str, year: str, base: int, kept: list[str], last: Step) -> str:
+    load, fresh = _write_load(df, path, year, last)
     try:
-        commit(path, base, [*kept(fresh), *fresh])
+        commit(path, base, [*kept, *fresh])
     except BaseException:
         _forget_load(path, load, year)
         raise
@@ -228,11 +235,12 @@ class Staged:
 
 def insert_if_absent(
     batch: DataFrame, path: str, key: str, order: list[str],
-    schema: T.StructType = INTERVENTIONS, year: str = YEAR,
+    schema: T.StructType = INTERVENTIONS, year: str = YEAR, last: Step = as_it_is,
 ) -> str:
     """Add the rows whose key is absent, as one load, and return its id. The batch is read once;
     existing files are not touched, but those of a year in over ``MOST_FOLDERS`` folders, which
-    are written anew beside the added rows."""
+    are written anew beside the added rows. ``last`` is applied to the rows as they are written
+    (to watch them, say)."""
     spark = batch.sparkSession
     base, folders = folders_of(path)
     rows = batch.select(*schema.fieldNames())
@@ -244,12 +252,12 @@ def insert_if_absent(
     added = absent_rows(target.select(key), rows, key, order)
     if crowded:
         added = added.unionByName(_read_folders(spark, path, crowded, schema))
-    return _load_and_commit(added, path, year, base, lambda fresh: [f for f in folders if f not in crowded])
+    return _load_and_commit(added, path, year, base, [f for f in folders if f not in crowded], last)
 
 
 def upsert_by_key(
     batch: DataFrame, path: str, key: str, order: list[str],
-    schema: T.StructType = INTERVENTIONS, year: str = YEAR, stage: bool = True,
+    schema: T.StructType = INTERVENTIONS, year: str = YEAR, stage: bool = True, last: Step = as_it_is,
 ) -> str | None:
     """Replace rows by key, as one load. Only the years with new or replaced rows are rewritten.
 
@@ -258,7 +266,7 @@ def upsert_by_key(
     rows = batch.select(*schema.fieldNames())
     if stage:
         with Staged(rows) as written:
-            return upsert_by_key(written, path, key, order, schema, year, stage=False)
+            return upsert_by_key(written, path, key, order, schema, year, False, last)
     spark = batch.sparkSession
     base, folders = folders_of(path)
     target = _read_folders(spark, path, folders, schema)
@@ -274,8 +282,7 @@ def upsert_by_key(
     labels = _labels(touched, year)
     old = _read_folders(spark, path, [f for f in folders if _year_of(f) in labels], schema)
     merged = merge_upsert(old, rows, key, order)
-    return _load_and_commit(
-        merged, path, year, base, lambda fresh: [f for f in folders if _year_of(f) not in labels])
+    return _load_and_commit(merged, path, year, base, [f for f in folders if _year_of(f) not in labels], last)
 
 
 def skip_existing(files: DataFrame, table: DataFrame, year: str = YEAR,

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import numpy as np
@@ -252,9 +253,77 @@ def test_statistics_of_nothing(spark):
 
 
 def test_required_fields(spark):
-    empty = spark.createDataFrame([], INTERVENTIONS)
-    assert qo.dq_required_fields(empty).first().passed
-    assert not qo.dq_required_fields(empty.drop("texte")).first().passed
+    blank = {f.name: None for f in INTERVENTIONS.fields}
+    filled = {**blank, "date_seance": datetime.date(2020, 1, 1), "texte": "t", "section_id": "s", "para_id": "p",
+              "legislature": 1, "publication_numero": 2, "orateur_nom": "o"}
+    rows = spark.createDataFrame([filled, blank], INTERVENTIONS)
+    assert qo.dq_required_fields(rows).first().passed
+    assert qo.dq_required_fields(rows.drop("texte")).first().value == 1
+    assert qo.dq_required_fields(rows.where("para_id IS NULL")).first().value == 7
+
+
+CHECKED = qo.Checked("id", "t", "d", "who", "part", ("id", "t"), ("id", "t", "gone"))
+
+
+def checked_rows(spark, n, extra=()):
+    rows = [(i, f"text {i} " * 9, "2020-01-01", f"s{i % 12}", f"p{i % 3}") for i in range(n)]
+    return spark.createDataFrame(rows + list(extra), "id int, t string, d string, who string, part string")
+
+
+def test_full_report_equals_the_single_checks(spark):
+    odd = [(None, None, "2020-02-31", "", None), (3, " ", None, None, "p0"), (500, "x", "bad", "s1", "p9")]
+    table = checked_rows(spark, 120, odd)
+    raw = checked_rows(spark, 130, [(500, "y", None, None, "p8"), (None, "z", None, None, None)])
+    got = {r.check: (round(r.value, 6), r.threshold, r.passed) for r in qo.full_report(table, raw, CHECKED).collect()}
+    single = qo.quality_report(
+        qo.dq_required_fields(table, CHECKED.required), qo.dq_core_fields(table, ["id", "t"]), qo.dq_no_empty_text(table, "t"),
+        qo.dq_dates_valid(table, "d"), qo.dq_names_nonempty(table, "who"), qo.dq_short_texts(table, "t"), qo.dq_min_rows(table),
+        qo.dq_min_speakers(table, "who"), qo.dq_avg_length(table, "t"), qo.dq_count_tolerance(raw, table),
+        qo.dq_ids_exist(raw, table, "id"), qo.dq_metadata_exist(raw, table, "part"))
+    want = {r.check: (round(r.value, 6), r.threshold, r.passed) for r in single.collect()}
+    assert {k: v for k, v in got.items() if k != "text_equal"} == want
+    assert len(got) == 13 and got["text_equal"][0] == 2  # ids 3 and 500
+
+
+def test_full_report_reads_each_side_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    checked_rows(spark, 50).write.parquet(path)
+    df = qo.full_report(spark.read.parquet(path), spark.read.parquet(path).where("id > 3"), CHECKED)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 2 and final.count("Exchange") <= 2
+
+
+def test_watched_writes_report_without_another_scan(spark, tmp_path):
+    watch = qo.Watch(CHECKED)
+    watch.over(checked_rows(spark, 120, [(7, None, "x", "", "p")])).write.parquet(str(tmp_path / "t"))
+    got = {r.check: (r.value, r.passed) for r in watch.report().collect()}
+    assert got["min_rows"] == (121, True) and got["core_fields"] == (1, False) and got["required_fields"] == (1, False)
+    assert got["dates_valid"] == (1, False) and got["min_speakers"][1] and len(got) == 9
+    empty = qo.Watch(CHECKED)
+    empty.over(checked_rows(spark, 0)).write.parquet(str(tmp_path / "e"))
+    assert not {r.check: r.passed for r in empty.report().collect()}["min_rows"]
+
+
+def test_lookups_give_one_row_per_key_and_keep_keyless_rows(spark):
+    keys = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"), (9, "f")], "k int, x string")
+    table = spark.createDataFrame([(1, "one"), (1, "uno"), (2, None), (2, "two"), (None, "never")], "k long, v string")
+    got = {r.x: r.v for r in jo.lookup_field(keys, table, "k", "v").collect()}
+    assert got == {"a": "one", "b": "one", "c": "two", "d": None, "e": None, "f": None}
+    deputies = spark.createDataFrame([("A B", "left", 1), ("A B", "right", 2), (None, "none", 3)], "n string, groupe string, y int")
+    rows = spark.createDataFrame([("A B", 1), ("X", 2), (None, 3)], "who string, i int")
+    party = jo.join_party(rows, deputies, "who", F.col("n"), [F.desc("y")])
+    assert {r.i: r.groupe for r in party.collect()} == {1: "right", 2: None, 3: None}
+    assert party.columns == ["who", "i", "groupe"]
+
+
+def test_score_rules(spark):
+    phrases = spark.createDataFrame([("very_negative", "non"), ("very_positive", "oui"), ("neutral", "?"), ("positive", "oui")], "label string, text string")
+    score = lambda df, text: df.withColumn("score", F.when(F.col(text) == "oui", 4.0).when(F.col(text) == "?", 2.0).otherwise(0.5))
+    got = {r.check: (r.value, r.passed) for r in qo.dq_score_references(phrases, score).collect()}
+    assert got == {"score_extremes": (3.5, True), "score_neutral": (2.0, True)}
+    bad = spark.createDataFrame([(0.5, 0.4), (0.5, 0.5)], "a double, b double")
+    assert not qo.dq_score_sums(bad, ("a", "b")).first().passed
 
 
 def test_search_words_match_text_tokens(spark):
