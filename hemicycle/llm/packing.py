@@ -12,7 +12,9 @@ are shared out over one task per ``PIECES_PER_TASK`` pieces, so that few bins st
 at the ends of tasks. A task's memory is its open bins.
 
 The tokenizer drops white space between words, so a text is the chain of its blank-separated
-chunks, and a task remembers the ids of chunks it has met. This is only a speed-up.
+chunks, and a worker remembers the ids of chunks it has met, in two generations of bounded
+size: what is used moves to the young one, and the old one is dropped when the young is full.
+This is only a speed-up.
 
 Defined cases: a null text is an empty one, and an empty text is the end id alone; each row
 is a document of its own, also if doc_id is null or repeated; an empty table gives no rows.
@@ -21,9 +23,10 @@ is a document of its own, also if doc_id is null or repeated; an empty table giv
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,10 @@ from hemicycle.llm.common import cut, wanted
 
 CAPACITY, END_ID = 2048, 0
 OPEN_BINS, PIECES_PER_TASK = 2048, 100_000
-#: Chunks that a worker remembers before it starts anew.
-CACHED_CHUNKS = 400_000
+#: Bytes of one generation of remembered chunks; a worker holds two.
+GENERATION_BYTES = 96 << 20
+#: Bytes of a remembered chunk beside its letters and ids: two objects and a place in a table.
+ENTRY_BYTES = 200
 #: Letters whose lower case and composed form are themselves or one letter away.
 PLAIN = re.compile(r"[a-zà-öø-ÿ]+")
 PLAIN_LETTERS = "".join(map(chr, (*range(0xE0, 0xF7), *range(0xF8, 0x100))))
@@ -48,17 +53,37 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Memory(dict):
+    """Chunk to ids. A chunk that is not there is looked up in the old generation, else encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.encode, self.most, self.held = encode, most, 0
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Ids of texts, as little-endian 32-bit bytes, with a memory of chunks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = GENERATION_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.to_letters = str.maketrans({c: "".join(letters[b] for b in c.encode()) for c in PLAIN_LETTERS})
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(self.chunk, most)
 
     def slow(self, chunk: str) -> bytes:
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -66,35 +91,24 @@ class ChunkEncoder:
 
     def word(self, word: str) -> bytes:
         """A lower-case word of plain letters: no normalising or splitting is needed."""
-        ids = self.known.get(word)
-        if ids is None:
-            tokens = self.model.tokenize(word.translate(self.to_letters))
-            ids = self.known[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        return ids
+        known = self.known.get(word) or self.known.old.get(word)
+        if known is not None:
+            return known
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.to_letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
         lower = chunk.lower()
-        if PLAIN.fullmatch(lower) and len(lower) == len(chunk):
-            return self.word(lower)
-        if lower[-1:] in (".", ",") and PLAIN.fullmatch(lower, 0, len(lower) - 1) and len(lower) == len(chunk):
-            sign = self.known.get(lower[-1])
-            if sign is None:
-                sign = self.known[lower[-1]] = self.slow(lower[-1])
-            return self.word(lower[:-1]) + sign
+        if len(lower) == len(chunk):
+            plain = str.isalpha if lower.isascii() else PLAIN.fullmatch
+            if plain(lower):
+                return self.word(lower)
+            if lower[-1:] in (".", ",") and plain(lower[:-1]):
+                return self.word(lower[:-1]) + self.known[lower[-1]]
         return self.slow(chunk)
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            for chunk in set(chunks):
-                if chunk not in known:
-                    known[chunk] = self.chunk(chunk)
-            return b"".join(map(known.__getitem__, chunks))
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> ChunkEncoder:
