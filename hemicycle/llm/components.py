@@ -1,6 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each step groups links by node, so its shuffles follow the number of links; a step's result
+Each step groups links by node, so its shuffles follow the number of links, but for hubs, whose
+many links stay where they are; a step's result
 is cut to the shared folder. The number of rounds grows with the logarithm of the longest
 path. Nothing but two counters per round reaches the driver.
 """
@@ -10,17 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemicycle.llm.common import cut
+from hemicycle.llm.common import cut, small_enough
+
+#: Links of a node beyond which its neighbours are told its minimum by broadcast. There is at
+#: most one such node for every HUB links.
+HUB = 1000
 
 
 def stars(links: DataFrame) -> DataFrame:
     """One large-star and one small-star step on (a, b) with a > b."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = (
-        both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .where("a > b").distinct()
-    )
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(
+        "a", F.least("a", "m").alias("m"), "n"))
+    # a hub's neighbours are not gathered: they get the hub's minimum where they are
+    hubs = small_enough(least.where(F.col("n") > HUB).select("a", F.col("m").alias("hub")))
+    upward = both.where("b > a").join(hubs, "a", "left")
+    told = upward.where("hub IS NULL").join(least.where(F.col("n") <= HUB), "a").select("a", "b", "m").unionByName(
+        upward.where("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m")))
+    large = told.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
     low = large.groupBy("a").agg(F.min("b").alias("m"))
     small = (
         large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

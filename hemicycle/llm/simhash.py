@@ -17,17 +17,14 @@ Fingerprints that meet by equality on (segment, position, other bits) are verifi
 * Links become classes in :mod:`components`; no links or fingerprints are collected.
 
 ``keep_one`` (used by the pipeline) links five-word-shingle sets of Jaccard similarity 0.8 or
-more. At 0.8 about 15 % of the bits differ, so it takes 256 bits in twelve segments of 21 or 22
-bits and looks up to 52 of them away. The shortest links that connect what meets are verified by
-the exact similarity of the two shingle sets, however close their fingerprints. Where one fails,
-all other pairs that it connected, between classes of what held, are verified as well: no
-candidate pair of different classes is left unverified. Of pairs at
-exactly 0.8 the expected share that shares a variant is 86 %, at 0.85 it is 95 %, at 0.9 99 %;
-a chain through other copies finds more. The variants of four neighbouring wildcards travel as one
-row (72 rows a fingerprint, not 256) and part where they meet. Groups of over ``CROWD`` rows are
-dealt in blocks of which every two meet in a task: its memory is bounded, the work of all tasks
-grows with the square of a group's different fingerprints, as do the pairs verified where a
-group of candidates does not hold together.
+more. At 0.8 about 15 % of the bits differ, so it takes 384 bits in eighteen segments of 21 or 22
+bits and looks up to 78 of them away. The shortest links that connect what meets make kins of
+candidates; within a kin every pair is compared by the exact similarity of the two shingle sets,
+block against block, with each set sent once for every block, and only links that join what was
+apart leave a task. The variants of four neighbouring wildcards travel as one
+row (108 rows a fingerprint, not 384) and part where they meet. Groups of over ``CROWD`` rows are
+dealt in blocks of which every two meet in a task: memory is bounded, the work of all tasks
+grows with the square of a group's, or a kin's, different fingerprints.
 
 Defined cases: A-Z are lower-cased; words are runs of anything but blank and 09-0D; fewer
 words than a shingle make one shingle of all of them; no words (null or empty text): the
@@ -42,6 +39,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +49,18 @@ from hemicycle.llm.line_dedup import ROW_HASH, ROW_ID, keyed
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 2, 2, 42
 BUCKET_ROWS = 64
-#: For the pipeline: five-word shingles, four words of 64 bits in three segments each.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_SEGMENTS, SIMILARITY = 5, 4, 3, 0.8
+#: For the pipeline: five-word shingles, six words of 64 bits in three segments each.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_SEGMENTS, SIMILARITY = 5, 6, 3, 0.8
 #: Bits that are looked across.
-STAGE_DISTANCE = 52
+STAGE_DISTANCE = 78
 #: Wildcard bits of a segment that travel as one row.
 STEP = 4
 #: Rows of a group that are compared in one task.
 CROWD = 2048
-CROWDED_SCHEMA = "a array<long>, b array<long>, part short, rest long, inside short, owner long"
-CROWDED_NAMES = ["a", "b", "part", "rest", "inside", "owner"]
+CROWDED_SCHEMA = "a array<long>, b array<long>, part short, rest long, inside short"
+CROWDED_NAMES = ["a", "b", "part", "rest", "inside"]
+#: Shingle sets of a block of candidates: bytes, and rows.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 4096
 #: Shingles that are counted, and links that are given, at a time.
 PIECE = 1 << 16
 
@@ -282,24 +282,13 @@ def first_bucket(a: np.ndarray, b: np.ndarray, segments: int) -> np.ndarray:
     return found
 
 
-def pairs_between(rows: np.ndarray, owner: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows within ``distance`` bits that have different owners."""
-    for i in range(len(rows) - 1):
-        bits = np.bitwise_count(rows[i + 1:] ^ rows[i]).sum(axis=1, dtype=np.int64)
-        other = np.flatnonzero((bits <= distance) & (owner[i + 1:] != owner[i])) + i + 1
-        if len(other):
-            yield np.broadcast_to(rows[i], (len(other), rows.shape[1])), rows[other]
-
-
-def group_links(words: int, segments: int, distance: int, step: int, keys: int = 2, most: int | None = None,
-                owned: bool = False):
-    """mapInArrow function over rows (part, rest, [cell,] inside, f[, owner]) sorted by the ``keys``
-    columns in front.
+def group_links(words: int, segments: int, distance: int, step: int, keys: int = 2, most: int | None = None):
+    """mapInArrow function over rows (part, rest, [cell,] inside, f) sorted by the ``keys`` columns
+    in front.
 
     Rows of one key are the group of ``step`` wildcards; the bucket of each wildcard
     is found among them by the other bits inside. Gives links (a, b) of fingerprints that
-    share a bucket: the shortest that connect them, or with ``owned`` all between different
-    owners. A link is given only in the first bucket that its ends share: in a later
+    share a bucket: the shortest that connect them. A link is given only in the first bucket that its ends share: in a later
     one they are connected already, through links no longer than theirs. So members that meet
     in hundreds of buckets are not linked anew in each. A group of over ``most`` rows gives its
     rows with b null instead. Memory: one batch and the open group, ``most`` at most.
@@ -313,16 +302,15 @@ def group_links(words: int, segments: int, distance: int, step: int, keys: int =
         n, none = len(a), pa.nulls
         return pa.RecordBatch.from_arrays(
             [listed(np.ascontiguousarray(a)), listed(np.ascontiguousarray(b)), none(n, pa.int16()),
-             none(n, pa.int64()), none(n, pa.int16()), none(n, pa.int64())], CROWDED_NAMES)
+             none(n, pa.int64()), none(n, pa.int16())], CROWDED_NAMES)
 
     def crowd(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        part, rest, _, inside, f, owner = columns
+        part, rest, _, inside, f = columns
         return pa.RecordBatch.from_arrays(
             [listed(f), pa.nulls(len(f), pa.list_(pa.int64())), pa.array(part.astype(np.int16)), pa.array(rest),
-             pa.array(inside.astype(np.int16)), pa.array(owner)], CROWDED_NAMES)
+             pa.array(inside.astype(np.int16))], CROWDED_NAMES)
 
-    def linked(part: np.ndarray, group: np.ndarray, inside: np.ndarray, f: np.ndarray,
-               owner: np.ndarray) -> Iterator[tuple]:
+    def linked(part: np.ndarray, group: np.ndarray, inside: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
         for bit in range(step):
             bucket = group << step | inside & ~(1 << bit)
             order = np.argsort(bucket, kind="stable")
@@ -332,33 +320,27 @@ def group_links(words: int, segments: int, distance: int, step: int, keys: int =
             a, b = f[order[two]], f[order[two + 1]]
             near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= distance
             near &= first_bucket(a, b, segments) == part[order[two]] + bit
-            if owned:
-                near &= owner[order[two]] != owner[order[two + 1]]
             yield a[near], b[near]
             for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
                 rows = f[order[s: s + n]]
-                if owned:
-                    met = pairs_between(rows, owner[order[s: s + n]], distance)
-                else:
-                    links = np.array(forest(rows, distance), np.int64).reshape(-1, 2)
-                    met = [(rows[links[:, 0]], rows[links[:, 1]])]
-                for a, b in met:
-                    new = first_bucket(a, b, segments) == part[order[s]] + bit
-                    yield a[new], b[new]
+                links = np.array(forest(rows, distance), np.int64).reshape(-1, 2)
+                a, b = rows[links[:, 0]], rows[links[:, 1]]
+                new = first_bucket(a, b, segments) == part[order[s]] + bit
+                yield a[new], b[new]
 
     def closed(pieces: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         """Links of whole groups."""
-        part, rest, cell, inside, f, owner = (np.concatenate(c) for c in zip(*pieces))
+        part, rest, cell, inside, f = (np.concatenate(c) for c in zip(*pieces))
         new = np.ones(len(part), bool)
         new[1:] = (part[1:] != part[:-1]) | (rest[1:] != rest[:-1]) | (cell[1:] != cell[:-1])
         group = np.cumsum(new)
         size = np.bincount(group)[group]
         if most is not None and (size > most).any():
-            yield crowd(tuple(x[size > most] for x in (part, rest, cell, inside, f, owner)))
+            yield crowd(tuple(x[size > most] for x in (part, rest, cell, inside, f)))
         shared = (size > 1) & (size <= (most or size))
         if shared.any():
             held, n = [], 0
-            for a, b in linked(part[shared], group[shared], inside[shared], f[shared], owner[shared]):
+            for a, b in linked(part[shared], group[shared], inside[shared], f[shared]):
                 held.append((a, b))
                 n += len(a)
                 if n >= PIECE:
@@ -378,8 +360,7 @@ def group_links(words: int, segments: int, distance: int, step: int, keys: int =
             part, rest, inside = number[0], number[1], number[keys]
             cell = number[2] if keys > 2 else np.zeros(n, np.int64)
             f = batch.column(keys + 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
-            owner = batch.column(keys + 2).to_numpy(zero_copy_only=False) if owned else np.zeros(n, np.int64)
-            columns = (part, rest, cell, inside, f, owner)
+            columns = (part, rest, cell, inside, f)
             last = (part == part[-1]) & (rest == rest[-1]) & (cell == cell[-1])
             start = int(np.argmax(last))  # of the group left open
             same = bool(pieces) and tuple(x[-1] for x in pieces[-1][:3]) == (part[0], rest[0], cell[0])
@@ -420,19 +401,16 @@ def neighbour_links(crowded: DataFrame) -> DataFrame:
 
 
 def met_in_groups(prints: DataFrame, words: int, segments: int, distance: int) -> DataFrame:
-    """Links (a, b), a > b, of fingerprints ``f`` that share a bucket: enough to connect them, or
-    all those between different values of a column ``owner``, if there is one.
+    """Links (a, b), a > b, of fingerprints ``f`` that share a bucket: enough to connect them.
 
     Groups of over ``CROWD`` rows are dealt in blocks, and every two blocks meet in a task: the
     shortest links of the whole are among the shortest links of the parts.
     """
-    owned = "owner" in prints.columns
-    extra = ["owner"] if owned else []
     split = parts(prints, words, segments, STEP)
     met = cut(
         split.repartition("part", "rest").sortWithinPartitions("part", "rest")
-        .mapInArrow(group_links(words, segments, distance, STEP, 2, CROWD, owned), CROWDED_SCHEMA))
-    crowded = met.where("b IS NULL").select("part", "rest", "inside", F.col("a").alias("f"), *extra)
+        .mapInArrow(group_links(words, segments, distance, STEP, 2, CROWD), CROWDED_SCHEMA))
+    crowded = met.where("b IS NULL").select("part", "rest", "inside", F.col("a").alias("f"))
     blocks = hinted(cut(crowded.groupBy("part", "rest").agg(
         F.ceil(F.count("*") / F.lit(CROWD / 2)).cast("int").alias("blocks"))))
     mine, other = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"), F.col("other")
@@ -440,9 +418,9 @@ def met_in_groups(prints: DataFrame, words: int, segments: int, distance: int) -
         crowded.join(blocks, ["part", "rest"]).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> other")
         .select("part", "rest", (F.least("mine", other).cast("long") * F.col("blocks") + F.greatest("mine", other))
-                .alias("cell"), "inside", "f", *extra)
+                .alias("cell"), "inside", "f")
         .repartition("part", "rest", "cell").sortWithinPartitions("part", "rest", "cell")
-        .mapInArrow(group_links(words, segments, distance, STEP, 3, None, owned), CROWDED_SCHEMA)
+        .mapInArrow(group_links(words, segments, distance, STEP, 3), CROWDED_SCHEMA)
     )
     both = met.where("b IS NOT NULL").unionByName(cells)
     return cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -478,24 +456,103 @@ def near_fingerprints(documents: DataFrame, size: int = SHINGLE, id_column: str
         "doc_id", F.lpad(F.lower(F.hex(F.get("f", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, ...) whose shingle sets have at least that Jaccard similarity.
+def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that connect the sets of at least that Jaccard similarity: one for each two
+    classes that meet. Sets of different sides are compared if both sides occur, else all.
 
-    ``sets``: (f, shingles), one row per end of a pair. The sizes of the sets are compared first,
-    so sets travel only where they can agree.
+    The sets' elements are numbered once; a set is then met with all that are not yet of its
+    class, and of a size that allows it, by adding up its marks over their numbers.
     """
+    n, links = len(sets), []
+    size = np.array([len(x) for x in sets], np.int64)
+    _, number = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    marks = np.zeros(int(number.max()) + 1 if len(number) else 1, bool)
+    root = np.arange(n)
+    apart = side.min() != side.max() if n else False
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= np.maximum(size[j], size[i]) * similarity)]
+        if apart:
+            j = j[side[j] != side[i]]
+        if not len(j):
+            continue
+        own = number[starts[i]: ends[i]]
+        marks[own] = True
+        length = size[j]
+        # the numbers of the sets j, one after the other
+        at = np.repeat(starts[j] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        hits = np.concatenate([[0], np.cumsum(marks[number[at]])])
+        last = np.cumsum(length)
+        shared = hits[last] - hits[last - length]
+        marks[own] = False
+        # in whole shares of the union, as 4 of 5 is exactly 0.8
+        for k in j[shared >= (size[i] + length - shared) * similarity].tolist():
+            if root[k] != root[i]:
+                links.append((i, k))
+                root[root == root[k]] = root[i]
+    return links
 
-    def side(column: str, *wanted: Column) -> DataFrame:
-        return sets.select(F.col("f").alias(column), *wanted)
 
-    length = F.size("shingles")
-    sized = pairs.join(side("a", length.alias("n_a")), "a").join(side("b", length.alias("n_b")), "b").where(
-        F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity)
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    both = sized.join(side("a", F.col("shingles").alias("of_a")), "a").join(
-        side("b", F.col("shingles").alias("of_b")), "b")
-    # in whole shares of the union, as 4 of 5 is exactly 0.8
-    return both.where(shared >= (F.col("n_a") + F.col("n_b") - shared) * similarity).select(pairs.columns)
+def verified(words: int, similarity: float):
+    """mapInArrow function over rows (kin, cell, side, f, shingles) sorted by kin and cell: links
+    (a, b) of the fingerprints whose sets are alike. Memory: one batch and the open cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def closed() -> pa.RecordBatch | None:
+            f = [x for x, _, _ in held]
+            links = alike([x for _, _, x in held], np.array([x for _, x, _ in held], np.int64), similarity)
+            if not links:
+                return None
+            kind = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for i, _ in links], kind), pa.array([f[j] for _, j in links], kind)], ["a", "b"])
+
+        for batch in batches:
+            kin, cell, side, f = (batch.column(i).to_pylist() for i in range(4))
+            flat = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.array(pc.list_value_length(batch.column(4)).to_pylist(), np.int64))
+            for i in range(batch.num_rows):
+                if (kin[i], cell[i]) != key:
+                    found = closed()
+                    if found is not None:
+                        yield found
+                    key, held = (kin[i], cell[i]), []
+                held.append((f[i], side[i], flat[ends[i - 1] if i else 0: ends[i]].copy()))
+        found = closed()
+        if found is not None:
+            yield found
+
+    return run
+
+
+def similar_within(members: DataFrame, similarity: float, block_bytes: int | None = None,
+                   block_rows: int | None = None) -> DataFrame:
+    """Links (a, b) between fingerprints of one kin whose shingle sets have at least that Jaccard
+    similarity: enough to connect all such pairs.
+
+    ``members``: (kin, f, shingles). A kin is dealt in blocks of bounded size, of which every two
+    meet in a task (and each by itself): every pair of the kin is compared there, each set
+    travels once for every block, and a task gives only links that join what was apart.
+    """
+    block_bytes, block_rows = block_bytes or BLOCK_BYTES, block_rows or BLOCK_ROWS
+    sizes = members.groupBy("kin").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("numbers"))
+    blocks = cut(sizes.where("n > 1").select("kin", F.greatest(
+        F.ceil(F.col("n") / F.lit(float(block_rows))), F.ceil(F.col("numbers") * 8 / F.lit(float(block_bytes)))
+    ).cast("int").alias("blocks")))
+    mine, other, blocks_of = F.col("mine"), F.col("other"), F.col("blocks")
+    dealt = (
+        members.join(blocks, "kin").withColumn("mine", F.pmod(F.xxhash64("f"), blocks_of).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+        .select(F.xxhash64("kin").alias("kin"), (F.least(mine, other).cast("long") * blocks_of + F.greatest(mine, other)).alias("cell"),
+                F.col("mine").alias("side"), "f", "shingles")
+    )
+    return (
+        dealt.repartition("kin", "cell").sortWithinPartitions("kin", "cell")
+        .mapInArrow(verified(STAGE_WORDS, similarity), "a array<long>, b array<long>"))
 
 
 def in_classes(rows: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
@@ -511,24 +568,12 @@ def near_classes(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """
     links = links_of(distinct.select("f"), STAGE_WORDS, STAGE_SEGMENTS, STAGE_DISTANCE)
     met = cut(components(links))
-    named = met.select(F.col("node").alias("f")).join(distinct, "f").select(
-        "f", f"least.{ROW_ID}", f"least.{ROW_HASH}")
-    found = named.join(texts, [ROW_ID, ROW_HASH]).dropDuplicates(["f"]).select("f", texts.columns[-1])
-    sets = cut(from_texts(found, "shingles", lambda text: shingle_set(text, STAGE_SHINGLE).view("<i8").tolist()))
-    held = components(similar(links, sets, SIMILARITY))
-    # a failed link no longer stands for the pairs it connected: those are compared one by one
-    members = cut(in_classes(met.select(F.col("node").alias("f"), F.col("root").alias("kin")), held, "f", "root"))
-    torn = members.groupBy("kin").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    torn = torn.where("n > 2 AND least <> most").select("kin")
-    parted = members.join(torn, "kin").select("f", "root")
-    numbers = cut(parted.select("root").distinct().withColumn("owner", F.monotonically_increasing_id()))
-    parted = cut(parted.join(numbers, "root").select("f", "owner"))
-    pairs = met_in_groups(parted, STAGE_WORDS, STAGE_SEGMENTS, STAGE_DISTANCE).join(links, ["a", "b"], "left_anti")
-    more = similar(pairs, sets, SIMILARITY)
-    roots = in_classes(in_classes(more, held, "a", "root_a"), held, "b", "root_b")
-    joined = components(roots.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    rooted = in_classes(distinct.select("f", "least"), held, "f", "first")
-    return in_classes(rooted, joined, "first", "root").select("f", "least", "root")
+    named = met.select(F.col("node").alias("f"), F.col("root").alias("kin")).join(distinct, "f").select(
+        "kin", "f", f"least.{ROW_ID}", f"least.{ROW_HASH}")
+    found = named.join(texts, [ROW_ID, ROW_HASH]).dropDuplicates(["f"]).select("kin", "f", texts.columns[-1])
+    members = cut(from_texts(found, "shingles", lambda text: shingle_set(text, STAGE_SHINGLE).view("<i8").tolist()))
+    held = components(similar_within(members, SIMILARITY))
+    return in_classes(distinct.select("f", "least"), held, "f", "root")
 
 
 def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -355,7 +355,7 @@ def test_close_fingerprints_are_verified_too(spark):
     while len(pairs) < 5:
         base = [f"wort{x}" for x in rng.integers(0, 10**9, 12)]
         pair = [" ".join(base), " ".join([*base[:-1], "anders"])]
-        f, g = (simhash.fingerprint(t.encode(), 5, 4, repeats=False) for t in pair)
+        f, g = (simhash.fingerprint(t.encode(), 5, simhash.STAGE_WORDS, repeats=False) for t in pair)
         if 0 < sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(f, g)) <= 24:
             pairs.append(pair)
     texts = [t for pair in pairs for t in pair]
@@ -374,23 +374,56 @@ def family(copies, words=100):
     return found
 
 
+def merged(n, pairs):
+    root = list(range(n))
+    for i, j in pairs:
+        root = [root[i] if r == root[j] else r for r in root]
+    return root
+
+
 @pytest.mark.parametrize("crowd", [2048, 16])
 def test_near_classes_are_those_of_all_pairs(spark, monkeypatch, crowd):
-    """Families of 60 copies: every candidate pair decides, not only the shortest links."""
+    """Families of 60 copies: candidates make kins, and in a kin every pair decides."""
     monkeypatch.setattr(simhash, "CROWD", crowd)
-    texts = [t for _ in range(4) for t in family(60)]
-    prints = [simhash.fingerprint(t.encode(), 5, 4, repeats=False) for t in texts]
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", crowd)
+    texts = [t for _ in range(3) for t in family(60)]
+    prints = [simhash.fingerprint(t.encode(), 5, simhash.STAGE_WORDS, repeats=False) for t in texts]
     whole = [[w % (1 << 64) for w in f] for f in prints]
-    root = list(range(len(texts)))
+    candidates = []
     for i, j in itertools.combinations(range(len(texts)), 2):
         differ = [x ^ y for x, y in zip(whole[i], whole[j])]
         meet = any((d >> low & (1 << width) - 1).bit_count() <= 1 for d in differ for low, width in simhash.bounds(3))
-        if sum(d.bit_count() for d in differ) <= 52 and meet and jaccard(texts[i], texts[j]) >= 0.8:
-            root = [root[i] if r == root[j] else r for r in root]
+        if sum(d.bit_count() for d in differ) <= simhash.STAGE_DISTANCE and meet:
+            candidates.append((i, j))
+    kin = merged(len(texts), candidates)
+    root = merged(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2)
+                               if kin[i] == kin[j] and jaccard(texts[i], texts[j]) >= 0.8])
     kept = simhash.keep_one(spark.createDataFrame(rows_of(list(enumerate(texts))), EXTRA)).collect()
     assert sorted(r.doc_id for r in kept) == sorted({root.index(r) for r in root})
 
 
+def test_alike_sets_are_connected_by_a_forest():
+    for sides in (1, 2):
+        for _ in range(30):
+            base = RNG.integers(0, 1 << 62, 60)
+            sets = [np.unique(np.where(RNG.random(60) < RNG.choice([0.02, 0.1, 0.3]), RNG.integers(0, 1 << 62, 60), base))
+                    for _ in range(25)] + [np.zeros(0, np.int64)] * 2
+            side = RNG.integers(0, sides, len(sets))
+            links = simhash.alike(sets, side, 0.8)
+
+            def close(i, j):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                return both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+
+            pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+                     if close(i, j) and (side.min() == side.max() or side[i] != side[j])]
+            assert set(links) <= set(pairs)
+            root, mine = merged(len(sets), pairs), merged(len(sets), links)
+            assert [root.index(r) for r in root] == [mine.index(r) for r in mine]
+            assert len(links) < len(sets)
+    assert simhash.alike([], np.zeros(0, np.int64), 0.8) == []
+
+
 EXTRA_NAMES = [c.split()[0] for c in EXTRA.split(", ")]
 
 
@@ -400,6 +433,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 140)}
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Nodes with more links than HUB are not gathered; classes are the same."""
+    monkeypatch.setattr(components, "HUB", 5)
+    links = [(7, i) for i in range(8, 60)] + [(60, i) for i in range(61, 90)] + [(3, 59), (89, 2), (200, 201)]
+    found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {(r.node, r.root) for r in found} == {(i, 3) for i in [3, *range(7, 60)]} | {(i, 2) for i in [2, *range(60, 90)]} | {
+        (200, 200), (201, 200)}
+
+
 def test_mixing_draws_within_budget(documents, texts, empty):
     plan = {r.source: r for r in mixing.plan_mix(documents).collect()}
     drawn = mixing.mix(documents).collect()
