@@ -73,21 +73,34 @@ def drift_cumulative(centroids: DataFrame, year: str = "annee") -> DataFrame:
     )
 
 
-def pairwise_similarity(centroids: DataFrame, group: str, vector: str = "centroid") -> DataFrame:
-    """Full similarity matrix (a, b, similarity) as a matrix product.
+def pairwise_similarity(centroids: DataFrame, group: str, vector: str = "centroid", block: int = 512) -> DataFrame:
+    """Full similarity matrix (a, b, similarity), as products of blocks.
 
-    Unit vectors are cut into (dim, value) rows and met by dimension, so the product is
-    an equality join and a sum that grow with the number of groups asked for; no side is
-    copied to every task.
+    Unit vectors are dealt into blocks of about ``block`` groups. Every two blocks meet once, in
+    one task, as two small matrices; the product gives the pairs of both orders. A vector
+    travels once for every block, and a task holds two blocks and their product. Vectors of a
+    matrix have one length.
     """
-    unit = to_long(
-        centroids.select(group, vx.l2_normalise(F.col(vector)).alias("u")), group, "u"
-    )
-    a = unit.select(F.col(group).alias("a"), "dim", F.col("value").alias("x"))
-    b = unit.select(F.col(group).alias("b"), "dim", F.col("value").alias("y"))
-    return a.join(b, "dim").groupBy("a", "b").agg(
-        F.sum(F.col("x") * F.col("y")).alias("similarity")
-    )
+    unit = centroids.where(F.col(vector).isNotNull()).select(
+        F.col(group).alias("g"), vx.l2_normalise(F.col(vector)).alias("u"))
+    blocks = max(1, -(-unit.count() // block))
+    dealt = unit.withColumn("mine", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ).select(F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "g", "u")
+    kind = centroids.schema[group].dataType.simpleString()
+
+    def multiply(met: pa.Table) -> pa.Table:
+        one, two, mine = (met.column(c).to_numpy() for c in ("one", "two", "mine"))
+        matrix = np.array(met.column("u").to_pylist())
+        left, right = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+        values = (matrix[left] @ matrix[right].T).ravel()
+        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+        if one[0] != two[0]:  # the other order
+            a, b, values = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(values, 2)
+        ids = met.column("g").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "similarity": pa.array(values)})
+
+    return dealt.groupBy("one", "two").applyInArrow(multiply, f"a {kind}, b {kind}, similarity double")
 
 
 def similarity_to(df: DataFrame, vector: str, query: "list[float] | DataFrame") -> DataFrame:

@@ -12,6 +12,8 @@ from hemicycle.operators import words as wo
 from hemicycle.plans import mapping as m
 from hemicycle.plans.registry import Tables, query, r6, rounded
 from hemicycle.schemas import CLASSES
+from hemicycle.session import scratch_path
+from hemicycle.sources import vectors as vs
 
 _V = f"WITH {m.SQL_EMBEDDINGS}"
 
@@ -243,12 +245,23 @@ def _half_embedded(t: Tables):
     return t.texts.select("doc_id", "lang", "text").join(vectors, "doc_id", "left")
 
 
+def _maintained(t: Tables):
+    """Vectors kept beside the texts over three runs: all, none new, and the changed language."""
+    path = scratch_path(t.spark, "vectors")
+    texts = t.documents.select("doc_id", "lang", "text")
+    changed = texts.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(" fin"))).otherwise(F.col("text")))
+    runs = [vs.update_vectors(df, path, "doc_id", "text") for df in (texts, texts, changed)]
+    stored = vs.with_vectors(changed, path, "doc_id", "text")
+    # the length of a vector, and whether it is that of the present text
+    fits = F.size("texte_embedding").alias("size"), F.lit(runs[0]).cast("long").alias("first"), F.lit(runs[1]).cast("long").alias(
+        "again"), F.lit(runs[2]).cast("long").alias("changed")
+    return stored.select("doc_id", *fits)
+
+
 query("enrich_embeddings", """
-    SELECT d.doc_id, CAST(CASE WHEN e.vec_id IS NOT NULL THEN 64 WHEN d.lang = 'en' THEN NULL ELSE 16 END AS INTEGER) AS size
-    FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
-""")(lambda t: vo.enrich_embeddings(
-    _half_embedded(t), "text", lambda df, text, out: vo.embed_texts(df, text, out, 16), where=F.col("lang") != "en"
-).select("doc_id", F.when(F.col("texte_embedding").isNotNull(), F.size("texte_embedding")).alias("size")))
+    WITH n AS (SELECT count(*) FILTER (WHERE trim(text) <> '') AS first, count(*) FILTER (WHERE lang = 'fr') AS changed FROM documents)
+    SELECT doc_id, CAST(CASE WHEN trim(text) <> '' THEN 256 END AS INTEGER) AS size, first, 0::BIGINT AS again, changed FROM documents, n
+""")(_maintained)
 
 query("enrichment_counts", """
     SELECT count(*) AS "rows", count(*) AS with_vector, count(*) - count(e.vec_id) AS added, 0 AS without_vector

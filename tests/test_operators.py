@@ -16,6 +16,7 @@ from hemicycle.operators import sentiment as se
 from hemicycle.operators import vectors as vo
 from hemicycle.operators import words as wo
 from hemicycle.schemas import CLASSES, INTERVENTIONS
+from hemicycle.sources import vectors as vs
 
 
 def plan(df):
@@ -338,6 +339,36 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(lang,fr)" in text and "ReadSchema: struct<doc_id:bigint,lang:string>" in text
 
 
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_similarity_matrix_by_blocks(spark, block):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(11, 5))
+    m[4] = 0
+    rows = spark.createDataFrame([(f"g{i}", v.tolist()) for i, v in enumerate(m)] + [("none", None)], "g string, centroid array<double>")
+    got = {(r.a, r.b): r.similarity for r in vo.pairwise_similarity(rows, "g", block=block).collect()}
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = m / np.where(n > 0, n, 1)
+    assert len(got) == 121
+    assert all(abs(got[f"g{i}", f"g{j}"] - unit[i] @ unit[j]) < 1e-12 for i in range(11) for j in range(11))
+    assert vo.pairwise_similarity(rows.limit(0), "g").count() == 0
+
+
+def test_vectors_are_maintained_by_change(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = [(1, "one text"), (2, "two texts"), (3, " "), (None, "no key"), (4, None)]
+    df = lambda r: spark.createDataFrame(r, "id long, t string")
+    assert vs.update_vectors(df(rows), path, "id", "t") == 2
+    assert vs.update_vectors(df(rows), path, "id", "t") == 0
+    rows[0] = (1, "one other text")
+    assert vs.update_vectors(df(rows), path, "id", "t") == 1
+    out = {r.id: r.texte_embedding for r in vs.with_vectors(df(rows), path, "id", "t").collect()}
+    assert {k for k, v in out.items() if v} == {1, 2} and {len(v) for v in out.values() if v} == {vo.DIMENSIONS}
+    direct = vo.embed_texts(df(rows[:1]), "t").first().texte_embedding
+    assert out[1] == direct
+    # a text that is not the stored one has no vector
+    assert vs.with_vectors(df([(2, "changed")]), path, "id", "t").first().texte_embedding is None
+
+
 def test_word2vec(spark):
     rng = random.Random(1)
     rows = [(" ".join(rng.choice(["alpha beta", "gamma delta"]) for _ in range(6)),) for _ in range(60)]
