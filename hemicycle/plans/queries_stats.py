@@ -370,9 +370,9 @@ query("to_date_coerce", """
 query("month_period", """
     SELECT event_id, CAST(date_trunc('month', ts) AS DATE) AS periode FROM events
 """)(lambda t: t.events.select("event_id", dt.month_period(F.col("ts")).alias("periode")))
-query("now_timestamp")(
-    lambda t: t.documents.select("doc_id", dt.now_timestamp().alias("extraction_timestamp"))
-)
+query("now_timestamp", "SELECT doc_id, TRUE AS recent FROM documents")(lambda t: t.documents.select(
+    "doc_id", dt.now_timestamp().alias("extraction_timestamp")
+).select("doc_id", (F.abs(F.col("extraction_timestamp").cast("timestamp").cast("long") - F.unix_timestamp()) < 60).alias("recent")))
 query("duration_seconds", """
     SELECT event_id,
            round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6, 6) AS seconds

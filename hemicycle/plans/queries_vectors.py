@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hemicycle.functions import scores as sc
@@ -218,9 +219,11 @@ query("score_with_model", f"""
     t.texts.select("doc_id", "text"), "text", _load_length_scorer
 ).drop("text"), *CLASSES))
 
-query("embed_texts")(lambda t: vo.embed_texts(
-    t.texts.select("doc_id", "text"), "text", dimensions=64
-).select("doc_id", F.posexplode("texte_embedding").alias("dim", "value")).where("value <> 0"))
+# hashes differ between engines, lengths do not: unit vectors, zero for a text without a word
+query("embed_texts", f"""
+    SELECT doc_id, {vo.DIMENSIONS} AS size, CASE WHEN len({m.sql_tokens()}) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS length FROM documents
+""")(lambda t: vo.embed_texts(t.texts.select("doc_id", "text"), "text").select(
+    "doc_id", F.size("texte_embedding").alias("size"), F.round(vx.norm(F.col("texte_embedding")), 4).alias("length")))
 
 
 def _load_length_embedder():
@@ -280,7 +283,10 @@ def _model(t: Tables):
     return wo.train_word2vec(t.texts, "text", vector_size=16, epochs=1, min_count=3, partitions=4)
 
 
-query("train_word2vec")(lambda t: _model(t).getVectors())
+# the vocabulary is exact: every word that occurs three times has a vector
+query("train_word2vec", f"""
+    SELECT word, 16 AS size FROM (SELECT unnest({m.sql_tokens()}) AS word FROM documents) GROUP BY word HAVING count(*) >= 3
+""")(lambda t: _model(t).getVectors().select("word", F.size(vector_to_array("vector")).alias("size")))
 query("similar_words")(lambda t: wo.similar_words(_model(t), "und", 10))
 query("analyse_similar_words")(lambda t: wo.analyse_similar_words(
     t.texts, _model(t), "doc_id", "text", "und", 5, 5
