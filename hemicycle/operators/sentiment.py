@@ -18,26 +18,33 @@ from hemicycle.schemas import CLASSES
 # it is the base). Any other lexicon of this shape can be given.
 LEXICON: dict[str, tuple[str, ...]] = {
     "very_negative": (
-        "abject", "abjecte", "abominable", "affreux", "affreuse", "atroce", "calamiteux", "calamiteuse", "cruel", "cruelle",
-        "effroyable", "exécrable", "haine", "horrible", "ignoble", "indigne", "infâme", "insupportable", "intolérable",
-        "lamentable", "monstrueux", "monstrueuse", "désastre", "honte", "scandale", "odieux", "odieuse", "ruine", "tragique", "appalling", "atrocious",
-        "dreadful", "horrendous",
+        "abject", "abjecte", "abominable", "affreux", "affreuse", "atroce", "calamiteux",
+        "calamiteuse", "cruel", "cruelle", "effroyable", "exécrable", "haine", "horrible",
+        "ignoble", "indigne", "infâme", "insupportable", "intolérable", "lamentable", "monstrueux",
+        "monstrueuse", "désastre", "honte", "scandale", "odieux", "odieuse", "ruine", "tragique",
+        "appalling", "atrocious", "dreadful", "horrendous",
     ),
     "negative": (
-        "absurde", "bad", "crise", "échec", "mauvais", "mauvaise", "danger", "dangereux", "dangereuse", "déception", "décevant", "défaut", "déplorable", "difficile", "dommage",
-        "erreur", "faible", "faute", "grave", "hélas", "injuste", "insuffisant", "insuffisante", "inutile", "manque", "menace",
-        "perte", "peur", "pire", "regrette", "retard", "risque", "triste", "flawed", "poor", "unfair", "weak",
+        "absurde", "bad", "crise", "échec", "mauvais", "mauvaise", "danger", "dangereux",
+        "dangereuse", "déception", "décevant", "défaut", "déplorable", "difficile", "dommage",
+        "erreur", "faible", "faute", "grave", "hélas", "injuste", "insuffisant", "insuffisante",
+        "inutile", "manque", "menace", "perte", "peur", "pire", "regrette", "retard", "risque",
+        "triste", "flawed", "poor", "unfair", "weak",
     ),
     "positive": (
-        "accord", "bon", "bonne", "good", "utile", "agréable", "amélioration", "améliorer", "avantage", "clair", "claire", "confiance", "content", "efficace",
-        "espoir", "facile", "gagner", "heureux", "heureuse", "intéressant", "intéressante", "juste", "merci", "mieux", "pertinent",
-        "pertinente", "réussi", "réussite", "solide", "solution", "succès", "clear", "fair", "helpful", "pleasant", "useful",
+        "accord", "bon", "bonne", "good", "utile", "agréable", "amélioration", "améliorer",
+        "avantage", "clair", "claire", "confiance", "content", "efficace", "espoir", "facile",
+        "gagner", "heureux", "heureuse", "intéressant", "intéressante", "juste", "merci", "mieux",
+        "pertinent", "pertinente", "réussi", "réussite", "solide", "solution", "succès", "clear",
+        "fair", "helpful", "pleasant", "useful",
     ),
     "very_positive": (
-        "admirable", "excellent", "excellente", "exceptionnel", "magnifique", "brillant", "brillante", "éblouissant", "enthousiasme", "exemplaire", "extraordinaire", "fabuleux",
-        "fantastique", "félicitations", "génial", "géniale", "grandiose", "idéal", "idéale", "incomparable", "inestimable",
-        "magistral", "magistrale", "merveilleux", "merveilleuse", "parfait", "parfaite", "sublime", "superbe", "triomphe",
-        "amazing", "brilliant", "outstanding", "superb",
+        "admirable", "excellent", "excellente", "exceptionnel", "magnifique", "brillant",
+        "brillante", "éblouissant", "enthousiasme", "exemplaire", "extraordinaire", "fabuleux",
+        "fantastique", "félicitations", "génial", "géniale", "grandiose", "idéal", "idéale",
+        "incomparable", "inestimable", "magistral", "magistrale", "merveilleux", "merveilleuse",
+        "parfait", "parfaite", "sublime", "superbe", "triomphe", "amazing", "brilliant",
+        "outstanding", "superb",
     ),
 }
 # Logit added per hit of the class, and the base logit of the neutral class.
