@@ -3,16 +3,17 @@
 A hash is a fast pseudo-rotation (three rounds of random signs and a Hadamard transform)
 followed by the nearest signed axis. Every block of rows is an index of its own with
 ``TABLES`` hash tables over all its rows. A query probes in each table the ``PROBES`` axes
-nearest to its own rotated direction; the rows in these buckets are its candidates, and they
-are reranked by the exact inner product of the original vectors.
+nearest to its own rotated direction, and a row in one of these buckets gets the query's
+coordinate along that axis as a vote. The ``SHARE`` of a block's rows with the largest sums
+of votes (at least ``LEAST`` of them, and all that are equal at the edge) are the candidates;
+they are reranked by the exact inner product of the original vectors.
 
 Nearness is the inner product, so rows get one more coordinate, sqrt(M * M - |x| * |x|), M
 being the largest norm of the block, and queries a zero: then the largest inner product is
 the smallest angle. For unit vectors this changes nothing.
 
-Recall against brute force on the given tables: see README. Every row is indexed. A query
-whose probes find fewer than k rows of a block compares with the whole block, so small
-tables give whole answers.
+Recall against brute force on the given tables: see README. Every row is indexed; blocks of
+at most ``LEAST`` rows are compared whole, so small tables give whole answers.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component
 take no part; a query meets only vectors of its own length; each repeated row is a candidate
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from hemicycle.llm.blocks import finite, search
 from hemicycle.llm.common import wanted
 
-TABLES, PROBES, ROUNDS = 16, 8, 3
+TABLES, PROBES, ROUNDS = 32, 64, 3
+#: Candidates of a query in a block: this share of its rows, and no fewer than this many.
+SHARE, LEAST = 0.05, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -42,17 +45,17 @@ def hadamard(x: np.ndarray) -> np.ndarray:
         x = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2)
         x = x.reshape(-1, n)
         step *= 2
-    return x / np.sqrt(n)
+    return x / x.dtype.type(np.sqrt(n))
 
 
 def rotate(x: np.ndarray, table: int) -> np.ndarray:
     """Pseudo-rotation of one table. Twice the next power of two axes, for finer buckets."""
     axes = 2 << max(0, (x.shape[1] - 2)).bit_length()
     signs = np.random.default_rng(table)
-    out = np.zeros((len(x), axes))
+    out = np.zeros((len(x), axes), np.float32)
     out[:, : x.shape[1]] = x
     for _ in range(ROUNDS):
-        out = hadamard(out * signs.choice([-1.0, 1.0], axes))
+        out = hadamard(out * signs.choice(np.array([-1, 1], np.float32), axes))
     return out
 
 
@@ -66,32 +69,52 @@ def lifted(matrix: np.ndarray, largest: float) -> np.ndarray:
     return np.concatenate([matrix, np.sqrt(rest)[:, None]], axis=1)
 
 
+def longest(matrix: np.ndarray) -> float:
+    """The largest norm of the rows; components are scaled first, so that no square overflows."""
+    scale = float(np.abs(matrix).max())
+    return scale * float(np.sqrt(((matrix / scale) ** 2).sum(axis=1).max()))
+
+
 def build_index(tables: int):
     def pack(ids: np.ndarray, matrix: np.ndarray) -> bytes:
-        largest = float(np.sqrt((matrix * matrix).sum(axis=1).max()))
-        rows = lifted(matrix, largest)
+        largest = longest(matrix)
+        rows = lifted(matrix / largest, 1.0)
         buckets = np.stack([nearest_axis(rotate(rows, t)) for t in range(tables)]).astype(np.uint16)
         return pickle.dumps((ids.astype(np.int64), matrix, buckets))
 
     return pack
 
 
+def unit(queries: np.ndarray) -> np.ndarray:
+    """Queries of length one: their length changes no order."""
+    largest = np.abs(queries).max(axis=1, keepdims=True)
+    scaled = queries / largest
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
 def pack_queries(ids: np.ndarray, matrix: np.ndarray) -> bytes:
     return pickle.dumps((ids.astype(np.int64), matrix))
 
 
-def candidates(queries: np.ndarray, buckets: np.ndarray, probes: int) -> np.ndarray:
-    """Boolean (queries, rows): rows in a probed bucket of any table."""
+def votes(queries: np.ndarray, buckets: np.ndarray, probes: int) -> np.ndarray:
+    """(queries, rows): sums, over the tables, of the query's coordinates at probed axes."""
     asked = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-    found = np.zeros((len(queries), buckets.shape[1]), bool)
+    total = np.zeros((len(queries), buckets.shape[1]), np.float32)
     for table, bucket in enumerate(buckets):
         rotated = rotate(asked, table)
-        signed = np.stack([rotated, -rotated], axis=2).reshape(len(asked), -1)
-        near = np.argpartition(-signed, min(probes, signed.shape[1]) - 1, axis=1)[:, :probes]
-        probed = np.zeros(signed.shape, bool)
-        np.put_along_axis(probed, near, True, axis=1)
-        found |= probed[:, bucket]
-    return found
+        near = np.stack([rotated, -rotated], axis=2).reshape(len(asked), -1)
+        if probes < near.shape[1]:
+            edge = np.partition(near, -probes, axis=1)[:, -probes, None]
+            near[near < edge] = 0
+        total += near[:, bucket]
+    return total
+
+
+def candidates(total: np.ndarray, size: int) -> np.ndarray:
+    """Boolean (queries, rows): the ``size`` rows with the most votes, and those equal to the last."""
+    if size >= total.shape[1]:
+        return np.ones(total.shape, bool)
+    return total >= np.partition(total, -size, axis=1)[:, -size, None]
 
 
 def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -102,22 +125,22 @@ def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def meet_near(k: int, probes: int):
+def meet_near(k: int, probes: int, share: float, least: int):
     def meet(query_block: bytes, index_block: bytes):
         query_ids, queries = pickle.loads(query_block)
         ids, matrix, buckets = pickle.loads(index_block)
-        found = candidates(queries, buckets, probes)
-        norm = float(np.sqrt((matrix * matrix).sum(axis=1).max()))
+        # one more than asked for: a query is never its own candidate
+        size = max(least, k, int(np.ceil(share * len(ids)))) + 1
+        found = candidates(votes(unit(queries), buckets, probes), size)
+        norm = longest(matrix)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i, query_id in enumerate(query_ids.tolist()):
             rows = np.flatnonzero(found[i] & (ids != query_id))
-            if len(rows) < k:
-                rows = np.flatnonzero(ids != query_id)
             if len(rows) > k:
                 rough = matrix[rows] @ queries[i]
                 edge = np.partition(rough, -k)[-k]
                 slack = 1e-12 * norm * float(np.sqrt((queries[i] * queries[i]).sum()))
-                rows = rows[rough >= edge - slack]
+                rows = rows[~(rough < edge - slack)]
             score = exact_scores(queries[i], matrix[rows])
             best = np.lexsort((ids[rows], -score))[:k]
             out.append((np.full(len(best), query_id), ids[rows[best]], score[best]))
@@ -129,9 +152,9 @@ def meet_near(k: int, probes: int):
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: int = PROBES,
-            id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+            share: float = SHARE, least: int = LEAST, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Each query (id divisible by ``every``) with the k nearest other rows it finds."""
     rows = wanted(vectors, vec_id=id_column, vector=vector_column).where(
         F.col("vec_id").isNotNull() & finite(F.col("vector")) & F.exists("vector", lambda x: x != 0))
     return search(rows, F.col("vec_id") % every == 0, build_index(tables), pack_queries,
-                  meet_near(k, probes), k, "double")
+                  meet_near(k, probes, share, least), k, "double")

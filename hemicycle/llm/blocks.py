@@ -1,9 +1,10 @@
 """A stated query set against all rows, in blocks.
 
-Vectors are packed into blocks (one row per Arrow batch of an input partition), queries into
-blocks of at most ``QUERY_ROWS``. Both sides are dealt over a grid of (query slot, index
+Vectors are dealt evenly and packed into blocks of at most ``INDEX_ROWS``, however the table is
+cut, queries into blocks of at most ``QUERY_ROWS``. Both sides are dealt over a grid of (query slot, index
 slot) cells and met by equality on the cell, so each pair of blocks is compared in one task
-whose memory is two blocks. Only the best rows of each pair leave it.
+whose memory is two blocks; beyond ``MOST_TASKS`` cells a task meets several, one after the
+other. Only the best rows of each pair leave it.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INDEX_ROWS, QUERY_ROWS = 8192, 1024
+#: Tasks that compare blocks, at most.
+MOST_TASKS = 20_000
 RESULT = "query_id long, vec_id long, score {kind}"
 
 #: From ids and a float64 matrix, one block's payload.
 Pack = Callable[[np.ndarray, np.ndarray], bytes]
 #: From a query payload and an index payload: query ids, row ids, scores.
-Meet = Callable[[bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Meet = Callable[[bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray | pa.Array]]
 
 
 def finite(vector: Column) -> Column:
@@ -57,18 +60,18 @@ def packer(pack: Pack, rows: int):
 def search(vectors: DataFrame, is_query: Column, pack_index: Pack, pack_query: Pack, meet: Meet,
            k: int, kind: str) -> DataFrame:
     """``vectors``: (vec_id, vector), valid rows only. The k best rows of each query, by
-    score, ties to the smaller vec_id."""
+    score, ties to the smaller vec_id; rows without a score come last."""
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n, n_queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     slots, query_slots = -(-n // INDEX_ROWS) or 1, -(-n_queries // QUERY_ROWS) or 1
-    index_rows = vectors.mapInArrow(packer(pack_index, INDEX_ROWS), "dim int, payload binary")
+    index_rows = vectors.repartition(slots).mapInArrow(packer(pack_index, INDEX_ROWS), "dim int, payload binary")
     query_rows = queries.mapInArrow(packer(pack_query, QUERY_ROWS), "dim int, payload binary")
 
     def dealt(blocks: DataFrame, own: str, own_slots: int, other: str, other_slots: int, payload: str) -> DataFrame:
         place = F.pmod(F.xxhash64("payload"), F.lit(own_slots)).cast("int").alias(own)
         every = F.explode(F.sequence(F.lit(0), F.lit(other_slots - 1))).alias(other)
         return blocks.select("dim", F.col("payload").alias(payload), place, every).repartition(
-            slots * query_slots, "dim", "query_slot", "slot")
+            min(MOST_TASKS, slots * query_slots), "dim", "query_slot", "slot")
 
     pairs = dealt(query_rows, "query_slot", query_slots, "slot", slots, "query").join(
         dealt(index_rows, "slot", slots, "query_slot", query_slots, "index"), ["dim", "query_slot", "slot"])
@@ -77,7 +80,7 @@ def search(vectors: DataFrame, is_query: Column, pack_index: Pack, pack_query: P
         for batch in batches:
             for query, index in zip(batch.column(0), batch.column(1)):
                 found = meet(query.as_py(), index.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     near = pairs.select("query", "index").mapInArrow(compare, RESULT.format(kind=kind))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
