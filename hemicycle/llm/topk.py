@@ -10,28 +10,38 @@ rows still tied. When the slices end, the boundary rows are exact ties, and the
 among them fill the remaining places.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no
-part; nor do those with a component of 2**18 or more in size, whose score would not be a
-long; a query meets only vectors of its own length; each repeated row is a candidate of its
+part; numbers of any size do (slices are as many as the block's range needs), and the job
+fails if a score that is to be returned is no long; a query meets only vectors of its own length; each repeated row is a candidate of its
 own, a repeated query id is asked once (its smallest vector); an empty table, or one without
 queries, gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemicycle.llm.blocks import finite, search
 from hemicycle.llm.common import wanted
 
-SCALE, LARGEST = 1024, float(1 << 18)
+SCALE, NARROW = 1024, float(1 << 18)
+LONG = 1 << 63
+#: Bits of a query component that are added at a time.
+GROUP = 32
 
 
 def quantise(matrix: np.ndarray) -> np.ndarray:
-    return np.floor(matrix * SCALE).astype(np.int64)
+    """floor(1024 * x), as int64; as Python integers where a component is large."""
+    if np.abs(matrix).max(initial=0.0) < NARROW:
+        return np.floor(matrix * SCALE).astype(np.int64)
+    # times 1024 is exact: a double of 2**53 or more is an integer
+    exact = [int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(x * SCALE) for x in matrix.ravel().tolist()]
+    return np.array(exact, object).reshape(matrix.shape)
 
 
 def to_bitmaps(bits: np.ndarray) -> np.ndarray:
@@ -57,18 +67,30 @@ def pack_queries(ids: np.ndarray, matrix: np.ndarray) -> bytes:
 
 
 def add_slices(query: np.ndarray, slices: np.ndarray) -> list[np.ndarray]:
-    """Bit-sliced sum of |q| * u, u complemented where q is negative; lowest slice first."""
+    """Bit-sliced sum of |q| * u, u complemented where q is negative; lowest slice first.
+
+    The bits of q are taken in groups, the highest first, so memory stays that of one group
+    however large its numbers are.
+    """
     chosen = np.where((query < 0)[:, None, None], ~slices, slices)
     size, width = np.abs(query), slices.shape[1]
-    piles: dict[int, list[np.ndarray]] = {}
-    for i in range(int(size.max()).bit_length()):
-        rows = chosen[(size >> i) & 1 == 1]
-        if len(rows):
-            for j in range(width):
-                piles.setdefault(i + j, []).append(rows[:, j])
+    total: list[np.ndarray] = []
+    for first in reversed(range(0, max(1, int(size.max()).bit_length()), GROUP)):
+        piles = {weight + GROUP: [bits[None]] for weight, bits in enumerate(total)}
+        for i in range(GROUP):
+            rows = chosen[((size >> (first + i)) & 1).astype(bool)]
+            if len(rows):
+                for j in range(width):
+                    piles.setdefault(i + j, []).append(rows[:, j])
+        total = reduced(piles, slices.shape[2])
+    return total
+
+
+def reduced(piles: dict[int, list[np.ndarray]], words: int) -> list[np.ndarray]:
+    """One slice per weight: the bitmaps of a weight are added by carry-save, carries go up."""
     result, weight = [], 0
     while piles:
-        pile = np.concatenate(piles.pop(weight, [np.zeros((1, slices.shape[2]), np.uint64)]))
+        pile = np.concatenate(piles.pop(weight, [np.zeros((1, words), np.uint64)]))
         carries = []
         while len(pile) > 1:
             third = len(pile) // 3
@@ -114,6 +136,18 @@ def select_top(slices: list[np.ndarray], among: np.ndarray, k: int) -> np.ndarra
     return rows_of(among)
 
 
+def scores_of(slices: list[np.ndarray], rows: np.ndarray, moved: int) -> list[int | None]:
+    """Scores of some rows, read off the slices; None for one below every long."""
+    held = [((bits[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).tolist() for bits in slices]
+    found: list[int | None] = []
+    for i in range(len(rows)):
+        score = moved + sum(bits[i] << weight for weight, bits in enumerate(held))
+        if score >= LONG:
+            raise OverflowError("a score among the best is larger than any long")
+        found.append(score if score >= -LONG else None)
+    return found
+
+
 def meet_top(k: int):
     """Function of a query block and an index block: the k best rows of each query."""
 
@@ -126,15 +160,13 @@ def meet_top(k: int):
             among = to_bitmaps((ids != query_id).astype(np.uint8))
             total = add_slices(query, slices)
             rows = select_top(total, among, k)
-            score = np.zeros(len(rows), np.int64)
-            for weight, bits in enumerate(total):
-                held = (bits[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-                score += held.astype(np.int64) << weight
-            score += low * int(query.sum()) + top_value * int(query[query < 0].sum())
-            found.append((np.full(len(rows), query_id), ids[rows], score))
+            moved = low * int(query.sum()) + top_value * int(query[query < 0].sum())
+            found.append((np.full(len(rows), query_id), ids[rows], scores_of(total, rows, moved)))
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
-        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
+        asked, near, scores = zip(*found)
+        return (np.concatenate(asked).astype(np.int64), np.concatenate(near).astype(np.int64),
+                pa.array([x for part in scores for x in part], pa.int64()))
 
     return meet
 
@@ -143,9 +175,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str = "v
           vector_column: str = "embedding") -> DataFrame:
     """Each query (id divisible by ``every``) with its k best other rows."""
     rows = wanted(vectors, vec_id=id_column, vector=vector_column).where(
-        F.col("vec_id").isNotNull() & finite(F.col("vector"))
-        & F.forall("vector", lambda x: F.abs(x.cast("double")) < LARGEST))
-    return search(rows, F.col("vec_id") % every == 0, build_slices, pack_queries, meet_top(k), k, "long")
+        F.col("vec_id").isNotNull() & finite(F.col("vector")))
+    found = search(rows, F.col("vec_id") % every == 0, build_slices, pack_queries, meet_top(k), k, "long")
+    return found.withColumn("score", F.coalesce("score", F.raise_error(F.lit("a score among the best is below every long"))))
 
 
 SQL = """

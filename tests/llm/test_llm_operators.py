@@ -4,15 +4,17 @@ rows, empty tables and clashing column names."""
 import hashlib
 import itertools
 import math
+import pickle
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 import xxhash
 
 from hemicycle.llm import (
-    ann, components, language, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity, url_filter,
+    ann, blocks, components, language, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity, url_filter,
 )
 from hemicycle.llm.queries import TOKENIZER
 
@@ -94,10 +96,54 @@ def test_bit_slices_add_and_select():
     block = topk.build_slices(ids, values / 1024)
     query = topk.pack_queries(np.array([-1]), RNG.integers(-900, 900, (1, 7)) / 1024)
     q, rows, score = topk.meet_top(130)(query, block)
-    import pickle
     assert dict(zip(rows.tolist(), score.tolist())) == dict(enumerate((values @ pickle.loads(query)[1][0]).tolist()))
 
 
+def test_topk_of_numbers_of_any_size(spark):
+    rows = [(i, RNG.normal(size=3).tolist()) for i in range(60)]
+    for i, v in rows:
+        v[i % 3] = float(RNG.choice([2.0**18, -1e6 - 0.3, 3e5] if i % 20 == 0 else [2.0**21 + 0.5, -2e6, 2.0**18, 1e-300]))
+    rows += [(100, [0.25, 0.0, -1.0]), (101, [0.0, 0.0, 0.0]), (103, [-(2.0**22), 0.0, 1.0])]
+
+    def score(a, b):
+        return sum(math.floor(Fraction(x) * 1024) * math.floor(Fraction(y) * 1024) for x, y in zip(a, b))
+
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20, 4, score)
+    assert any(abs(s) > 1 << 55 for *_, s in want)
+    assert sorted(map(tuple, topk.top_k(table, 4, 20).collect())) == sorted(want)
+    huge = [1e300, 0.0, 0.0]
+    # of the largest, only scores that are no longs fail
+    lone = spark.createDataFrame([(100, huge), (101, [0.0, 5.0, 0.0])], table.schema)
+    assert [r["score"] for r in topk.top_k(lone, 1, 100).collect()] == [0]
+    for other in (1e300, -1e300):
+        over = spark.createDataFrame([(100, huge), (101, [other, 0.0, 0.0])], table.schema)
+        with pytest.raises(Exception, match="among the best"):
+            topk.top_k(over, 1, 100).collect()
+
+
+def test_votes_find_the_near_rows_of_large_blocks():
+    points = RNG.normal(size=(6000, 48))
+    asked = points[:50] + RNG.normal(size=(50, 48))
+    pack = ann.build_index(ann.TABLES)
+    _, _, buckets = pickle.loads(pack(np.arange(6000), points))
+    chosen = ann.candidates(ann.votes(ann.unit(asked), buckets, ann.PROBES), 600)
+    assert (chosen.sum(axis=1) < 700).all()
+    near = np.argsort(-(asked @ points.T), axis=1)[:, :20]
+    assert chosen[np.arange(50)[:, None], near].mean() >= 0.9
+    # no row of equal votes is left out
+    same = ann.candidates(np.zeros((2, 30), np.float32), 10)
+    assert same.all()
+
+
+def test_blocks_are_even_and_tasks_bounded(spark, vectors, monkeypatch):
+    whole = sorted(map(tuple, topk.top_k(vectors, 10, 20).collect()))
+    monkeypatch.setattr(blocks, "INDEX_ROWS", 16)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 2)
+    monkeypatch.setattr(blocks, "MOST_TASKS", 5)
+    assert sorted(map(tuple, topk.top_k(vectors.repartition(50), 10, 20).collect())) == whole
+
+
 def test_nearest_has_recall_and_exact_scores(vectors):
     def score(a, b):
         total = 0.0
