@@ -35,31 +35,46 @@ from hemicycle.llm.common import wanted
 TABLES, PROBES, ROUNDS = 32, 64, 3
 #: Candidates of a query in a block: this share of its rows, and no fewer than this many.
 SHARE, LEAST = 0.05, 512
+#: Rows or queries that are rotated at a time.
+CHUNK = 256
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row (length a power of two), orthonormal."""
-    n, step = x.shape[1], 1
+def butterflies(x: np.ndarray) -> np.ndarray:
+    """Fast Walsh-Hadamard transform of each column (length a power of two), orthonormal."""
+    n, step = len(x), 1
     while step < n:
-        pairs = x.reshape(-1, n // (2 * step), 2, step)
-        x = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2)
-        x = x.reshape(-1, n)
+        pairs = x.reshape(n // (2 * step), 2, step, -1)
+        both = np.empty_like(pairs)
+        np.add(pairs[:, 0], pairs[:, 1], out=both[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=both[:, 1])
+        x = both.reshape(n, -1)
         step *= 2
-    return x / x.dtype.type(np.sqrt(n))
+    return x * x.dtype.type(1 / np.sqrt(n))
 
 
-def rotate(x: np.ndarray, table: int) -> np.ndarray:
-    """Pseudo-rotation of one table. Twice the next power of two axes, for finer buckets."""
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """The transform of each row."""
+    return np.ascontiguousarray(butterflies(np.ascontiguousarray(x.T)).T)
+
+
+def rotated_columns(x: np.ndarray, table: int) -> np.ndarray:
+    """Pseudo-rotation of one table, of rows to columns. Twice the next power of two axes, for
+    finer buckets."""
     axes = 2 << max(0, (x.shape[1] - 2)).bit_length()
     signs = np.random.default_rng(table)
-    out = np.zeros((len(x), axes), np.float32)
-    out[:, : x.shape[1]] = x
+    out = np.zeros((axes, len(x)), np.float32)
+    out[: x.shape[1]] = x.T
     for _ in range(ROUNDS):
-        out = hadamard(out * signs.choice(np.array([-1, 1], np.float32), axes))
+        out = butterflies(out * signs.choice(np.array([-1, 1], np.float32), axes)[:, None])
     return out
 
 
+def rotate(x: np.ndarray, table: int) -> np.ndarray:
+    return rotated_columns(x, table).T
+
+
 def nearest_axis(rotated: np.ndarray) -> np.ndarray:
+    """Of each row, the axis and the sign: 2 * axis, plus one if it is negative."""
     axis = np.abs(rotated).argmax(axis=1)
     return 2 * axis + (rotated[np.arange(len(rotated)), axis] < 0)
 
@@ -79,7 +94,9 @@ def build_index(tables: int):
     def pack(ids: np.ndarray, matrix: np.ndarray) -> bytes:
         largest = longest(matrix)
         rows = lifted(matrix / largest, 1.0)
-        buckets = np.stack([nearest_axis(rotate(rows, t)) for t in range(tables)]).astype(np.uint16)
+        buckets = np.concatenate([
+            np.stack([nearest_axis(rotate(part, t)) for t in range(tables)]).astype(np.uint32)
+            for part in np.split(rows, range(CHUNK, len(rows), CHUNK))], axis=1)
         return pickle.dumps((ids.astype(np.int64), matrix, buckets))
 
     return pack
@@ -99,15 +116,14 @@ def pack_queries(ids: np.ndarray, matrix: np.ndarray) -> bytes:
 def votes(queries: np.ndarray, buckets: np.ndarray, probes: int) -> np.ndarray:
     """(queries, rows): sums, over the tables, of the query's coordinates at probed axes."""
     asked = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-    total = np.zeros((len(queries), buckets.shape[1]), np.float32)
+    total = np.zeros((buckets.shape[1], len(queries)), np.float32)
     for table, bucket in enumerate(buckets):
-        rotated = rotate(asked, table)
-        near = np.stack([rotated, -rotated], axis=2).reshape(len(asked), -1)
-        if probes < near.shape[1]:
-            edge = np.partition(near, -probes, axis=1)[:, -probes, None]
-            near[near < edge] = 0
-        total += near[:, bucket]
-    return total
+        rotated = rotated_columns(asked, table)
+        near = np.stack([rotated, -rotated], axis=1).reshape(-1, len(asked))
+        if probes < len(near):
+            near *= near >= np.partition(near, -probes, axis=0)[-probes]
+        total += near[bucket]
+    return np.ascontiguousarray(total.T)
 
 
 def candidates(total: np.ndarray, size: int) -> np.ndarray:
@@ -131,7 +147,8 @@ def meet_near(k: int, probes: int, share: float, least: int):
         ids, matrix, buckets = pickle.loads(index_block)
         # one more than asked for: a query is never its own candidate
         size = max(least, k, int(np.ceil(share * len(ids)))) + 1
-        found = candidates(votes(unit(queries), buckets, probes), size)
+        found = np.concatenate([candidates(votes(part, buckets, probes), size)
+                                for part in np.split(unit(queries), range(CHUNK, len(queries), CHUNK))])
         norm = longest(matrix)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i, query_id in enumerate(query_ids.tolist()):
