@@ -16,6 +16,8 @@ from hemicycle.operators import ordering, search
 from hemicycle.plans import mapping as m
 from hemicycle.plans.registry import Tables, query, r6, rounded
 from hemicycle.schemas import CLASSES
+from hemicycle.session import scratch_path
+from hemicycle.sources import sketches
 
 # counts
 
@@ -53,6 +55,48 @@ query("stats_by_year_approx")(lambda t: ag.stats_by_year(
     F.col("key"), approximate=True,
 ))
 
+
+
+def _within(estimate, exact):
+    """The exact count where the estimate is within five per cent of it, else the estimate."""
+    return F.when(F.abs(estimate - exact) <= 0.05 * exact, exact).otherwise(estimate)
+
+
+def _stored_years(t: Tables):
+    """Two loads, each read once, counted into one stored table."""
+    rows = m.dated(t, t.documents.select(F.col("doc_id").alias("para_id"), F.xxhash64("text").alias("key"), "source"))
+    path = scratch_path(t.spark, "sketches")
+    for load, lang in (("english", F.col("lang") == "en"), ("others", F.col("lang") != "en")):
+        part = t.documents.where(lang).select(F.col("doc_id").alias("para_id"))
+        sketches.add_load(rows.join(part, "para_id", "left_semi"), path, load, F.col("key"))
+    return rows, path
+
+
+def _sketched_years(t: Tables):
+    rows, path = _stored_years(t)
+    exact = rows.groupBy("annee").agg(F.count_distinct("key").alias("exact"))
+    return sketches.stored_by_year(t.spark, path).join(exact, "annee").select(
+        "annee", "documents", _within(F.col("distinct_keys"), F.col("exact")).alias("distinct_keys"))
+
+
+query("stats_by_year_sketches", f"""
+    WITH {m.SQL_INTERVENTIONS}
+    SELECT annee, count(*) AS documents, count(DISTINCT texte) AS distinct_keys
+    FROM interventions GROUP BY annee
+""")(_sketched_years)
+
+
+def _sketched_total(t: Tables):
+    rows, path = _stored_years(t)
+    exact = rows.agg(F.count_distinct("key")).scalar()
+    return sketches.stored_total(t.spark, path).select(
+        "documents", _within(F.col("distinct_keys"), exact).alias("distinct_keys"))
+
+
+query("distinct_keys_sketches", f"""
+    WITH {m.SQL_INTERVENTIONS} SELECT count(*) AS documents, count(DISTINCT texte) AS distinct_keys FROM interventions
+""")(_sketched_total)
+
 query("word_count_by_date", f"""
     WITH {m.SQL_INTERVENTIONS}
     SELECT date_seance, CAST(sum(len(string_split(texte, ' '))) AS BIGINT) AS words FROM interventions GROUP BY 1

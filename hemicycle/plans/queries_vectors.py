@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hemicycle.functions import scores as sc
 from hemicycle.functions import vectors as vx
+from hemicycle.operators import codes
+from hemicycle.operators import cooccurrence as co
 from hemicycle.operators import sentiment as se
 from hemicycle.operators import vectors as vo
 from hemicycle.operators import words as wo
@@ -149,6 +151,20 @@ query("knn_search_lsh")(lambda t: rounded(
     vo.knn_search_lsh(t.embeddings, "vec_id", "embedding", _query_list(t), 10).select("vec_id", "score"), "score"
 ))
 
+
+
+def _coded(t: Tables):
+    return codes.with_codes(t.embeddings, "embedding", len(_query_list(t)))
+
+
+query("knn_search_codes", _KNN)(lambda t: rounded(codes.knn_search_codes(
+    _coded(t), "vec_id", "embedding", _query_list(t), 10).select("vec_id", "score"), "score"))
+# a tenth of the rows is compared by vectors: those at or above the quantile of nine tenths
+query("knn_codes_rows_read", """
+    SELECT count(*) AS "rows", count(*) - CAST(ceil(count(*) * 0.9) AS BIGINT) + 1 AS compared FROM embeddings
+""")(lambda t: _coded(t).agg(F.count("*").alias("rows")).join(
+    codes.candidates(_coded(t), "vec_id", _query_list(t)).agg(F.count("*").alias("compared"))))
+
 query("nearest_words", f"""
     {_V} SELECT 'w' || vec_id AS word, round(list_cosine_similarity(v, (SELECT v FROM vecs WHERE vec_id = 5)), 6) AS score
     FROM vecs WHERE vec_id <> 5
@@ -291,3 +307,26 @@ query("similar_words")(lambda t: wo.similar_words(_model(t), "und", 10))
 query("analyse_similar_words")(lambda t: wo.analyse_similar_words(
     t.texts, _model(t), "doc_id", "text", "und", 5, 5
 ))
+
+
+# co-occurrence
+
+
+_SQL_CELLS = f"""
+    WITH d AS (SELECT {m.sql_tokens()} AS t FROM documents),
+    known AS (SELECT word FROM (SELECT unnest(t) AS word FROM d) GROUP BY word HAVING count(*) >= {co.MIN_COUNT}),
+    near AS (SELECT unnest(t[:len(t) - k]) AS a, unnest(t[k + 1:]) AS b FROM d, range(1, {co.WINDOW + 1}) r(k) WHERE len(t) > k),
+    once AS (SELECT a, b, count(*) AS n FROM near WHERE a IN (FROM known) AND b IN (FROM known) GROUP BY a, b),
+    counts AS (SELECT word, context, CAST(sum(n) AS BIGINT) AS n
+               FROM (SELECT a AS word, b AS context, n FROM once UNION ALL SELECT b, a, n FROM once) GROUP BY 1, 2),
+    margins AS (SELECT word, sum(n)::DOUBLE AS m FROM counts GROUP BY word),
+    cells AS (SELECT c.word, context, n, ln(n::DOUBLE * (SELECT sum(n)::DOUBLE FROM counts) / (w.m * x.m)) AS a
+              FROM counts c JOIN margins w ON c.word = w.word JOIN margins x ON c.context = x.word)
+"""
+query("cooccurrence_counts", f"{_SQL_CELLS} SELECT * FROM counts")(lambda t: co.pair_counts(t.texts, "text"))
+query("mutual_information", f"{_SQL_CELLS} SELECT word, context, round(a, 6) AS a FROM cells WHERE a > 1e-9")(
+    lambda t: rounded(co.mutual_information(co.pair_counts(t.texts, "text")).where("a > 1e-9"), "a"))
+# directions have no fixed sign, so vectors are held by their properties: which words, how many numbers
+query("cooccurrence_vectors", f"""
+    {_SQL_CELLS} SELECT word, least(64, count(*) OVER ())::INTEGER AS size FROM cells WHERE a > 0 GROUP BY word
+""")(lambda t: co.word_vectors(t.texts, "text").select("word", F.size("vector").alias("size")))
