@@ -232,6 +232,19 @@ def embed_with_model(
     return df.withColumn(out, embed(F.col(text)))
 
 
+def semantic_search(
+    df: DataFrame, key: str, vector: str, text: str, k: int = 10, where: Column | None = None,
+    embed: Callable[[DataFrame, str, str], DataFrame] = embed_texts,
+) -> DataFrame:
+    """The k rows nearest to a query text, which is embedded by the model that made ``vector``.
+
+    The query's vector stays in the plan as a scalar; a text without a word finds nothing.
+    """
+    asked = embed(df.sparkSession.createDataFrame([(text,)], "q string"), "q", "asked").where(vx.norm(F.col("asked")) > 0)
+    query = asked.select(F.col("asked").cast("array<double>"))
+    return knn_search(df.where(query.scalar().isNotNull()), key, vector, query, k, where)
+
+
 def add_vector_column(df: DataFrame, out: str = "texte_embedding") -> DataFrame:
     return df if out in df.columns else df.withColumn(out, F.lit(None).cast("array<float>"))
 

@@ -12,6 +12,7 @@ from hemicycle.operators import cooccurrence as co
 from hemicycle.operators import sentiment as se
 from hemicycle.operators import vectors as vo
 from hemicycle.operators import words as wo
+from hemicycle.plans import analyses
 from hemicycle.plans import mapping as m
 from hemicycle.plans.registry import Tables, query, r6, rounded
 from hemicycle.schemas import CLASSES
@@ -330,3 +331,49 @@ query("mutual_information", f"{_SQL_CELLS} SELECT word, context, round(a, 6) AS
 query("cooccurrence_vectors", f"""
     {_SQL_CELLS} SELECT word, least(64, count(*) OVER ())::INTEGER AS size FROM cells WHERE a > 0 GROUP BY word
 """)(lambda t: co.word_vectors(t.texts, "text").select("word", F.size("vector").alias("size")))
+
+
+# whole analyses
+
+
+def _own_text(t: Tables):
+    """Of the ten rows nearest to the text of document 0, those that are not to be told from it."""
+    text = t.documents.where("doc_id = 0").first()["text"]
+    coded = vo.embed_texts(t.texts.select("doc_id", "text"), "text").drop("text")
+    return vo.semantic_search(coded, "doc_id", "texte_embedding", text, 10).select(
+        "doc_id", F.round("score", 6).alias("score")).where("score = 1")
+
+
+query("semantic_search", """
+    SELECT doc_id, 1.0::DOUBLE AS score FROM documents
+    WHERE text = (SELECT text FROM documents WHERE doc_id = 0) ORDER BY doc_id LIMIT 10
+""")(_own_text)
+
+query("word_sentiment_series", f"""
+    WITH logits AS (SELECT doc_id, {_LOGITS} FROM (SELECT doc_id, {m.sql_tokens()} AS tk FROM documents) WHERE list_contains(tk, 'the')),
+    classes AS (SELECT doc_id, {", ".join(f"exp(l_{c} - {_TOP}) / {_TOTAL} AS {c}" for c in CLASSES)} FROM logits),
+    dated AS (SELECT CAST(o_orderdate AS DATE) AS date_seance, o_orderpriority AS groupe_politique, c.*
+              FROM classes c JOIN orders ON doc_id = o_orderkey)
+    SELECT date_seance, groupe_politique, round(avg({m.SQL_SCORE}), 6) AS mean, count(*) AS "count" FROM dated GROUP BY 1, 2
+""")(lambda t: rounded(analyses.word_sentiment_series(
+    t.texts, t.orders.select(
+        F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("date_seance"),
+        F.col("o_orderpriority").alias("groupe_politique")),
+    "doc_id", "text", "date_seance", "the", "groupe_politique", "token", _lexicon()), "mean"))
+
+
+def _topic_rows(t: Tables):
+    texts = t.texts.select(F.col("doc_id").alias("vec_id"), "text")
+    return m.dated_embeddings(t).select("vec_id", "annee", "embedding").join(texts, "vec_id")
+
+
+_TOPIC = f"""
+    WITH vecs AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS annee, CAST(embedding AS DOUBLE[]) AS v
+                  FROM embeddings JOIN orders ON vec_id = o_orderkey JOIN documents ON vec_id = doc_id
+                  WHERE list_contains({m.sql_tokens()}, 'the')), {m.sql_centroids("annee")}
+"""
+query("topic_drift", f"""
+    {_TOPIC}, lagged AS (SELECT annee, c, lag(annee) OVER w AS from_year, lag(c) OVER w AS p FROM centroids WINDOW w AS (ORDER BY annee))
+    SELECT from_year, annee AS to_year, round(list_cosine_similarity(p, c), 6) AS similarity,
+           round(1 - list_cosine_similarity(p, c), 6) AS drift FROM lagged WHERE from_year IS NOT NULL
+""")(lambda t: rounded(analyses.topic_drift(_topic_rows(t), "text", "annee", "embedding", "the", "token"), "similarity", "drift"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from hemicycle.operators import codes
 from hemicycle.operators import cooccurrence as co
+from hemicycle.operators import vectors as vo
 from hemicycle.operators import words as wo
+from hemicycle.plans import analyses
 from hemicycle.session import scratch_path
 from hemicycle.sources import sketches, table
 
@@ -97,3 +99,22 @@ def test_stored_sketches_add_up(spark, monkeypatch):
     assert sketches.stored_total(spark, path, [1999]).first()[0] == 0
     # a stored table is one row per load and year
     assert table.read_table(spark, path, sketches.COUNTS).count() == 3
+
+
+def test_semantic_search_takes_a_text(spark):
+    df = spark.createDataFrame(
+        [(1, "le budget de la France"), (2, "la pêche en mer"), (3, None), (4, ""), (5, "le budget")], "id long, t string")
+    coded = vo.embed_texts(df, "t")
+    assert [r.id for r in vo.semantic_search(coded, "id", "texte_embedding", "Budget !", 2).collect()] == [5, 1]
+    assert [r.id for r in vo.semantic_search(coded, "id", "texte_embedding", "budget", 2, F.col("id") < 3).collect()][0] == 1
+    assert vo.semantic_search(coded, "id", "texte_embedding", "", 2).count() == 0
+
+
+def test_series_of_a_word(spark):
+    texts = spark.createDataFrame([(1, "la paix"), (2, "la guerre"), (3, "paix"), (4, None)], "id long, t string")
+    dates = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id long, g string").withColumn("d", F.to_date(F.lit("2020-01-02")))
+    words = {"very_negative": (), "negative": ("guerre",), "positive": ("paix",), "very_positive": ()}
+    day = analyses.word_sentiment_series(texts, dates, "id", "t", "d", "paix", None, "token", words).first()
+    assert day["count"] == 2 and day["mean"] > 0
+    groups = analyses.word_sentiment_series(texts, dates, "id", "t", "d", None, "g", "token", words).collect()
+    assert {r.g: r["count"] for r in groups} == {"x": 2, "y": 1}
