@@ -12,7 +12,7 @@ The posterior of a language adds, in logarithms:
 
 Every kind of evidence but the text may be missing. Rows are rejected if their text has no
 letter, if its mean likelihood per trigram is below everything the training sample showed
-(with a margin), or if no language reaches a posterior of one half.
+(with a margin), or if no language reaches a posterior of 0.4 (``LEAST_POSTERIOR``).
 
 Trigram counts come from a bounded sample per language (``SAMPLE_PER_LABEL`` texts); all
 other counts are over all rows.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemicycle.llm.common import cut, hinted, wanted
-from hemicycle.llm.sampling import labelled_sample
+from hemicycle.llm.sampling import SAMPLE_CHARS, labelled_sample
 from hemicycle.llm.url_filter import host_of
 
 #: Bound of the training sample, per language.
@@ -213,11 +213,13 @@ def identify(rows: DataFrame, model: TextModel, evidence: str, declared: str | N
 
 
 def model_from(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-               label_column: str = "lang", per_label: int = SAMPLE_PER_LABEL) -> TextModel:
+               label_column: str = "lang", per_label: int = SAMPLE_PER_LABEL,
+               most_chars: int = SAMPLE_CHARS) -> TextModel:
+    """Train on ``per_label`` texts of each label, those of at most ``most_chars`` characters."""
     rows = wanted(documents, doc_id=id_column, text=text_column, label=label_column)
     labels = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(
         F.min("label").alias("label"))
-    return train(labelled_sample(rows.select("doc_id", "text"), labels, per_label))
+    return train(labelled_sample(rows.select("doc_id", "text"), labels, per_label, most_chars))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

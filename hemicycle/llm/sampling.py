@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from hemicycle.llm.common import cut
 
-#: Longest text that a training sample takes; scoring has no such limit.
+#: Longest text that a training sample takes, by default; scoring has no such limit.
 SAMPLE_CHARS = 200_000
 
 
-def labelled_sample(texts: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[str, object]]:
+def labelled_sample(texts: DataFrame, labels: DataFrame, per_label: int,
+                    most_chars: int = SAMPLE_CHARS) -> list[tuple[str, object]]:
     """At most ``per_label`` texts of each label, those with the smallest hashes of doc_id.
 
     ``texts``: (doc_id, text); ``labels``: (doc_id, label), one row per doc_id. The ids are
-    chosen before any text is read, so only the chosen texts travel.
+    chosen before any text is read, so only the chosen texts travel. Chosen texts of over
+    ``most_chars`` characters are left out: cut short they would still outweigh all others of
+    their label, and one wrong label among them would turn the counts.
     """
     kinds = [r[0] for r in labels.select("label").distinct().collect()]
     chosen = None
@@ -27,7 +30,7 @@ def labelled_sample(texts: DataFrame, labels: DataFrame, per_label: int) -> list
         return []
     chosen = F.broadcast(cut(chosen))
     rows = (
-        texts.where(F.length("text") <= SAMPLE_CHARS).join(chosen, "doc_id")
+        texts.where(F.length("text") <= most_chars).join(chosen, "doc_id")
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
         .orderBy("doc_id").collect()
     )

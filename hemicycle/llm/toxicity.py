@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemicycle.llm.common import text_of, wanted
-from hemicycle.llm.sampling import labelled_sample
+from hemicycle.llm.sampling import SAMPLE_CHARS, labelled_sample
 
 #: Bound of the training sample, per class.
 SAMPLE_PER_LABEL = 4000
@@ -179,10 +179,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def find_toxic(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
-               id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
+               id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
+               most_chars: int = SAMPLE_CHARS) -> DataFrame:
     """Every document with held_out, score, predicted and its offending sentences.
 
-    Only labels of documents that are not held out are learned from.
+    Only labels of documents that are not held out are learned from: of ``per_label`` texts a
+    class, those of at most ``most_chars`` characters. Texts are scored whole.
     """
     texts = wanted(documents, doc_id=id_column, text=text_column)
     known = wanted(labels, doc_id=id_column, label=label_column)
@@ -190,7 +192,7 @@ def find_toxic(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_
         known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     )
-    model = train(labelled_sample(texts, known, per_label))
+    model = train(labelled_sample(texts, known, per_label, most_chars))
     scored = score_texts(texts.select("doc_id", text_of("text").alias("text")), model)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

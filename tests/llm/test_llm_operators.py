@@ -12,6 +12,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hemicycle.llm import (
     ann, blocks, components, language, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity, url_filter,
@@ -584,3 +585,16 @@ def test_suffix_dedup_returns_what_is_kept(spark):
     out = {r.doc_id: r for r in suffix_dedup.dedup_spans(spark.createDataFrame(rows, EXTRA), with_text=True).collect()}
     assert bytes(out[2].kept) == b" two" and [(s.start, s.end) for s in out[2].spans] == [(0, 80)]
     assert bytes(out[1].kept) == ("one " + shared).encode() and bytes(out[3].kept) == b"x" * 49
+
+
+def test_bound_of_the_sample_is_a_parameter(spark):
+    """Longer texts are not learned from, but scored whole."""
+    rows = [(i, "guten morgen welt " * 4 if i % 2 else "good morning world " * 4, "de" if i % 2 else "en") for i in range(40)]
+    table = spark.createDataFrame([*rows, (99, "bonjour le monde " * 90, "fr")], "doc_id long, text string, lang string")
+    assert language.model_from(table, most_chars=500).languages == ["de", "en"]
+    assert language.model_from(table).languages == ["de", "en", "fr"]
+    bad = spark.createDataFrame(
+        [(i, ("Vile filth. " if i % 2 else "Nice day. ") * (300 if i > 280 else 3)) for i in range(300)], "doc_id long, text string")
+    labels = bad.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    scored = toxicity.find_toxic(bad, labels, most_chars=60).collect()
+    assert len(scored) == 300 and all((r.predicted == 1) == (r.doc_id % 2 == 1) for r in scored)
