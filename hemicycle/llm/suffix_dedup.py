@@ -46,7 +46,6 @@ MATCH, TOKEN = 50, 24
 CHUNK_BYTES, RECORDS_PER_BUCKET, SAMPLE_CHUNKS, SAMPLE_KEYS = 4 << 20, 1_500_000, 32, 2000
 #: Window starts of one text that are hashed at a time.
 PIECE = 1 << 20
-NO_ID = -(1 << 63)
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -126,6 +125,7 @@ class Chunk:
     """Documents of a chunk, their phrases, and the distinct phrases in sorted order."""
 
     ids: np.ndarray
+    known: np.ndarray  # has a doc_id
     texts: list[bytes]
     owner: np.ndarray  # per phrase: place of its document
     start: np.ndarray
@@ -151,15 +151,16 @@ def multikey_order(high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.nda
 def open_chunk(blobs: list[bytes]) -> Chunk:
     from xxhash import xxh3_64_intdigest
 
-    ids, texts = [], []
+    ids, known, texts = [], [], []
     for blob in blobs:
-        some_ids, some_texts = expand(blob)
+        some_ids, some_known, some_texts = expand(blob)
         ids.append(some_ids)
+        known.append(some_known)
         texts.extend(some_texts)
-    doc_ids = np.concatenate(ids)
+    doc_ids, has_id = np.concatenate(ids), np.concatenate(known)
     owner, start, end, token, phrase = [], [], [], [], []
     for i, text in enumerate(texts):
-        if doc_ids[i] == NO_ID:
+        if not has_id[i]:
             continue
         t, a, b = phrases(text)
         token.append(t)
@@ -177,7 +178,7 @@ def open_chunk(blobs: list[bytes]) -> Chunk:
     new = np.append(True, (sorted_high[1:] != sorted_high[:-1]) | (sorted_low[1:] != sorted_low[:-1]))[: len(order)]
     record = np.empty(len(order), np.int64)
     record[order] = np.cumsum(new) - 1
-    return Chunk(doc_ids, texts, owner, start, end, record,
+    return Chunk(doc_ids, has_id, texts, owner, start, end, record,
                  sorted_high[new], sorted_low[new], doc_ids[owner[order[new]]])
 
 
@@ -188,14 +189,15 @@ def to_chunks(rows: DataFrame, partitions: int) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            all_ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            all_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             texts = batch.column(1).cast(pa.binary())
             begin, size, held = 0, 0, []
             for i in range(batch.num_rows):
                 held.append(texts[i].as_py() or b"")
                 size += len(held[-1])
                 if size >= CHUNK_BYTES or i == batch.num_rows - 1:
-                    blob = compress((all_ids[begin: i + 1].copy(), held))
+                    blob = compress((all_ids[begin: i + 1].copy(), known[begin: i + 1].copy(), held))
                     name = xxh3_64_intdigest(blob) - (1 << 63)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())],
@@ -294,12 +296,14 @@ def codes_of(chunk: Chunk, answers: list[tuple[int, bytes]]) -> np.ndarray:
     return codes
 
 
-def first_phrases(chunk: Chunk, codes: np.ndarray) -> np.ndarray:
-    """Open phrases in the order of their records, one place each, in the first document."""
+def first_phrases(chunk: Chunk, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Open phrases in the order of their records: one place each, in the first document, and
+    all their places there and in rows that share its doc_id."""
     held = (codes[chunk.record] == OPEN) & (chunk.ids[chunk.owner] == chunk.first[chunk.record])
     at = np.flatnonzero(held)
+    at = at[np.argsort(chunk.record[at], kind="stable")]
     _, one = np.unique(chunk.record[at], return_index=True)
-    return at[one]
+    return at[one], np.split(at, one[1:])
 
 
 def strings_of(text: bytes, start: int, end: int) -> list[bytes]:
@@ -314,7 +318,7 @@ def questions(chunk: Chunk, codes: np.ndarray, cut_tokens: np.ndarray, buckets:
     """
     from xxhash import xxh3_64_intdigest
 
-    at = first_phrases(chunk, codes)
+    at, _ = first_phrases(chunk, codes)
     token = chunk.high[chunk.record[at]] >> np.uint64(24)
     crossing = np.isin(token, cut_tokens)
     asked: dict[int, list[tuple[int, bytes]]] = {}
@@ -370,7 +374,8 @@ def judge_strings(table: pa.Table) -> pa.Table:
 
 def repeated_strings(chunk: Chunk, codes: np.ndarray, cut_tokens: np.ndarray, buckets: int,
                      answers: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
-    """(document place, string start) of the repeated strings in open phrases."""
+    """(document place, string start) of the repeated strings in open phrases, at every place
+    of the phrase in its first document."""
     from xxhash import xxh3_64_intdigest
 
     bits = {bucket: np.unpackbits(np.frombuffer(b, np.uint8)) for bucket, b in answers}
@@ -381,31 +386,34 @@ def repeated_strings(chunk: Chunk, codes: np.ndarray, cut_tokens: np.ndarray, bu
         used[bucket] = at + n
         return bits[bucket][at: at + n]
 
-    at = first_phrases(chunk, codes)
+    at, places = first_phrases(chunk, codes)
     token = chunk.high[chunk.record[at]] >> np.uint64(24)
     crossing = np.isin(token, cut_tokens)
     spread = (token * np.uint64(MIX) >> np.uint64(20)) % np.uint64(buckets)
     single: dict[bytes, int] = {}
     crossed = []
-    for i, crosses, bucket in zip(at.tolist(), crossing.tolist(), spread.tolist()):
+    for i, everywhere, crosses, bucket in zip(at.tolist(), places, crossing.tolist(), spread.tolist()):
         owner, start, end = int(chunk.owner[i]), int(chunk.start[i]), int(chunk.end[i])
+        stands = list(zip(chunk.owner[everywhere].tolist(), chunk.start[everywhere].tolist()))
         if crosses:
             doc_id = int(chunk.ids[owner])
-            crossed.append((owner, start, end))
+            crossed.append((owner, start, end, stands))
             for string in strings_of(chunk.texts[owner], start, end):
                 if doc_id < single.get(string, doc_id + 1):
                     single[string] = doc_id
         else:
             for offset in np.flatnonzero(answered(bucket, end - start)).tolist():
-                yield owner, start + offset
+                for place, begin in stands:
+                    yield place, begin + offset
     earlier = {}
     for string in sorted(single):
         earlier[string] = bool(answered(xxh3_64_intdigest(string) % buckets, 1)[0])
-    for owner, start, end in crossed:
+    for owner, start, end, stands in crossed:
         doc_id = int(chunk.ids[owner])
         for offset, string in enumerate(strings_of(chunk.texts[owner], start, end)):
             if earlier[string] or single[string] < doc_id:
-                yield owner, start + offset
+                for place, begin in stands:
+                    yield place, begin + offset
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -478,10 +486,10 @@ def dedup_spans(documents: DataFrame, id_column: str = "doc_id", text_column: st
                 codes = codes_of(chunk, split_answers(told, 0))
                 found = removed_spans(chunk, codes, repeated_strings(
                     chunk, codes, cut_tokens, buckets, split_answers(told, 1)))
-            for doc_id, text, runs in zip(chunk.ids.tolist(), chunk.texts, found):
+            for doc_id, known, text, runs in zip(chunk.ids.tolist(), chunk.known.tolist(), chunk.texts, found):
                 ends = [0, *[b for _, b in runs]]
                 rest = b"".join(text[a:b] for a, b in zip(ends, [*[a for a, _ in runs], len(text)]))
-                ids.append(None if doc_id == NO_ID else doc_id)
+                ids.append(doc_id if known else None)
                 sizes.append(len(text))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 digests.append(hashlib.sha256(rest).hexdigest())

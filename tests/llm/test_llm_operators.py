@@ -598,3 +598,19 @@ def test_bound_of_the_sample_is_a_parameter(spark):
     labels = bad.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     scored = toxicity.find_toxic(bad, labels, most_chars=60).collect()
     assert len(scored) == 300 and all((r.predicted == 1) == (r.doc_id % 2 == 1) for r in scored)
+
+
+@pytest.mark.parametrize("records", [1_500_000, 7])
+def test_suffix_dedup_cuts_every_place_of_a_phrase_in_its_first_document(spark, monkeypatch, records):
+    """A phrase that is repeated in part goes in part wherever it stands: twice in one text, in
+    rows that share a doc_id, and under the least doc_id there is."""
+    monkeypatch.setattr(suffix_dedup, "RECORDS_PER_BUCKET", records)
+    letters = lambda n: "".join(map(chr, RNG.integers(97, 123, n)))
+    least, out = -(1 << 63), []
+    for i in range(20):
+        shared, around = letters(70), letters(40)
+        block = around + shared + around
+        out += [(least if i == 0 else i, letters(50) + shared + letters(30)), (100 + i, block + letters(60) + block),
+                (200 + i, letters(9) + shared[:60] + block), (200 + i, block + letters(20))]
+    found = suffix_dedup.dedup_report(spark.createDataFrame(rows_of(out), EXTRA))
+    assert sorted([tuple(r) for r in found.collect()], key=repr) == sorted(expected_removal(out), key=repr)
