@@ -10,7 +10,8 @@ from hemicycle.operators import codes
 from hemicycle.operators import cooccurrence as co
 from hemicycle.operators import vectors as vo
 from hemicycle.operators import words as wo
-from hemicycle.plans import analyses
+from hemicycle.plans import analyses, queries_vectors  # noqa: F401
+from hemicycle.plans.registry import QUERIES
 from hemicycle.session import scratch_path
 from hemicycle.sources import sketches, table
 
@@ -118,3 +119,13 @@ def test_series_of_a_word(spark):
     assert day["count"] == 2 and day["mean"] > 0
     groups = analyses.word_sentiment_series(texts, dates, "id", "t", "d", None, "g", "token", words).collect()
     assert {r.g: r["count"] for r in groups} == {"x": 2, "y": 1}
+
+
+def test_first_seen_vectors_are_the_stored_ones(spark, tmp_path):
+    """The registered query meets the texts with the embeddings table, whose vectors it returns."""
+    texts = [(1, "un deux"), (2, "deux trois"), (2, "deux trois"), (3, "quatre")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(1, [0.5, 0.25]), (2, [1.0, 2.0]), (9, [7.0, 7.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["first_seen_vector"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [("deux", 1, 0.75), ("trois", 2, 3.0), ("un", 1, 0.75)]
