@@ -4,11 +4,14 @@ import os
 import random
 import xml.etree.ElementTree as ET
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from archive_maker import tar_bytes, taz, transcript, write
 from pyspark.sql import functions as F
 
-from hemicycle.plans import ingest
+from hemicycle import session
+from hemicycle.plans import ingest, mapping
 from hemicycle.schemas import INTERVENTIONS
 from hemicycle.sources import archive_source, archives, files, storage, table, transcripts
 from hemicycle.streaming.ingest import ingest_available
@@ -443,3 +446,24 @@ def test_loads_leave_no_scratch_copies(spark, root, tmp_path):
     ingest.ingest_incremental(str(root), str(tmp_path / "t"))
     ingest.ingest_years(str(root), str(tmp_path / "t"), [2018])
     assert set(storage.names_in(f"{shared}/hemicycle")) == before
+
+
+def test_python_workers_hold_a_bounded_number_of_bytes(spark):
+    """Rows of long texts reach a worker a few MB at a time, and archives leave it a few at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    if not spark.sparkContext.getConf().contains(key):
+        session.prepare(spark)
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 1000).alias("x"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+    spark.conf.set(key, before)
+    assert sum(got) > 29_000_000 and max(got) < 9_000_000
+    files = pd.DataFrame({"path": [f"p{i}" for i in range(40)], "xml": ["<P/>"] * 40})
+    made = list(mapping._taz(iter([files])))
+    assert max(map(len, made)) <= mapping.FILES_AT_ONCE and pd.concat(made)["path"].tolist() == files["path"].tolist()
