@@ -24,6 +24,8 @@ from hemicycle.operators.vectors import similarity_to
 
 CODE, ROTATIONS, SEED = "code", 8, 42
 SHARE, LEAST = 0.1, 50
+#: Vectors that are multiplied at a time.
+ROWS_AT_ONCE = 512
 #: Rank error of the estimate at the edge, as a part of all rows: 1 / ACCURACY.
 ACCURACY = 10_000
 
@@ -51,10 +53,11 @@ def with_codes(df: DataFrame, vector: str, dimension: int, out: str = CODE,
 
     @F.arrow_udf("binary")
     def code(vectors: pa.Array) -> pa.Array:
-        at, matrix = _usable(vectors, dimension)
         codes: list[bytes | None] = [None] * len(vectors)
-        for place, row in zip(at.tolist(), np.packbits(matrix @ planes.T > 0, axis=1)):
-            codes[place] = row.tobytes()
+        for first in range(0, len(vectors), ROWS_AT_ONCE):
+            at, matrix = _usable(vectors.slice(first, ROWS_AT_ONCE), dimension)
+            for place, row in zip((at + first).tolist(), np.packbits(matrix @ planes.T > 0, axis=1)):
+                codes[place] = row.tobytes()
         return pa.array(codes, pa.binary())
 
     return df.withColumn(out, code(F.col(vector)))
@@ -69,7 +72,7 @@ def estimates(coded: DataFrame, key: str, query: list[float], code: str = CODE,
     schema = T.StructType([coded.schema[key], T.StructField("estimate", T.FloatType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             bits = np.unpackbits(packed, axis=1, count=len(weights))
             # a set bit counts for its coordinate, a clear one against it

@@ -129,3 +129,21 @@ def test_first_seen_vectors_are_the_stored_ones(spark, tmp_path):
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = QUERIES["first_seen_vector"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in found.collect()) == [("deux", 1, 0.75), ("trois", 2, 3.0), ("un", 1, 0.75)]
+
+
+def test_codes_are_computed_a_few_vectors_at_a_time(spark, monkeypatch):
+    """As wide as one slice, or in slices, codes and estimates are the same."""
+    vectors = RNG.normal(size=(200, 6)).tolist()
+    rows = [(i, v if i % 9 else None) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "k int, v array<double>").coalesce(1)
+
+    def found():
+        coded = codes.with_codes(df, "v", 6)
+        near = codes.estimates(coded, "k", vectors[0])
+        return {r.k: r.code for r in coded.collect()}, {r.k: round(r.estimate, 4) for r in near.collect()}
+
+    whole = found()
+    monkeypatch.setattr(codes, "ROWS_AT_ONCE", 7)
+    assert found() == whole and sum(c is None for c in whole[0].values()) == 23
+    planes, seen = codes.axes(6), np.array(vectors)
+    assert all(c is None or c == np.packbits(seen[k] @ planes.T > 0).tobytes() for k, c in whole[0].items())
