@@ -147,3 +147,17 @@ def test_codes_are_computed_a_few_vectors_at_a_time(spark, monkeypatch):
     assert found() == whole and sum(c is None for c in whole[0].values()) == 23
     planes, seen = codes.axes(6), np.array(vectors)
     assert all(c is None or c == np.packbits(seen[k] @ planes.T > 0).tobytes() for k, c in whole[0].items())
+
+
+def test_pairs_move_once_and_count_both_directions(spark):
+    """Pairs of words are counted in one exchange; a word beside itself counts twice."""
+    df = spark.createDataFrame([(1, "a b a a"), (2, "b a c"), (3, "c b"), (4, "c x"), (5, None)], "id int, t string")
+    counts = co.pair_counts(df, "t", window=2, min_count=3)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 2
+    got = {(r.word, r.context): r.n for r in counts.collect()}
+    assert got == {("a", "b"): 4, ("b", "a"): 4, ("a", "a"): 4, ("a", "c"): 1, ("c", "a"): 1, ("b", "c"): 2, ("c", "b"): 2}
+    found = {(r.word, r.context): r.a for r in co.mutual_information(counts).collect()}
+    margins = {w: sum(n for (x, _), n in got.items() if x == w) for w in "abc"}
+    want = {k: math.log(n * sum(got.values()) / (margins[k[0]] * margins[k[1]])) for k, n in got.items()}
+    assert found == pytest.approx({k: a for k, a in want.items() if a > 0})

@@ -450,11 +450,7 @@ def test_loads_leave_no_scratch_copies(spark, root, tmp_path):
 
 def test_python_workers_hold_a_bounded_number_of_bytes(spark):
     """Rows of long texts reach a worker a few MB at a time, and archives leave it a few at a time."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.unset(key)
-    if not spark.sparkContext.getConf().contains(key):
-        session.prepare(spark)
+    assert session.prepare(spark) is spark
     long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 1000).alias("x"))
 
     def sizes(batches):
@@ -462,7 +458,6 @@ def test_python_workers_hold_a_bounded_number_of_bytes(spark):
             yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
 
     got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
-    spark.conf.set(key, before)
     assert sum(got) > 29_000_000 and max(got) < 9_000_000
     files = pd.DataFrame({"path": [f"p{i}" for i in range(40)], "xml": ["<P/>"] * 40})
     made = list(mapping._taz(iter([files])))
