@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hemicycle.operators.vocabulary import known_words, placed
 from hemicycle.session import checkpointed
 
 NEGATIVES, RATE, LEAST_RATE = 10, 0.2, 0.0001
@@ -111,8 +112,7 @@ def train(rows: DataFrame, tokens: str, vector_size: int, window: int, min_count
           partitions: int) -> DataFrame:
     """(word, vector) of every word that occurs ``min_count`` times."""
     context = rows.sparkSession.sparkContext
-    known = rows.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("c")).where(
-        F.col("c") >= min_count).orderBy(F.desc("c"), "word").toArrow()
+    known = known_words(rows, tokens, min_count)
     total, size = pc.sum(known["c"]).as_py() or 0, known.num_rows
     if not size:
         raise ValueError(f"no word occurs {min_count} times")
@@ -133,12 +133,7 @@ def train(rows: DataFrame, tokens: str, vector_size: int, window: int, min_count
             of, by = fresh() if state is None else (x.copy() for x in state.value)
             trainer, done = _Trainer(of, by, counts, window, rng), 0
             for batch in batches:
-                column = batch.column(0)
-                spelled = column.flatten().dictionary_encode()
-                # of each word in the batch, its place in the vocabulary
-                places = pc.index_in(spelled.dictionary, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
-                ids = places[spelled.indices.to_numpy(zero_copy_only=False)] if len(spelled) else np.zeros(0, np.int32)
-                text = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                ids, text = placed(batch.column(0), words)
                 real = ids >= 0
                 ids, text, before = ids[real], text[real], done
                 trainer.learn(ids, text, lambda at: max(

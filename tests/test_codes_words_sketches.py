@@ -161,3 +161,24 @@ def test_pairs_move_once_and_count_both_directions(spark):
     margins = {w: sum(n for (x, _), n in got.items() if x == w) for w in "abc"}
     want = {k: math.log(n * sum(got.values()) / (margins[k[0]] * margins[k[1]])) for k, n in got.items()}
     assert found == pytest.approx({k: a for k, a in want.items() if a > 0})
+
+
+def test_margins_come_from_the_texts(spark, monkeypatch):
+    """Margins are the sums of the counts, without a pair in any exchange; stretches and parts
+    change nothing."""
+    texts = [(" ".join(f"w{j}" for j in RNG.geometric(0.2, 40)),) for _ in range(30)]
+    df = spark.createDataFrame([*texts, (None,), ("",), ("w1",), ("once w1 w1",)], "t string").repartition(3)
+    counts = {(r.word, r.context): r.n for r in co.pair_counts(df, "t", 4, 3).collect()}
+    monkeypatch.setattr(co, "PAIRS", 500)
+    monkeypatch.setattr(co, "PLACES", 11)
+    cut = co.pair_counts(df, "t", 4, 3)
+    assert {(r.word, r.context): r.n for r in cut.collect()} == counts and cut.count() == len(counts)
+    sums = {}
+    for (word, _), n in counts.items():
+        sums[word] = sums.get(word, 0) + n
+    margins = co.pair_margins(df, "t", 4, 3)
+    assert {r.word: r.m for r in margins.collect()} == sums and not any(w == "once" for w in sums)
+    known = co.mutual_information(cut, margins)
+    assert known._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    found = [{(r.word, r.context): r.a for r in x.collect()} for x in (known, co.mutual_information(cut))]
+    assert found[0] == pytest.approx(found[1]) and found[0]
