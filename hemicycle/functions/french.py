@@ -143,6 +143,14 @@ def may_stem_to(term: str, between: str = "") -> str:
     return "(?:" + "|".join(sorted({between.join(x) for x in starts})) + ")"
 
 
+def may_begin_with(term: str) -> list[str]:
+    """The letters that a word of this stem may begin with, under the same rules."""
+    first = {term[0]} | {x[0] for _, rules in STEPS for old, _, new in [*rules, ("trice", 0, "ter")]
+                         for kept in range(1, len(new) + 1) if term == new[:kept] for x in (old, new)}
+    accented = {a for a, plain in zip(*ACCENTS) if plain in first}
+    return sorted(first | accented)
+
+
 def may_contain(stems: list[str]) -> str:
     """Pattern of the whole runs of letters, digits and apostrophes in a lower-cased text whose
     token may have one of the stems."""
@@ -156,8 +164,11 @@ def french_tokens(text: Column) -> Column:
     # elisions and apostrophes go from the whole text at once: two passes, none per word
     inside = r"[\p{L}\p{N}'’]"
     elision = f"(?<!{inside})(?:" + "|".join(ELIDED) + f")['’](?={inside})"
-    joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), elision, "")
-    return F.array_remove(F.split(F.regexp_replace(joined, "['’]", ""), r"[^\p{L}\p{N}]+"), "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # only texts that have an apostrophe are looked through for one
+    signed = F.contains(low, F.lit("'")) | F.contains(low, F.lit("’"))
+    joined = F.when(signed, F.translate(F.regexp_replace(low, elision, ""), "'’", "")).otherwise(low)
+    return F.array_remove(F.split(joined, r"[^\p{L}\p{N}]+"), "")
 
 
 def query_tokens(query: str) -> list[str]:

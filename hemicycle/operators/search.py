@@ -9,16 +9,24 @@ enter the plan as literals.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hemicycle.functions import french
 from hemicycle.functions import text as tx
+from hemicycle.functions.vectors import let
+from hemicycle.session import checkpointed
 
 FRENCH, TOKEN = "french", "token"
+#: Repeated keys up to which they are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def query_words(query: str) -> list[str]:
@@ -43,8 +51,19 @@ class Term:
         """A token is the term's n-th word."""
         if self.mode == TOKEN:
             return token == F.lit(self.words[n])
-        # only words that begin like the stem are stemmed
-        return token.rlike("^" + french.may_stem_to(self.words[n])) & (french.stem(token) == F.lit(self.words[n]))
+        # only words that begin like the stem are stemmed; most are told apart by their first letter
+        return self.likely(token, n) & self.fits(token, n)
+
+    def likely(self, token: Column, n: int) -> Column:
+        """In French mode: a token begins like the term's n-th word."""
+        first = F.substring(token, 1, 1).isin(*french.may_begin_with(self.words[n]))
+        return first & token.rlike("^" + french.may_stem_to(self.words[n]))
+
+    def fits(self, token: Column, n: int) -> Column:
+        """In French mode: a token has the stem of the term's n-th word, which may be that word itself."""
+        word = self.words[n]
+        stemmed = french.stem(token) == F.lit(word)
+        return (token == F.lit(word)) | stemmed if french.light_stem(word) == word else stemmed
 
 
 def tokens_of(text: Column, mode: str) -> Column:
@@ -132,9 +151,15 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
 def positions(tokens: Column, wanted: Term) -> Column:
     """Sorted 1-based places at which the term starts. The first word is looked for, the others
     only beside its hits."""
-    first = F.filter(
-        F.transform(tokens, lambda t, i: F.when(wanted.matches(t, 0), i + 1)), lambda p: p.isNotNull()
-    )
+    def places(matches: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(tokens, lambda t, i: F.when(matches(t), i + 1)), lambda p: p.isNotNull())
+
+    if wanted.mode == TOKEN:
+        first = places(lambda t: wanted.matches(t, 0))
+    else:
+        # of a text, every likely word is stemmed once
+        likely = F.array_distinct(F.filter(tokens, lambda t: wanted.likely(t, 0)))
+        first = let(F.filter(likely, lambda t: wanted.fits(t, 0)), lambda found: places(lambda t: F.array_contains(found, t)))
 
     def whole(p: Column) -> Column:
         rest = [wanted.matches(F.get(tokens, p - 1 + place), n) for n, place in enumerate(wanted.places) if n]
@@ -229,10 +254,41 @@ def near_word_pairs(
     return found.join(listed, "_term").select("word", key)
 
 
+def word_counts(df: DataFrame, key: str, words: Column) -> DataFrame:
+    """(key, word, n): how often each word occurs in the rows of a key.
+
+    Words are counted inside their row and do not travel; only the rows of keys
+    that occur more than once (NULL is one key) meet in an exchange, as counts.
+    """
+    repeated = checkpointed(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    n = repeated.count()
+
+    schema = T.StructType([df.schema[key], T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled = batch.column(1).flatten().dictionary_encode()
+            rows = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            met, counts = np.unique((rows << 32) | spelled.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(met >> 32)), spelled.dictionary.take(pa.array(met & 0xFFFFFFFF)), pa.array(counts)],
+                names=[key, "word", "n"])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select(key, words.alias("_words")).mapInArrow(run, schema)
+
+    if not n:
+        return counted(df)
+    known = F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    more = counted(df.join(known, same, "left_semi")).groupBy(key, "word").agg(F.sum("n").alias("n"))
+    return counted(df.join(known, same, "left_anti")).unionByName(more)
+
+
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, n): French terms of each text. Words are counted first; every distinct word
     of the table is then stemmed once, and its stem joined back."""
-    counted = df.select(key, F.explode(french.french_words(F.col(text))).alias("_word")).groupBy(key, "_word").agg(
-        F.count("*").alias("_n"))
+    counted = word_counts(df, key, french.french_words(F.col(text))).select(
+        key, F.col("word").alias("_word"), F.col("n").alias("_n"))
     stems = counted.select("_word").distinct().select("_word", french.stem(F.col("_word")).alias("term"))
     return counted.join(stems, "_word").groupBy(key, "term").agg(F.sum("_n").alias("n"))
