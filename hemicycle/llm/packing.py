@@ -14,7 +14,8 @@ at the ends of tasks. A task's memory is its open bins.
 The tokenizer drops white space between words, so a text is the chain of its blank-separated
 chunks, and a worker remembers the ids of chunks it has met, in two generations of bounded
 size: what is used moves to the young one, and the old one is dropped when the young is full.
-This is only a speed-up.
+This is only a speed-up. Spark reuses its workers, so a worker that gets no other packing task in
+``IDLE_SECONDS`` drops it all: the stages that follow do not hold it.
 
 Defined cases: a null text is an empty one, and an empty text is the end id alone; each row
 is a document of its own, also if doc_id is null or repeated; an empty table gives no rows.
@@ -22,9 +23,11 @@ is a document of its own, also if doc_id is null or repeated; an empty table giv
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import sys
+import threading
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +42,8 @@ CAPACITY, END_ID = 2048, 0
 OPEN_BINS, PIECES_PER_TASK = 2048, 100_000
 #: Bytes of one generation of remembered chunks; a worker holds two.
 GENERATION_BYTES = 96 << 20
+#: Seconds after its last packing task in which a worker keeps what it remembers.
+IDLE_SECONDS = 2.0
 #: Bytes of a remembered chunk beside its letters and ids: two objects and a place in a table.
 ENTRY_BYTES = 200
 #: Letters whose lower case and composed form are themselves or one letter away.
@@ -112,8 +117,11 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker: it lives as long as the worker that Spark reuses."""
+    """One encoder per Python worker, kept for its next task; :func:`leave` ends its use."""
     kept = sys.modules["tokenizers"].__dict__ if "tokenizers" in sys.modules else {}
+    waiting = kept.pop("_chunk_timer", None)
+    if waiting is not None:
+        waiting.cancel()
     found = kept.get("_chunk_encoder")
     if found is None or found[0] != path:
         found = (path, ChunkEncoder(path))
@@ -121,6 +129,22 @@ def encoder(path: str) -> ChunkEncoder:
     return found[1]
 
 
+def leave(seconds: float = IDLE_SECONDS) -> None:
+    """The worker's encoder goes, with all it remembers, unless a task asks for it in time."""
+    kept = sys.modules["tokenizers"].__dict__
+
+    def forget() -> None:
+        if kept.get("_chunk_timer") is timer:
+            kept.pop("_chunk_timer", None)
+            kept.pop("_chunk_encoder", None)
+            gc.collect()  # the encoder and its memory name each other
+
+    timer = threading.Timer(seconds, forget)
+    timer.daemon = True
+    kept["_chunk_timer"] = timer
+    timer.start()
+
+
 def cut_pieces(rows: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, text) to one row per piece: doc_id, piece, start, length, ids_crc32[, ids]."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -128,8 +152,7 @@ def cut_pieces(rows: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_i
     schema += ", ids array<long>" if with_ids else ""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+    def pieces(batches: Iterator[pa.RecordBatch], encode: Callable[[str], bytes]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -151,6 +174,13 @@ def cut_pieces(rows: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_i
             yield pa.RecordBatch.from_arrays(
                 columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
+        try:
+            yield from pieces(batches, encode)
+        finally:
+            leave()
+
     return rows.mapInArrow(run, schema)
 
 

@@ -1,9 +1,13 @@
 """The pipeline: each stage judged on its own input."""
 
+import time
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from hemicycle.llm import language
+from hemicycle.llm import language, packing
 from hemicycle.llm.common import cut
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,3 +64,38 @@ def test_declared_language_decides_mixed_texts(spark, tmp_path):
 def test_run_gives_all_rows(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_each_stage_prepares_its_session(spark, monkeypatch):
+    """Also a stage run by itself hands rows to Python workers by bytes."""
+    class Prepared(Exception):
+        pass
+
+    def prepare(session):
+        raise Prepared
+
+    monkeypatch.setattr(corpus_pipeline, "prepare", prepare)
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Prepared):
+            stage(spark, docs, FOLDER)
+
+
+def test_workers_forget_chunks_after_packing(spark):
+    """Spark reuses its workers; those of other stages do not hold what packing remembered."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+
+    def holders():
+        def run(batches):
+            import sys
+
+            for batch in batches:
+                held = "_chunk_encoder" in vars(sys.modules.get("tokenizers", sys))
+                time.sleep(0.2)  # so that each task has a worker of its own
+                yield pa.RecordBatch.from_arrays([pa.array([held] * batch.num_rows)], ["held"])
+
+        return spark.range(0, 4, 1, 4).mapInArrow(run, "held boolean").where("held").count()
+
+    packing.cut_pieces(docs, corpus_pipeline.TOKENIZER).count()
+    time.sleep(packing.IDLE_SECONDS + 1)
+    assert holders() == 0
