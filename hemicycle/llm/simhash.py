@@ -423,7 +423,7 @@ def met_in_groups(prints: DataFrame, words: int, segments: int, distance: int) -
         .mapInArrow(group_links(words, segments, distance, STEP, 3), CROWDED_SCHEMA)
     )
     both = met.where("b IS NOT NULL").unionByName(cells)
-    return cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def links_of(distinct: DataFrame, words: int, segments: int, distance: int) -> DataFrame:

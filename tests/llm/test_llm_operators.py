@@ -10,6 +10,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -489,6 +490,66 @@ def test_components_of_hubs(spark, monkeypatch):
         (200, 200), (201, 200)}
 
 
+def roots_of(links):
+    """The least node that each node of the links reaches."""
+    root = {x: x for link in links for x in link}
+    for a, b in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {x: new if r == old else r for x, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("piece", [4, 1 << 16])
+def test_components_of_random_links(spark, monkeypatch, piece):
+    """Links that repeat, lead both ways or to their own node; nodes that are words, numbers or texts."""
+    monkeypatch.setattr(components, "PIECE", piece)
+    drawn = [(int(a), int(b)) for a, b in np.random.default_rng(8).integers(-150, 150, (220, 2))]
+    drawn += [(b, a) for a, b in drawn[:30]] + drawn[:30]
+    for kind, node in (("long", int), ("string", str), ("array<long>", lambda x: (x, -x))):
+        links = [(node(a), node(b)) for a, b in drawn]
+        found = components.components(spark.createDataFrame(links, f"a {kind}, b {kind}")).collect()
+        got = {(tuple(r.node), tuple(r.root)) if kind[0] == "a" else (r.node, r.root) for r in found}
+        want = roots_of([x for x in links if x[0] != x[1]])
+        assert got == set(want.items()) and len(found) == len(want)
+
+
+def test_stars_of_a_task_are_bounded(monkeypatch):
+    """A task gives what it holds when it holds more than PIECE links; what is connected stays so."""
+    monkeypatch.setattr(components, "PIECE", 10)
+    links = [(int(a), int(b)) for a, b in np.random.default_rng(9).integers(0, 400, (300, 2))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in links[at: at + 7]]) for i in (0, 1)], ["a", "b"])
+               for at in range(0, len(links), 7)]
+    given = list(components.local_stars(iter(batches)))
+    assert len(given) > 1 and max(x.num_rows for x in given) <= 10 + 7
+    stars = [(r["a"], r["b"]) for x in given for r in x.to_pylist()]
+    assert all(a > b for a, b in stars)
+    want = roots_of([x for x in links if x[0] != x[1]])
+    assert roots_of(stars) == {x: r for x, r in want.items()}
+
+
+def test_components_take_few_tasks(spark):
+    """The driver keeps a record of every task: a path of 400 nodes takes a few stages of all partitions."""
+    context, held = spark.sparkContext, {k: spark.conf.get(k) for k in (
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long").repartition(40).cache()
+    links.count()
+    for k, v in zip(held, ("40", "false")):
+        spark.conf.set(k, v)
+    try:
+        context.setJobGroup("few tasks", "")
+        found = components.components(links).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links.unpersist()
+    assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(401)}
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    assert 0 < tasks < 40 * 30, tasks
+
+
 def test_mixing_draws_within_budget(documents, texts, empty):
     plan = {r.source: r for r in mixing.plan_mix(documents).collect()}
     drawn = mixing.mix(documents).collect()
