@@ -114,13 +114,13 @@ def stars(links: DataFrame, hubs: int | None = None, n: int = 0) -> DataFrame:
     """One large-star and one small-star step on (a, b) with a > b, ``n`` and ``hubs`` if known."""
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(
-        "a", F.least("a", "m").alias("m"), "n")
+    # stored: a join with a table, not with sums, has its large partitions split
+    least = gathered(cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(
+        "a", F.least("a", "m").alias("m"), "n")), 2 * n)
     if hubs == 0:
         told = turned.join(least, "a").select("b", "m")
     else:
         # a hub's neighbours are not gathered: they get the hub's minimum where they are
-        least = cut(least)
         top = least.where(F.col("n") > HUB).select("a", F.col("m").alias("hub"))
         if hubs is not None and hubs <= BROADCAST_ROWS:
             top = F.broadcast(top)
