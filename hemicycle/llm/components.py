@@ -84,7 +84,7 @@ def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gathered(links: DataFrame, n: int = 0) -> DataFrame:
-    """``links``, ``n`` in number and stored, read by as few tasks as keep all cores at work."""
+    """``links``, or what is made of them, ``n`` rows, by as few tasks as keep all cores at work."""
     tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-n // PIECE))
     return links.coalesce(tasks)
 
@@ -94,16 +94,16 @@ def contracted(links: DataFrame, n: int = 0) -> DataFrame:
     return cut(gathered(links, n).mapInArrow(local_stars, links.schema))
 
 
-def state(links: DataFrame) -> Row:
-    """Of links (a, b) with a > b: ``n`` links, ``hubs`` of over ``HUB`` of them, and nodes that are ``open``,
+def state(links: DataFrame, n: int = 0) -> Row:
+    """Of links (a, b) with a > b, some ``n`` of them: ``n`` links, ``hubs`` of over ``HUB`` of them, and nodes that are ``open``,
     in links to two smaller nodes or to smaller and larger ones. Where none is, all links
     lead to the least node of their component."""
     ends = F.array(
         F.struct(F.col("a").alias("node"), F.col("b").alias("below")),
         F.struct(F.col("b").alias("node"), F.lit(None).cast(links.schema["b"].dataType).alias("below")))
-    nodes = links.select(F.inline(ends)).groupBy("node").agg(
+    nodes = gathered(links.select(F.inline(ends)).groupBy("node").agg(
         F.count("*").alias("links"), F.count("below").alias("downward"),
-        (F.min("below") != F.max("below")).alias("two"))
+        (F.min("below") != F.max("below")).alias("two")), 2 * n)
     is_open = (F.col("downward") > 0) & (F.col("two") | (F.col("links") > F.col("downward")))
     return nodes.agg(
         F.coalesce(F.sum("downward"), F.lit(0)).alias("n"), F.count_if(F.col("links") > HUB).alias("hubs"),
@@ -115,8 +115,8 @@ def stars(links: DataFrame, hubs: int | None = None, n: int = 0) -> DataFrame:
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     # stored: a join with a table, not with sums, has its large partitions split
-    least = gathered(cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(
-        "a", F.least("a", "m").alias("m"), "n")), 2 * n)
+    least = cut(gathered(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(
+        "a", F.least("a", "m").alias("m"), "n"), 2 * n))
     if hubs == 0:
         told = turned.join(least, "a").select("b", "m")
     else:
@@ -127,7 +127,7 @@ def stars(links: DataFrame, hubs: int | None = None, n: int = 0) -> DataFrame:
         upward = turned.join(top, "a", "left")
         told = upward.where("hub IS NULL").join(least.where(F.col("n") <= HUB), "a").select("b", "m").unionByName(
             upward.where("hub IS NOT NULL").select("b", F.col("hub").alias("m")))
-    large = gathered(cut(told.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")), n)
+    large = cut(gathered(told.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b"), n))
     low = large.groupBy("a").agg(F.min("b").alias("m"))
     # the link to the least neighbour stays, those to others go from there to the least
     return large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
@@ -139,7 +139,7 @@ def components(links: DataFrame) -> DataFrame:
     now = contracted(cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     at = state(now)
     while at.open:
-        now = contracted(cut(stars(now, at.hubs, at.n)), at.n)
-        at = state(now)
+        now = contracted(cut(gathered(stars(now, at.hubs, at.n), at.n)), at.n)
+        at = state(now, at.n)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

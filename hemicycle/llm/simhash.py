@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemicycle.llm.common import cut, hinted, wanted
-from hemicycle.llm.components import components
+from hemicycle.llm.components import components, roots
 from hemicycle.llm.line_dedup import ROW_HASH, ROW_ID, keyed
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 2, 2, 42
@@ -57,6 +57,10 @@ STAGE_DISTANCE = 78
 STEP = 4
 #: Rows of a group that are compared in one task.
 CROWD = 2048
+#: Fingerprints that a task makes rows for groups of: a hundred of each.
+SPREAD = 1 << 14
+#: Rows of a bucket up to which all its pairs are compared at once, with those of other buckets.
+FEW = 64
 CROWDED_SCHEMA = "a array<long>, b array<long>, part short, rest long, inside short"
 CROWDED_NAMES = ["a", "b", "part", "rest", "inside"]
 #: Shingle sets of a block of candidates: bytes, and rows.
@@ -83,14 +87,23 @@ def shingle_hashes(text: bytes, size: int, seed: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8")
 
 
-def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
-    """Another hash of the same shingles, for the fingerprints after the first."""
-    if number == 0:
-        return hashes
-    x = hashes ^ np.uint64((0x9E3779B97F4A7C15 * number) & (2**64 - 1))
+def mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` rows of hashes of the same shingles: those given, and others made of them."""
+    x = hashes ^ (np.arange(words, dtype="<u8")[:, None] * np.uint64(0x9E3779B97F4A7C15))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+        x[1:] = (x[1:] ^ (x[1:] >> np.uint64(shift))) * np.uint64(factor)
+    x[1:] ^= x[1:] >> np.uint64(31)
+    return x
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of hashes: how many of a row set each of the 64 bits."""
+    found = np.zeros((len(hashes), 64), np.int64)
+    for at in range(0, hashes.shape[1], 255):  # their sums fit an octet
+        some = np.ascontiguousarray(hashes[:, at: at + 255], "<u8")
+        bits = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").reshape(len(some), -1, 64)
+        found += np.add.reduce(bits, axis=1, dtype=np.uint8)
+    return found
 
 
 def shingle_set(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
@@ -102,13 +115,11 @@ def fingerprint(text: bytes, size: int = SHINGLE, words: int = 1, seed: int = SE
                 repeats: bool = True) -> list[int]:
     """Signed 64-bit words: a bit is 1 if set in over half the hashes. Without ``repeats`` each
     shingle votes once."""
-    n, votes = 0, np.zeros((words, 64), np.int64)
+    n, found = 0, np.zeros((words, 64), np.int64)
     for hashes in shingle_hashes(text, size, seed) if repeats else [shingle_set(text, size, seed)]:
         n += len(hashes)
-        for i in range(words):
-            octets = mixed(hashes, i).astype("<u8").view(np.uint8).reshape(-1, 8)
-            votes[i] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
+        found += votes(mixed(hashes, words))
+    return np.packbits(2 * found > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
 def from_texts(rows: DataFrame, name: str, derive: Callable[[bytes], list[int]]) -> DataFrame:
@@ -195,6 +206,19 @@ def forest(matrix: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of links, of ``a`` and ``b`` among ``n``, that connect what all connect, without a
+    circle: each part takes its first link to another, and what is joined is a part again."""
+    root, needed = np.arange(n), [np.zeros(0, np.int64)]
+    while len(apart := np.flatnonzero(root[a] != root[b])):
+        x, y, first = root[a[apart]], root[b[apart]], np.full(n, len(a))
+        np.minimum.at(first, x, apart)
+        np.minimum.at(first, y, apart)
+        needed.append(np.unique(first[first < len(a)]))
+        root = roots(n, root[a[needed[-1]]], root[b[needed[-1]]])[root]
+    return np.concatenate(needed)
+
+
 def bucket_links(words: int, distance: int, most: int):
     """mapInArrow function over rows (bucket, rest, f) sorted by bucket and rest.
 
@@ -287,10 +311,11 @@ def group_links(words: int, segments: int, distance: int, step: int, keys: int =
     in front.
 
     Rows of one key are the group of ``step`` wildcards; the bucket of each wildcard
-    is found among them by the other bits inside. Gives links (a, b) of fingerprints that
-    share a bucket: the shortest that connect them. A link is given only in the first bucket that its ends share: in a later
-    one they are connected already, through links no longer than theirs. So members that meet
-    in hundreds of buckets are not linked anew in each. A group of over ``most`` rows gives its
+    is found among them by the other bits inside. Gives links (a, b) of fingerprints of a group that
+    connect all pairs in a bucket within the distance. A pair counts only in the first bucket that its ends share: in a later
+    one they are connected already. So members that meet in hundreds of buckets are not linked anew
+    in each. Buckets of up to ``FEW`` rows are compared together, without a step for each bucket: chance
+    alone makes their number grow with the square of the rows. A group of over ``most`` rows gives its
     rows with b null instead. Memory: one batch and the open group, ``most`` at most.
     """
 
@@ -310,23 +335,44 @@ def group_links(words: int, segments: int, distance: int, step: int, keys: int =
             [listed(f), pa.nulls(len(f), pa.list_(pa.int64())), pa.array(part.astype(np.int16)), pa.array(rest),
              pa.array(inside.astype(np.int16))], CROWDED_NAMES)
 
+    def near(f: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of a bucket that are within the distance, and share no bucket before."""
+        bits = np.zeros(len(i), np.uint16)
+        for word in range(words):
+            bits += np.bitwise_count(f[i, word] ^ f[j, word])
+            if word == words // 2 and words > 2:  # most that are apart are so in half the words
+                some = bits <= distance
+                i, j, bits, bucket = i[some], j[some], bits[some], bucket[some]
+        some = bits <= distance
+        i, j, bucket = i[some], j[some], bucket[some]
+        some = first_bucket(f[i], f[j], segments) == bucket
+        return i[some], j[some]
+
     def linked(part: np.ndarray, group: np.ndarray, inside: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
+        """Pairs of rows, numbered: all that are near in a bucket of few rows, the shortest that connect it in others."""
         for bit in range(step):
             bucket = group << step | inside & ~(1 << bit)
             order = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             size = np.diff(at, append=len(order))
-            two = at[size == 2]
-            a, b = f[order[two]], f[order[two + 1]]
-            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= distance
-            near &= first_bucket(a, b, segments) == part[order[two]] + bit
-            yield a[near], b[near]
-            for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
-                rows = f[order[s: s + n]]
-                links = np.array(forest(rows, distance), np.int64).reshape(-1, 2)
-                a, b = rows[links[:, 0]], rows[links[:, 1]]
-                new = first_bucket(a, b, segments) == part[order[s]] + bit
-                yield a[new], b[new]
+            few = np.repeat(np.where(size <= FEW, at + size, 0), size)  # where a row's bucket ends
+            for d in range(1, min(FEW, int(size.max()))):
+                i = np.flatnonzero(few > np.arange(d, len(order) + d))
+                if not len(i):
+                    break
+                i, j = order[i], order[i + d]
+                yield near(f, i, j, part[i] + bit)
+            for s, n in zip(at[size > FEW].tolist(), size[size > FEW].tolist()):
+                rows = order[s: s + n]
+                links = rows[np.array(forest(f[rows], distance), np.int64).reshape(-1, 2)]
+                yield near(f, links[:, 0], links[:, 1], part[links[:, 0]] + bit)
+
+    def joined(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the links that are needed to connect what all connect."""
+        a, b = (np.concatenate(side) for side in zip(*links))
+        nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        needed = spanning(len(nodes), number[: len(a)], number[len(a):])
+        return a[needed], b[needed]
 
     def closed(pieces: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         """Links of whole groups."""
@@ -339,15 +385,15 @@ def group_links(words: int, segments: int, distance: int, step: int, keys: int =
             yield crowd(tuple(x[size > most] for x in (part, rest, cell, inside, f)))
         shared = (size > 1) & (size <= (most or size))
         if shared.any():
-            held, n = [], 0
-            for a, b in linked(part[shared], group[shared], inside[shared], f[shared]):
-                held.append((a, b))
-                n += len(a)
+            held, n, f = [], 0, f[shared]
+            for links in linked(part[shared], group[shared], inside[shared], f):
+                held.append(links)
+                n += len(links[0])
                 if n >= PIECE:
-                    yield table(*(np.concatenate(side) for side in zip(*held)))
-                    held, n = [], 0
-            if n:
-                yield table(*(np.concatenate(side) for side in zip(*held)))
+                    held, n = [joined(held)], 0
+            if held and any(len(a) for a, _ in held):
+                a, b = joined(held)
+                yield table(f[a], f[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[tuple[np.ndarray, ...]] = []
@@ -406,7 +452,8 @@ def met_in_groups(prints: DataFrame, words: int, segments: int, distance: int) -
     Groups of over ``CROWD`` rows are dealt in blocks, and every two blocks meet in a task: the
     shortest links of the whole are among the shortest links of the parts.
     """
-    split = parts(prints, words, segments, STEP)
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // SPREAD))
+    split = parts(prints.repartition(tasks), words, segments, STEP)
     met = cut(
         split.repartition("part", "rest").sortWithinPartitions("part", "rest")
         .mapInArrow(group_links(words, segments, distance, STEP, 2, CROWD), CROWDED_SCHEMA))

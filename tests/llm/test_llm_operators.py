@@ -366,6 +366,61 @@ def test_links_of_long_fingerprints(spark, batch):
     assert roots(given) == roots(wanted) and len(wanted) > 60
 
 
+def in_groups(prints, words, segments, step):
+    """Rows (part, rest, inside, f) of whole fingerprints, sorted, as batches."""
+    rows = sorted(
+        (64 * (word * segments + number) + at, seg & ~run, (seg & run) >> at, f)
+        for f in prints for word in range(words) for number, (low, width) in enumerate(simhash.bounds(segments))
+        for seg in [(f[word] >> low) & ((1 << width) - 1)] for at in range(0, width, step)
+        for run in [((1 << step) - 1) << at])
+    signed = [[w - (1 << 64) if w >> 63 else w for w in f] for *_, f in rows]
+    columns = [pa.array([r[0] for r in rows], pa.int16()), pa.array([r[1] for r in rows], pa.int64()),
+               pa.array([r[2] for r in rows], pa.int16()), pa.array(signed, pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(columns, names=["part", "rest", "inside", "f"]).to_batches(500)
+
+
+@pytest.mark.parametrize("few", [64, 4])
+def test_buckets_that_meet_by_chance_are_compared_together(monkeypatch, few):
+    """Many buckets of a few fingerprints: no search for shortest links in each of them."""
+    words, segments, distance, step, rng = 3, 8, 48, 4, np.random.default_rng(5)
+    prints = [tuple(int(x) for x in rng.integers(0, 1 << 64, words, dtype=np.uint64)) for _ in range(600)]
+    for f in prints[:30]:
+        for _ in range(4):
+            prints.append(tuple(w ^ (1 << int(b)) ^ (1 << int(c)) for w, b, c in zip(f, *rng.integers(0, 64, (2, words)))))
+    searched, forest = [], simhash.forest
+    monkeypatch.setattr(simhash, "FEW", few, raising=False)
+    monkeypatch.setattr(simhash, "forest", lambda rows, most: searched.append(len(rows)) or forest(rows, most))
+    found = simhash.group_links(words, segments, distance, step)(iter(in_groups(prints, words, segments, step)))
+    number = {f: i for i, f in enumerate(prints)}
+    a, b = ([number[tuple(x % (1 << 64) for x in f)] for t in tables for f in t] for tables in zip(
+        *([t.column(0).to_pylist(), t.column(1).to_pylist()] for t in found)))
+    matrix = np.array(prints, np.uint64)
+    apart = np.bitwise_count(matrix[:, None] ^ matrix[None]).sum(axis=2)
+    close = np.argwhere((apart <= distance) & (apart > 0))
+    assert {tuple(sorted(x)) for x in zip(a, b)} <= {tuple(sorted(x)) for x in close.tolist()}
+    n = len(prints)
+    assert (components.roots(n, np.array(a), np.array(b)) == components.roots(n, close[:, 0], close[:, 1])).all()
+    assert not searched if few == 64 else all(x > few for x in searched)
+
+
+def test_groups_without_a_shared_bucket_give_no_links():
+    """Two fingerprints of a group whose bits inside differ by two."""
+    rows = in_groups([(0,), (3,)], 1, 2, 4)
+    assert sum(t.num_rows for t in simhash.group_links(1, 2, 1, 4)(iter(rows))) == 0
+    only = [r for r in pa.Table.from_batches(rows).slice(0, 2).to_batches() if r.num_rows]
+    assert not list(simhash.group_links(1, 2, 1, 4)(iter(only)))
+
+
+def test_spanning_links_connect_what_all_connect():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 30)), int(rng.integers(0, 60))
+        a, b = rng.integers(0, n, (2, k))
+        needed, root = simhash.spanning(n, a, b), components.roots(n, a, b)
+        assert len(needed) == n - len(set(root.tolist()))
+        assert (components.roots(n, a[needed], b[needed]) == root).all()
+
+
 def test_keep_one_leaves_one_of_each_group(spark, empty):
     base = [sentence(120) for _ in range(12)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t) for i, t in enumerate(base[:5])]
