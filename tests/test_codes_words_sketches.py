@@ -15,6 +15,7 @@ from hemicycle.plans.registry import QUERIES
 from hemicycle.session import scratch_path
 from hemicycle.sources import sketches, table
 
+RNG_NUMBERED = np.random.default_rng(8)
 RNG = np.random.default_rng(11)
 
 
@@ -163,6 +164,25 @@ def test_pairs_move_once_and_count_both_directions(spark):
     assert found == pytest.approx({k: a for k, a in want.items() if a > 0})
 
 
+def test_information_of_numbered_words_makes_no_rows_of_the_vocabulary(spark):
+    """The same cells as from words, without a join whose rows the driver holds and sends."""
+    texts = [(" ".join(f"w{j}" for j in RNG_NUMBERED.geometric(0.2, 40)),) for _ in range(30)]
+    df = spark.createDataFrame([*texts, (None,), ("",), ("w1",), ("once w1 w1",)], "t string").repartition(3)
+    words = co.known(df, "t", 3)
+    counts = co.pair_counts(df, "t", 4, 3, words, numbered=True)
+    margins = co.pair_margins(df, "t", 4, 3, words, numbered=True)
+    found = co.mutual_information(counts, margins, words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "LocalTableScan" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = co.mutual_information(co.pair_counts(df, "t", 4, 3, words), co.pair_margins(df, "t", 4, 3, words))
+    cells = [{(r.word, r.context): r.a for r in x.collect()} for x in (found, want)]
+    assert cells[0] == pytest.approx(cells[1]) and cells[0] and found.count() == len(cells[0])
+    assert found.dtypes == want.dtypes
+    nothing = co.known(df.limit(0), "t", 3)
+    assert co.mutual_information(co.pair_counts(df.limit(0), "t", 4, 3, nothing, numbered=True),
+                                 co.pair_margins(df.limit(0), "t", 4, 3, nothing, numbered=True), nothing).count() == 0
+
+
 def test_margins_come_from_the_texts(spark, monkeypatch):
     """Margins are the sums of the counts, without a pair in any exchange; stretches and parts
     change nothing."""
